@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossia.llm import chat, jaccard, packing, quality, shards, suffixes, tokens, warc
+from dossia.llm import chat, decontaminate, jaccard, licenses, packing, quality, shards, suffixes, tokens, warc
 
 END = "<|im_end|><|im_start|>assistant ok"
 
@@ -25,6 +25,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -56,9 +64,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_license_scans": op2_license_scans,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
@@ -66,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_license_scans": licenses.oracle(),
     "op4_warc": """
         with p as (select page_id, coalesce(html, '') as h from pages),
         s as (select page_id, strlen(h)::bigint as payload_bytes, sha1(h) as payload_digest, max(page_id) over (partition by h) as top from p)
