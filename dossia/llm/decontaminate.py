@@ -29,12 +29,17 @@ ITEM_BYTES = 8 << 20
 MATCH, MISS, GAP = 2, -1, 1
 
 
+def folded(texts: list[bytes]) -> list[bytes]:
+    """Texts in lower case, letters beyond A-Z too."""
+    return [t.lower() if t.isascii() else t.decode("utf-8", "replace").lower().encode() for t in texts]
+
+
 class Items:
     """Test items: word hashes, and their n-grams (hash, item, place) sorted by hash."""
 
     def __init__(self, ids: list, texts: list[bytes], gram: int):
         self.ids = ids
-        words, counts = word_hashes([t.lower() for t in texts])
+        words, counts = word_hashes(folded(texts))
         ends = np.cumsum(counts)
         self.words = [words[e - c : e] for e, c in zip(ends.tolist(), counts.tolist())]
         self.lengths = sorted({min(gram, len(w)) for w in self.words if len(w)})
@@ -68,7 +73,7 @@ def document_counts(docs: DataFrame, sent, widths: list[int], n: int) -> np.ndar
         total = np.zeros(n, np.int64)
         for batch in batches:
             for part in slices(batch):
-                words, counts = word_hashes([t.lower() for t in as_bytes(part.column("text"))])
+                words, counts = word_hashes(folded(as_bytes(part.column("text"))))
                 of = np.repeat(np.arange(len(counts)), counts)
                 for h, at in grams_of(words, counts, widths):
                     k = np.minimum(np.searchsorted(known, h), n - 1)
@@ -108,7 +113,7 @@ def aligned(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def matches(texts: list[bytes], items: Items, least: float) -> Iterator[tuple[int, int, float, int]]:
     """(text, item, share of a perfect score, word at which the match ends) for every contaminated text and item."""
-    words, counts = word_hashes([t.lower() for t in texts])
+    words, counts = word_hashes(folded(texts))
     ends = np.cumsum(counts)
     of = np.repeat(np.arange(len(counts)), counts)
     texts_, items_, starts_ = [], [], []
