@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 from dossia.llm.kernels import U, as_bytes, cut, mix, n_parts, packed, parts, slices, unpacked
 
 WIDTH = 400
-STEP = 1 << 20
+STEP = 1 << 19
 MAX_BITS = 1 << 28
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 19
 QUEUE_BYTES = 64 << 20
 SMALL_ALPHABET = 1024
 
@@ -103,7 +103,7 @@ class Scan:
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (np.diff(self.at) != 1)
         first = np.flatnonzero(new)
-        self.keys, self.starts = keys[first], self.at[first]
+        self.keys, self.starts = mix(keys[first] + U(1)), self.at[first]  # minima crowd at 0, so they are mixed again
         self.stops = self.at[np.append(first[1:], len(keys)) - 1] + width if len(first) else first
         piece = np.searchsorted(ends, self.starts, "right")
         self.text = np.array([i for i, _, _ in pieces], np.int64)[piece] if len(first) else first
@@ -113,7 +113,7 @@ class Scan:
         valid = np.zeros(len(grams), np.uint64)
         valid[self.at] = keys
         around = sliding(np.concatenate((np.zeros(span - 1, np.uint64), valid)), span, np.maximum) if len(grams) else valid
-        self.minima = grams[around == grams]
+        self.minima = mix(grams[around == grams] + U(1))
 
 
 def distinct(texts: list[bytes], width: int) -> tuple[list[bytes], list[bytes]]:
