@@ -6,7 +6,8 @@ fragments; overlaps are counted fragment by fragment and summed for each pair, a
 up as soon as the fragments seen so far rule it out.
 
 1. Equal sets are one class, known by a 64-bit key of the set, so copies take part once.
-2. Every class posts the shingles of its prefix in the global order; two classes that link share one.
+2. Every class posts the shingles of its prefix in the global order, so long a one that two classes that
+   link share several (1 + size // MARGIN of the smaller); a class with fewer shared ones links with nothing.
    Frequency is counted over all texts in every slice of the scan and summed; it only decides the order.
 3. Of the classes that share a posted shingle, the one with most such partners is the shingle's hub.
    Classes meet in the groups of their hubs, each pair of classes that shares a shingle in at least
@@ -27,16 +28,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dossia.llm.kernels import U, as_bytes, components, cut, mix, n_parts, packed, parts, shingle_sets, slices, unpacked, written
+from dossia.llm.kernels import as_bytes, components, cut, mix, n_parts, packed, parts, shingle_sets, slices, unpacked, written
 
 PERCENT, WIDTH = 75, 5
+MARGIN = 12
 FRAGMENTS = 8
 #: At most so many shingles are ordered by frequency (8 bytes each are broadcast); a shingle must occur so often.
 HOT, HOT_LEAST = 1 << 19, 32
-#: Bytes of sets in a block of a group.
-BLOCK_BYTES = 4 << 20
+#: Bytes of sets and number of sets in a block of a group.
+BLOCK_BYTES, BLOCK_SETS = 8 << 20, 1200
+#: Up to so many ids of texts that meet others are broadcast to filter the scan; beyond it they are joined.
+SENT_IDS = 2_000_000
 
 
 def set_key(s: np.ndarray) -> int:
@@ -45,10 +50,15 @@ def set_key(s: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64))[0]) or 1 if len(s) else 0
 
 
+def margin(n):
+    """How many posted shingles two sets of `n` or more must share."""
+    return 1 + n // MARGIN
+
+
 def prefix(s: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
-    """The members of a set that are posted: the first n - ceil(percent n) + 1 in the global order."""
+    """The members of a set that are posted: the first n - ceil(percent n) + margin(n) in the global order."""
     n = len(s)
-    need = n - -(-percent * n // 100) + 1
+    need = n - -(-percent * n // 100) + margin(n)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
         frequent = hot[at] == s
@@ -132,7 +142,7 @@ def postings(docs: DataFrame, hot, width: int, percent: int, n: int) -> DataFram
 
     def flush(shingles: list, keys: list) -> pa.RecordBatch:
         s, k = np.concatenate(shingles), np.concatenate(keys)
-        rows = list(packed(parts(s, n), s, k))
+        rows = list(packed(parts(mix(s), n), s, k))  # posted hashes crowd at 0, so they are mixed again
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "shingles", "keys"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "part int, shingles binary, keys binary")
@@ -157,24 +167,44 @@ def shared_postings(posted: DataFrame) -> DataFrame:
     return posted.groupBy("part").applyInArrow(run, "shingle long, key long, df long")
 
 
-def memberships(shared_: DataFrame) -> DataFrame:
-    """(hub, key): the groups in which classes meet."""
-    score = shared_.groupBy("key").agg(F.sum("df").alias("score"))
-    scored = shared_.join(score, "key")
-    hub = scored.groupBy("shingle").agg(F.max(F.struct("score", "key"))["key"].alias("hub"))
-    return shared_.select("shingle", "key").join(hub, "shingle").select("hub", "key").distinct()
+def memberships(shared_: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(hub, key): the groups in which classes meet. sizes: (key, n)."""
+    score = shared_.groupBy("key").agg(F.sum("df").alias("score"), F.count(F.lit(1)).alias("posted"))
+    # the partner has percent/100 of the size at least, and the margin is the smaller one's
+    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / MARGIN)
+    scored = shared_.join(score.join(sizes, "key").where(F.col("posted") >= least).select("key", "score", F.floor((least - 1) / 2).alias("spare")), "key")
+    hub = scored.groupBy("shingle").agg(F.max(F.struct("score", "key"))["key"].alias("hub"), F.count(F.lit(1)).alias("left")).where("left > 1")
+    meet = scored.select("shingle", "key", "spare").join(hub, "shingle").groupBy("key", "hub", "spare").agg(F.count(F.lit(1)).alias("c"))
+    # the hubs with fewest shared shingles go while all together they can't hold half the margin; as the
+    # partner's do likewise, a pair that links keeps a hub in common
+    upto = W.partitionBy("key").orderBy("c", "hub").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return meet.withColumn("gone", F.sum("c").over(upto)).where("gone > spare").select("hub", "key")
 
 
-def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """(key, size, fragments): the set of each row of `docs`, as its sorted members."""
+def placed_sets(docs: DataFrame, tasks: DataFrame, width: int) -> DataFrame:
+    """(hub, x, y, side, key, members): the set of each text, once for each of its tasks (doc_id, tasks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(lower(as_bytes(part.column("text"))), width)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([set_key(s) for s in sets], np.uint64).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "members"])
+                rows, held = [], 0
+                for s, places in zip(sets, part.column("tasks").to_pylist()):
+                    key, members = int(np.uint64(set_key(s)).view(np.int64)), s.tobytes()
+                    for t in places:
+                        rows.append((t["hub"], t["x"], t["y"], t["side"], key, members))
+                        held += len(members)
+                        if held > 8 << 20:
+                            yield batch_of(rows)
+                            rows, held = [], 0
+                if rows:
+                    yield batch_of(rows)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, members binary")
+    def batch_of(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["hub", "x", "y", "side", "key", "members"])
+
+    joined = docs.join(tasks, docs.doc_id.eqNullSafe(tasks.t_doc)).select("text", "tasks")
+    return joined.mapInArrow(run, "hub long, x int, y int, side int, key long, members binary")
 
 
 def linked(sets: list[np.ndarray], sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -238,8 +268,8 @@ def linked(sets: list[np.ndarray], sides: np.ndarray | None, percent: int) -> li
                 counted[o] += mark
             else:
                 counted[np.ix_(o, o)] += times
-    union = size[:, None] + size[None] - counted
-    link = (100 * counted.astype(np.int64) >= percent * union) & (counted > 0)
+    # 100 overlap >= percent union, with the union as the sizes less the overlap
+    link = ((100 + percent) * counted.astype(np.int64) >= percent * (size[:, None] + size[None])) & (counted > 0)
     np.fill_diagonal(link, False)
     if sides is not None:
         link &= sides[:, None] != sides[None]
@@ -260,7 +290,7 @@ def block_links(placed: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) found in each task (hub, x, y) of rows (hub, x, y, side, key, members)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, sets, sides, found = None, [], [], [], []
+        at, keys, sets, sides, found, known = None, [], [], [], [], set()
 
         def done() -> None:
             if len(keys) > 1:
@@ -272,7 +302,10 @@ def block_links(placed: DataFrame, percent: int) -> DataFrame:
             for hub, x, y, side, key, members in zip(*(c.to_pylist() for c in batch.columns)):
                 if (hub, x, y) != at:
                     done()
-                    at, keys, sets, sides = (hub, x, y), [], [], []
+                    at, keys, sets, sides, known = (hub, x, y), [], [], [], set()
+                if key in known:  # rows that repeat a doc_id
+                    continue
+                known.add(key)
                 keys.append(key)
                 sets.append(np.frombuffer(members, np.uint64))
                 sides.append(side)
@@ -284,7 +317,7 @@ def block_links(placed: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
     sorted_ = placed.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y")
-    return sorted_.select("hub", "x", "y", "side", "key", "members").mapInArrow(run, "a long, b long")
+    return sorted_.mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -294,23 +327,24 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     with_keys, counts = documents_with_keys(docs, width)
     hot = spark.sparkContext.broadcast(frequent(counts))
     posted = postings(docs, hot, width, percent, n_parts(spark))
-    met = cut(memberships(cut(shared_postings(posted))))
-    # the sets of the classes that meet anyone, one row each
-    reps = with_keys.where("key <> 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    wanted = met.select("key").distinct().join(reps, "key")
-    sets = docs.join(wanted.select("doc_id").where("doc_id is not null"), "doc_id", "left_semi")
-    sets = sets_of(sets, width)
-    if not wanted.where("doc_id is null").isEmpty():  # classes of rows without id alone
-        sets = sets.unionByName(sets_of(docs.where("doc_id is null"), width))
-    sets = sets.dropDuplicates(["key"])
+    # one row of each class stands for it
+    reps = cut(with_keys.where("key <> 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
+    met = cut(memberships(cut(shared_postings(posted)), reps.select("key", "n"), percent))
     # blocks of a group are so many that each holds BLOCK_BYTES or so
-    weight = met.join(reps.select("key", "n"), "key")
-    blocks = weight.groupBy("hub").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("n") * 8 + 200) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    weight = met.join(reps, "key")
+    blocks = weight.groupBy("hub").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("n") * 8 + 200) / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
     placed = weight.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    tasks = placed.select("hub", "key", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    tasks = tasks.select("hub", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+    tasks = placed.select("hub", "doc_id", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     # in a task of two blocks, side 0 is block x; a task of one block has side 0 alone
-    edges = block_links(tasks.join(sets, "key"), percent)
+    task = F.struct("hub", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+    tasks = tasks.groupBy(F.col("doc_id").alias("t_doc")).agg(F.collect_list(task).alias("tasks"))
+    tasks = cut(tasks)
+    if (many := tasks.count()) <= SENT_IDS:
+        docs_met = docs.join(F.broadcast(tasks.select("t_doc").where("t_doc is not null")), F.col("doc_id") == F.col("t_doc"), "left_semi")
+        docs_met = docs_met if many == tasks.where("t_doc is not null").count() else docs_met.unionByName(docs.where("doc_id is null"))
+    else:
+        docs_met = docs
+    edges = block_links(placed_sets(docs_met, tasks, width), percent)
     roots = components(edges)
     named = with_keys.join(roots, with_keys.key == roots.node, "left").withColumn("root", F.coalesce("root", "key"))
     names = named.where("key <> 0").groupBy("root").agg(F.min("doc_id").alias("least")).withColumnRenamed("root", "r_root")

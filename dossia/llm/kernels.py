@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
 WORD_CACHE = 400_000
 U = np.uint64
 
@@ -150,6 +151,7 @@ def shared(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not at:
         at = "file:///tmp/checkpoints/dossia"
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))  # what a Python worker is sent at a time
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(at)
     return at
