@@ -7,11 +7,11 @@ what is left at a tier's end: those last gaps are filled from the shorter tiers,
 the last tokens of all are cut into powers of two. Sequences get a step group such that each
 group has every tier in the proportion of the whole.
 
-The order within a tier is (input partition, row), so places are prefix sums: a first pass counts
-tokens per partition and tier (a few numbers per partition reach the driver), a second pass over
-the same partitions adds its partition's offset and cuts. Nothing is shuffled, texts aren't moved,
-and a lost task is redone from its partition alone. Both passes must see the same partitions: the
-input is a scan, or is written to the shared folder first; the second pass checks its sums.
+Texts are tokenised once, into a table of ids in the shared folder. The order within a tier is
+(partition of that table, row), so places are prefix sums: tokens are counted per partition and tier
+(a few numbers per partition reach the driver), and a pass over the same partitions adds its
+partition's offset and cuts. Nothing is shuffled, and a lost task is redone from its partition alone.
+That pass checks that it saw the rows that were counted.
 
 Null and empty texts have one token (the end token); repeated rows are packed each; an empty table
 gives no pieces; other columns are ignored.
@@ -19,6 +19,7 @@ gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,11 @@ from pyspark.sql import functions as F
 from dossia.llm.kernels import as_bytes, slices, written
 
 WINDOW, SMALLEST = 4096, 256
-WORDS = 400_000
+WORDS, PIECES = 100_000, 400_000
+#: Texts of these characters only are normalised by lower case alone, and split the same way by the plain engine.
+LATIN = "a-zß-öø-ÿ"
+ONLY_LATIN = re.compile("[\\x00-\\x7fÀ-ÖØ-öø-ÿ]*")
+SPLIT_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\t-\r 0-9{LATIN}]+")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step long"
 
 
@@ -47,32 +52,43 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() < 2**16 else "<u4"
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: set[str], limit: int) -> None:
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > WORDS:
+        if len(self) + len(new) > limit:
             self.clear()
             new = list(words)
-        for lo in range(0, len(new), 50_000):
-            some = new[lo : lo + 50_000]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+        for lo in range(0, len(new), 20_000):
+            some = new[lo : lo + 20_000]
+            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
+                self[w] = np.array(e.ids, self.dtype).tobytes()
 
 
-_ids: dict[str, WordIds] = {}
+_ids: dict[str, tuple[WordIds, WordIds]] = {}
 
 
-def token_ids(path: str, texts: list[bytes], end_id: int) -> list[bytes]:
-    """Ids of each text and the end id, as little-endian 32-bit bytes."""
+def token_ids(path: str, texts: list[bytes], end_id: int) -> tuple[list[bytes], str]:
+    """Ids of each text and the end id, as bytes of the type that comes second.
+
+    Latin texts are looked up by pre-token, others by white-space separated word; texts with special
+    strings by word too, as the library finds those before it normalises.
+    """
     if path not in _ids:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _ids[path] = WordIds(path)
-    known, end = _ids[path], np.array([end_id], "<u4").tobytes()
-    words = [t.split() for t in texts]
-    known.learn(set().union(*words))
-    return [b"".join(map(known.__getitem__, w)) + end for w in words]
+        _ids[path] = (WordIds(path), WordIds(path))
+    pieces, words = _ids[path]
+    end = np.array([end_id], pieces.dtype).tobytes()
+    cut, plain = [], []
+    for raw in texts:
+        t = raw.decode("utf-8", "replace")
+        plain.append(bool(ONLY_LATIN.fullmatch(t)) and "<|" not in t)
+        cut.append(SPLIT_LATIN.findall(t.lower()) if plain[-1] else [w.decode("utf-8", "replace") for w in raw.split()])
+    pieces.learn(set().union(*(c for c, p in zip(cut, plain) if p)), PIECES)
+    words.learn(set().union(*(c for c, p in zip(cut, plain) if not p)), WORDS)
+    return [b"".join(map((pieces if p else words).__getitem__, c)) + end for c, p in zip(cut, plain)], pieces.dtype
 
 
 def tiers(window: int, smallest: int) -> list[int]:
@@ -142,20 +158,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
     sizes = tiers(window, smallest)
     T = len(sizes)
     kept = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    if "FileScan" not in (plan := kept._jdf.queryExecution().executedPlan().toString()) or "Exchange" in plan or "Aggregate" in plan:
-        kept = written(kept, "pack")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, whole = np.zeros(T, np.int64), 0
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                n = np.array([len(x) // 4 for x in token_ids(tokenizer, as_bytes(part.column("text")), end_id)], np.int64)
-                rest = n % window
-                whole += int((n // window).sum())
-                np.add.at(sums, tier_of(rest[rest > 0], sizes), rest[rest > 0])
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([whole], pa.int64()), pa.array([sums.tolist()], pa.list_(pa.int64()))], names=["p", "whole", "sums"])
-
-    found = sorted(kept.mapInArrow(count, "p int, whole long, sums array<long>").collect())  # a row for each partition
+                ids, dtype = token_ids(tokenizer, as_bytes(part.column("text")), end_id)
+                width = int(dtype[-1])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "n", "width", "ids"])
+
+    stored = written(kept.mapInArrow(tokenise, "doc_id long, n long, width int, ids binary"), "ids")
+    rest = F.col("n") % window
+    bounds = [(0 if k + 1 == T else sizes[k + 1], size) for k, size in enumerate(sizes)]
+    sums = F.array(*[F.sum(F.when((rest > lo) & (rest <= hi), rest).otherwise(0)) for lo, hi in bounds])
+    counted = stored.select(F.spark_partition_id().alias("p"), "n").groupBy("p").agg(F.sum(F.expr(f"n div {window}")).alias("whole"), sums.alias("sums"))
+    found = sorted((p, whole, list(x)) for p, whole, x in counted.collect())  # a row for each partition
     whole_base, base, w, s = {}, {}, 0, np.zeros(T, np.int64)
     for p, whole, sums in found:
         whole_base[p], base[p] = w, s.copy()
@@ -169,13 +185,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
         bases, offsets, want = places.value
+        if p not in bases:  # a partition without rows
+            bases, offsets, want = {p: 0}, {p: np.zeros(T, np.int64)}, {p: (0, [0] * T)}
         at_whole, at = bases[p], offsets[p].tolist()
         first_whole, first = at_whole, list(at)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "ids"):
                 out = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), token_ids(tokenizer, as_bytes(part.column("text")), end_id)):
-                    n = len(ids) // 4
+                for doc, n, width, raw in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n", "width", "ids"))):
+                    ids = np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes()
                     for k in range(n // window):
                         out.append((doc, k * window, window, zlib.crc32(ids[4 * k * window : 4 * (k + 1) * window]), n, -1 - at_whole, 0, window, at_whole * n_steps // max(1, w), ids[4 * k * window : 4 * (k + 1) * window]))
                         at_whole += 1
@@ -210,4 +228,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
         cols = list(zip(*out))[: len(names) - (not extra_ids)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names[: len(cols)])
 
-    return kept.mapInArrow(place, SCHEMA + ", ids binary" * extra_ids)
+    return stored.mapInArrow(place, SCHEMA + ", ids binary" * extra_ids)
