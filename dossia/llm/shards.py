@@ -54,9 +54,7 @@ def interleaved_shards(docs: DataFrame, n_shards: int = 24, seed: str = "7", buc
     # exact integers: (2 place + 1) / (2 of) as a fraction of 2^40
     ranked = ranked.withColumn("fraction", F.expr("cast(floor(cast(2 * place + 1 as decimal(20,0)) * 1099511627776 / (2 * of)) as bigint)"))
     ranked = places(ranked, [], F.floor(F.col("fraction") * buckets / F.lit(2**40)).cast("int"), ["fraction", "digest", "source", "doc_id", "text_crc32"], buckets)
-    total = rows.agg(F.count(F.lit(1)).alias("total"))  # one row
-    ranked = ranked.crossJoin(F.broadcast(total))
-    shard = F.expr(f"cast((place * {n_shards}) div total as int)")
-    ranked = ranked.withColumn("shard", shard)
-    first = F.expr(f"(shard * total + {n_shards - 1}) div {n_shards}")
+    total = max(1, rows.count())
+    ranked = ranked.withColumn("shard", F.expr(f"cast((place * {n_shards}) div {total}L as int)"))
+    first = F.expr(f"(shard * {total}L + {n_shards - 1}) div {n_shards}")
     return ranked.select("doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("place") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

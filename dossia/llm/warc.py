@@ -17,6 +17,7 @@ is written as `null` and is read back as null; a group of equal payloads prefers
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -38,8 +39,8 @@ def archive_tables(pages: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), body.alias("payload"))
     rows = rows.select("*", F.sha2("payload", 256).alias("address"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"))
     # once per address: partial aggregation leaves one payload a map task and address
-    payloads = rows.groupBy("address", "bytes").agg(F.min("sha1").alias("sha1"), F.max("sha1").alias("other"), F.first("payload").alias("payload"))
-    same = F.when(F.col("sha1") == F.col("other"), F.col("sha1")).otherwise(F.raise_error(F.concat(F.lit("two payloads share the address "), F.col("address"))))
+    payloads = rows.groupBy("address").agg(F.min("sha1").alias("sha1"), F.max("sha1").alias("other"), F.min("bytes").alias("bytes"), F.max("bytes").alias("most"), F.first("payload").alias("payload"))
+    same = F.when((F.col("sha1") == F.col("other")) & (F.col("bytes") == F.col("most")), F.col("sha1")).otherwise(F.raise_error(F.concat(F.lit("two payloads share the address "), F.col("address"))))
     payloads = payloads.select("address", "bytes", same.alias("sha1"), "payload")
     slim = rows.select("page_id", "url", "address", "sha1", "bytes", F.monotonically_increasing_id().alias("n"))
     lead = slim.groupBy("address").agg(F.max(F.struct("page_id", "url", "n")).alias("lead"))
@@ -66,13 +67,13 @@ def reconstructed(payloads: DataFrame, headers: DataFrame) -> DataFrame:
     return full.select("header", "payload").unionByName(headers.where("record_type = 'revisit'").select("header", F.lit(b"").alias("payload")))
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = 20_000) -> None:
+def write_warc(records: DataFrame, path: str, per_file: int = 2_000) -> None:
     """WARC files of records (header, payload), cut at `per_file` records.
 
     Casting bytes to a string keeps them as they are, and the writer adds the blank line that ends a record.
     """
     value = F.concat("header", "payload").cast("string").alias("value")
-    records.select(value).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+    records.select(value).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 FIELD = re.compile(rb"([^:\r\n]+): ?([^\r\n]*)\r\n")
@@ -101,7 +102,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 rows, size = [], 0
-                for f, head, block in records_of(data.as_py()):
+                for f, head, block in records_of(gzip.decompress(data.as_py())):
                     kind = f["warc-type"]
                     if kind == "response" and hashlib.sha1(block).hexdigest() != f["warc-payload-digest"].removeprefix("sha1:"):
                         raise ValueError(f"the payload of {f['warc-record-id']} doesn't have its digest")
@@ -126,9 +127,11 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     at = f"{shared(spark)}/warc-{uuid.uuid4().hex}"
     payloads, headers = archive_tables(pages)
-    payloads.write.parquet(f"{at}/payloads")
+    # bucketed by address, so that joining headers to payloads moves no payload again
+    name, n = f"payloads_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    payloads.repartition(n, "address").write.bucketBy(n, "address").option("path", f"{at}/payloads").option("compression", "zstd").saveAsTable(name)
     headers.write.parquet(f"{at}/headers")
-    write_warc(reconstructed(spark.read.parquet(f"{at}/payloads"), spark.read.parquet(f"{at}/headers")), f"{at}/files")
+    write_warc(reconstructed(spark.table(name), spark.read.parquet(f"{at}/headers")), f"{at}/files")
     back = read_warc(spark, f"{at}/files")
     # what a payload says of itself, once per address; a revisit gets it by its address
     found = back.where("record_type = 'response'").groupBy("address").agg(F.max(F.octet_length("payload")).cast("long").alias("payload_bytes"), F.max(F.sha1("payload")).alias("payload_digest"))
