@@ -129,6 +129,8 @@ def matches(texts: list[bytes], items: Items, least: float) -> Iterator[tuple[in
     if not texts_:
         return
     t, i, s = np.concatenate(texts_), np.concatenate(items_), np.concatenate(starts_)
+    if not len(t):
+        return
     # one window for the seeds of a text and item whose diagonals lie within a few words
     size = np.array([len(w) for w in items.words], np.int64)
     slack = size // 4 + 2
