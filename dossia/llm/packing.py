@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,22 +48,44 @@ class WordIds(dict):
     those of its words.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() < 2**16 else "<u4"
+        small = self.tokenizer.get_vocab_size() < 2**16
+        self.dtype, self.code = ("<u2", "H") if small else ("<u4", "I")
 
-    def learn(self, words: set[str], limit: int) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > limit:
-            self.clear()
-            new = list(words)
+        self.new: set[str] = set()
+        self.limit, self.misses = limit, 0
+
+    def __missing__(self, word: str) -> bytes:
+        self.new.add(word)
+        self.misses += 1
+        return b""
+
+    def learn(self) -> None:
+        """Looks up what was missed. Called between slices, it may forget what it knew before."""
+        new = list(self.new)
+        self.new.clear()
         for lo in range(0, len(new), 20_000):
             some = new[lo : lo + 20_000]
             for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self[w] = np.array(e.ids, self.dtype).tobytes()
+                self[w] = array(self.code, e.ids).tobytes()
+
+    def joined(self, cuts: list[list[str]]) -> list[bytes]:
+        if len(self) > self.limit:
+            self.clear()
+        get, out, again = self.__getitem__, [], []
+        for c in cuts:
+            before = self.misses
+            out.append(b"".join(map(get, c)))
+            if self.misses > before:
+                again.append(len(out) - 1)
+        self.learn()
+        for i in again:
+            out[i] = b"".join(map(get, cuts[i]))
+        return out
 
 
 _ids: dict[str, tuple[WordIds, WordIds]] = {}
@@ -78,7 +101,7 @@ def token_ids(path: str, texts: list[bytes], end_id: int) -> tuple[list[bytes],
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _ids[path] = (WordIds(path), WordIds(path))
+        _ids[path] = (WordIds(path, PIECES), WordIds(path, WORDS))
     pieces, words = _ids[path]
     end = np.array([end_id], pieces.dtype).tobytes()
     cut, plain = [], []
@@ -86,9 +109,8 @@ def token_ids(path: str, texts: list[bytes], end_id: int) -> tuple[list[bytes],
         t = raw.decode("utf-8", "replace")
         plain.append(bool(ONLY_LATIN.fullmatch(t)) and "<|" not in t)
         cut.append(SPLIT_LATIN.findall(t.lower()) if plain[-1] else [w.decode("utf-8", "replace") for w in raw.split()])
-    pieces.learn(set().union(*(c for c, p in zip(cut, plain) if p)), PIECES)
-    words.learn(set().union(*(c for c, p in zip(cut, plain) if not p)), WORDS)
-    return [b"".join(map((pieces if p else words).__getitem__, c)) + end for c, p in zip(cut, plain)], pieces.dtype
+    by_piece, by_word = iter(pieces.joined([c for c, p in zip(cut, plain) if p])), iter(words.joined([c for c, p in zip(cut, plain) if not p]))
+    return [next(by_piece if p else by_word) + end for p in plain], pieces.dtype
 
 
 def tiers(window: int, smallest: int) -> list[int]:
