@@ -15,8 +15,8 @@ def peers(runs: DataFrame, by: str, value: str, least: int = 2) -> DataFrame:
 def timing(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Mean, median, nearest-rank 95th percentile, extremes and sample deviation (0 for one value)."""
     w = W.partitionBy(by)
-    ranked = rows.where(F.col(value).isNotNull()).select(by, value, F.row_number().over(w.orderBy(value)).alias("k"), F.count(F.lit(1)).over(w).alias("of"))
-    at = F.col("k") - 1 == F.bround(0.95 * (F.col("of") - 1), 0).cast("int")
+    ranked = rows.where(F.col(value).isNotNull()).select(by, value, F.row_number().over(w.orderBy(value)).alias("place_"), F.count(F.lit(1)).over(w).alias("of_"))
+    at = F.col("place_") - 1 == F.bround(0.95 * (F.col("of_") - 1), 0).cast("int")
     return ranked.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.max(F.when(at, F.col(value))).alias("p95"),
         F.min(value).alias("least"), F.max(value).alias("most"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("deviation"),
