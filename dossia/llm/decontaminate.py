@@ -16,13 +16,14 @@ first; an empty table on either side gives no matches; other columns are ignored
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossia.llm.kernels import U, as_bytes, slices, window_hashes, window_starts, word_hashes
+from dossia.llm.kernels import U, as_bytes, mix, slices, window_starts, word_hashes
 
 GRAM, LEAST = 3, 0.6
 ITEM_BYTES = 8 << 20
@@ -34,12 +35,23 @@ def folded(texts: list[bytes]) -> list[bytes]:
     return [t.lower() if t.isascii() else t.decode("utf-8", "replace").lower().encode() for t in texts]
 
 
+def gram_hashes(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the n-grams of `width` words that begin at each place."""
+    h = np.full(len(at), width, np.uint64)
+    for k in range(width):
+        h = mix(h ^ words[at + k])
+    return h
+
+
 class Items:
     """Test items: word hashes, and their n-grams (hash, item, place) sorted by hash."""
 
     def __init__(self, ids: list, texts: list[bytes], gram: int):
         self.ids = ids
-        words, counts = word_hashes(folded(texts))
+        texts = folded(texts)
+        words, counts = word_hashes(texts)
+        #: Hash of each word of the items, by which words of documents are looked up.
+        self.codes = dict(zip((w for t in texts for w in t.split()), words.tolist()))
         ends = np.cumsum(counts)
         self.words = [words[e - c : e] for e, c in zip(ends.tolist(), counts.tolist())]
         self.lengths = sorted({min(gram, len(w)) for w in self.words if len(w)})
@@ -47,35 +59,46 @@ class Items:
         for width in self.lengths:
             for i, w in enumerate(self.words):
                 if min(gram, len(w)) == width:
-                    h, _ = window_hashes(w, np.array([len(w)]), width)
-                    found += [(x, i, k) for k, x in enumerate((h + U(width)).tolist())]
+                    h = gram_hashes(w, np.arange(len(w) - width + 1), width)
+                    found += [(x, i, k) for k, x in enumerate(h.tolist())]
         found.sort()
         self.hash = np.array([x for x, _, _ in found], np.uint64)
         self.item = np.array([i for _, i, _ in found], np.int64)
         self.place = np.array([k for _, _, k in found], np.int64)
 
+    def coded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts, 0 for a word of no item, and the number of words of each."""
+        words, counts = [], np.empty(len(texts), np.int64)
+        for i, t in enumerate(folded(texts)):
+            w = t.split()
+            counts[i] = len(w)
+            words += w
+        return np.fromiter(map(self.codes.get, words, repeat(0)), np.uint64, len(words)), counts
+
     def only(self, keep: np.ndarray) -> None:
         self.hash, self.item, self.place = self.hash[keep], self.item[keep], self.place[keep]
 
 
 def grams_of(words: np.ndarray, counts: np.ndarray, widths: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hash, place of the first word) of the n-grams of all texts laid end to end."""
+    """(hash, place of the first word) of the n-grams of known words (not 0) of all texts laid end to end."""
+    unknown = np.concatenate(([0], np.cumsum(words == 0)))
     for width in widths:
-        h, _ = window_hashes(words, counts, width)
-        yield h + U(width), window_starts(counts, width)
+        at = window_starts(counts, width)
+        at = at[unknown[at + width] == unknown[at]]
+        yield gram_hashes(words, at, width), at
 
 
-def document_counts(docs: DataFrame, sent, widths: list[int], n: int) -> np.ndarray:
+def document_counts(docs: DataFrame, sent, n: int) -> np.ndarray:
     """In how many documents each distinct n-gram of the items occurs; one row of `n` numbers a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known, items = sent.value
         total = np.zeros(n, np.int64)
         for batch in batches:
             for part in slices(batch):
-                words, counts = word_hashes(folded(as_bytes(part.column("text"))))
+                words, counts = items.coded(as_bytes(part.column("text")))
                 of = np.repeat(np.arange(len(counts)), counts)
-                for h, at in grams_of(words, counts, widths):
+                for h, at in grams_of(words, counts, items.lengths):
                     k = np.minimum(np.searchsorted(known, h), n - 1)
                     hit = known[k] == h
                     pairs = np.unique(k[hit] * (len(counts) + 1) + of[at[hit]])
@@ -113,7 +136,7 @@ def aligned(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def matches(texts: list[bytes], items: Items, least: float) -> Iterator[tuple[int, int, float, int]]:
     """(text, item, share of a perfect score, word at which the match ends) for every contaminated text and item."""
-    words, counts = word_hashes(folded(texts))
+    words, counts = items.coded(texts)
     ends = np.cumsum(counts)
     of = np.repeat(np.arange(len(counts)), counts)
     texts_, items_, starts_ = [], [], []
@@ -199,7 +222,7 @@ def seeded(docs: DataFrame, benchmark: DataFrame, gram: int) -> Iterator[Items]:
         if not len(items.hash):
             continue
         known, back = np.unique(items.hash, return_inverse=True)
-        n = document_counts(docs.select(F.col("text").cast("string")), sc.broadcast(known), items.lengths, len(known))[back]
+        n = document_counts(docs.select(F.col("text").cast("string")), sc.broadcast((known, items)), len(known))[back]
         keep = np.zeros(len(n), bool)
         order = np.lexsort((n, items.item))
         edges = np.flatnonzero(np.diff(items.item[order])) + 1
