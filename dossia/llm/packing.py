@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from dossia.llm.kernels import as_bytes, slices, written
 
 WINDOW, SMALLEST = 4096, 256
-WORDS, PIECES = 100_000, 400_000
+WORDS, PIECES = 50_000, 300_000
+#: Pre-tokens that are looked up as one line.
+LINE = 256
 #: Texts of these characters only are normalised by lower case alone, and split the same way by the plain engine.
 LATIN = "a-zß-öø-ÿ"
 ONLY_LATIN = re.compile("[\\x00-\\x7fÀ-ÖØ-öø-ÿ]*")
@@ -48,7 +50,8 @@ class WordIds(dict):
     those of its words.
     """
 
-    def __init__(self, path: str, limit: int):
+    def __init__(self, path: str, limit: int, apart: bool):
+        """Remembers up to `limit` words, and those in use before as many again; `apart`: words are pre-tokens."""
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -57,24 +60,43 @@ class WordIds(dict):
         self.dtype, self.code = ("<u2", "H") if small else ("<u4", "I")
 
         self.new: set[str] = set()
-        self.limit, self.misses = limit, 0
+        self.before: dict[str, bytes] = {}
+        self.limit, self.apart, self.misses = limit, apart, 0
 
     def __missing__(self, word: str) -> bytes:
+        if (known := self.before.get(word)) is not None:
+            self[word] = known
+            return known
         self.new.add(word)
         self.misses += 1
         return b""
 
     def learn(self) -> None:
-        """Looks up what was missed. Called between slices, it may forget what it knew before."""
+        """Looks up what was missed."""
         new = list(self.new)
         self.new.clear()
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self[w] = array(self.code, e.ids).tobytes()
+        step = LINE if self.apart else 20_000
+        for lo in range(0, len(new), step):
+            some = new[lo : lo + step]
+            if not (self.apart and self.learn_line(some)):
+                for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
+                    self[w] = array(self.code, e.ids).tobytes()
+
+    def learn_line(self, some: list[str]) -> bool:
+        """Looks up pre-tokens as one line with blanks between; false if the line's pre-tokens aren't one each."""
+        e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+        ids, of = np.array(e.ids, self.dtype), np.array(e.word_ids, np.int64)
+        if not len(of) or of[-1] + 1 != len(some):
+            return False
+        raw, width, lo = ids.tobytes(), ids.itemsize, 0
+        for w, hi in zip(some, (width * np.searchsorted(of, np.arange(1, len(some) + 1))).tolist()):
+            self[w] = raw[lo:hi]
+            lo = hi
+        return True
 
     def joined(self, cuts: list[list[str]]) -> list[bytes]:
         if len(self) > self.limit:
+            self.before = dict(self)
             self.clear()
         get, out, again = self.__getitem__, [], []
         for c in cuts:
@@ -101,7 +123,7 @@ def token_ids(path: str, texts: list[bytes], end_id: int) -> tuple[list[bytes],
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _ids[path] = (WordIds(path, PIECES), WordIds(path, WORDS))
+        _ids[path] = (WordIds(path, PIECES, True), WordIds(path, WORDS, False))
     pieces, words = _ids[path]
     end = np.array([end_id], pieces.dtype).tobytes()
     cut, plain = [], []
