@@ -63,13 +63,13 @@ class WordIds(dict):
         self.before: dict[str, bytes] = {}
         self.limit, self.apart, self.misses = limit, apart, 0
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: str) -> bytes | None:
         if (known := self.before.get(word)) is not None:
             self[word] = known
             return known
         self.new.add(word)
         self.misses += 1
-        return b""
+        return None
 
     def learn(self) -> None:
         """Looks up what was missed."""
@@ -98,16 +98,17 @@ class WordIds(dict):
         if len(self) > self.limit:
             self.before = dict(self)
             self.clear()
-        get, out, again = self.__getitem__, [], []
-        for c in cuts:
+        get, found, again = self.__getitem__, [], []
+        for k, c in enumerate(cuts):
             before = self.misses
-            out.append(b"".join(map(get, c)))
+            found.append([*map(get, c)])
             if self.misses > before:
-                again.append(len(out) - 1)
+                again.append((k, [i for i, x in enumerate(found[-1]) if x is None]))
         self.learn()
-        for i in again:
-            out[i] = b"".join(map(get, cuts[i]))
-        return out
+        for k, places in again:
+            for i in places:
+                found[k][i] = get(cuts[k][i])
+        return [b"".join(f) for f in found]
 
 
 _ids: dict[str, tuple[WordIds, WordIds]] = {}
