@@ -108,6 +108,20 @@ def test_tokens_and_packing(docs, empty):
     assert packing.pack(empty, WORD).count() == 0 and tokens.token_counts(empty, BYTE).count() == 0
 
 
+def test_word_memory(monkeypatch):
+    """A memory far smaller than the texts' words forgets, but gives the library's ids."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "LINE", 7)
+    monkeypatch.setattr(packing, "_ids", {WORD: (packing.WordIds(WORD, 40, True), packing.WordIds(WORD, 10, False))})
+    texts = [(t or "") + end for _, t, *_ in corpus()[:40] for end in ("", " it's 'sup ''s don't 12,5!?", " \u0130\u4f60\u597d e\u0301 <|endoftext|> ok")]
+    library = Tokenizer.from_file(WORD)
+    for lo in range(0, len(texts), 10):
+        some = texts[lo : lo + 10]
+        got, kind = packing.token_ids(WORD, [t.encode() for t in some], 2)
+        assert [np.frombuffer(x, kind).tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids + [2] for t in some]
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(2)
     good = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)) + "."
