@@ -1,15 +1,17 @@
 """Benchmark decontamination by rare seeds and Smith-Waterman alignment (operator 6).
 
-Word n-grams of the test items are counted over all documents; the rarer half of each item's n-grams
-(ties included, so every item has seeds however common it is) are its seeds. Passages around a seed
-in a document are aligned with the item by Smith-Waterman on words (match 2, mismatch and gap -1), and
-a document is contaminated by an item if the score reaches `least` of a perfect one.
+Word n-grams of the test items are counted over all documents; the rarer ones of each item are its
+seeds. Every placement that reaches `least` keeps a number of the item's n-grams (`seed_plan`), so half
+of that number, the commonest, are left out, and places where the other half don't lie close together
+can't reach `least`. Passages around seeds in a document are aligned with the item by Smith-Waterman on
+words (match 2, mismatch and gap -1), and a document is contaminated by an item if the score reaches
+`least` of a perfect one.
 
 Test items are few and short; they are sent to all tasks in blocks of at most ITEM_BYTES, one scan
 a block, so what is broadcast stays bounded whatever their number. Documents aren't moved.
 
-Null and empty texts match nothing, and so do items without words; items of fewer words than an n-gram
-are one seed of their own length; repeated rows are judged each; ties between places go to the
+Null and empty texts match nothing, and so do items without words; an item's n-grams are
+shorter than `gram` where that many words in a row needn't survive; repeated rows are judged each; ties between places go to the
 first; an empty table on either side gives no matches; other columns are ignored, or kept by `clean`.
 """
 
@@ -43,10 +45,28 @@ def gram_hashes(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
+def bar(size: int, least: float) -> int:
+    """The smallest score of an item of `size` words that reaches `least`."""
+    return int(np.ceil(least * MATCH * size - 1e-9))
+
+
+def seed_plan(size: int, gram: int, least: float) -> tuple[int, int]:
+    """The widest n-grams, of `gram` words at most, of which every placement that reaches `least` keeps some, and how many at least.
+
+    m matched words can be broken at MATCH * m - bar places, as each mismatch or gap costs 1; the runs between
+    keep m - (width - 1) * (breaks + 1) n-grams, fewest where all words match. Single words need no run.
+    """
+    for width in range(min(gram, size), 1, -1):
+        kept = size - (width - 1) * (MATCH * size - bar(size, least) + 1)
+        if kept > 0:
+            return width, min(kept, size - width + 1)
+    return 1, min(max(-(-bar(size, least) // MATCH), 1), size)
+
+
 class Items:
     """Test items: word hashes, and their n-grams (hash, item, place) sorted by hash."""
 
-    def __init__(self, ids: list, texts: list[bytes], gram: int):
+    def __init__(self, ids: list, texts: list[bytes], gram: int, least: float):
         self.ids = ids
         texts = folded(texts)
         words, counts = word_hashes(texts)
@@ -54,11 +74,17 @@ class Items:
         self.codes = dict(zip((w for t in texts for w in t.split()), words.tolist()))
         ends = np.cumsum(counts)
         self.words = [words[e - c : e] for e, c in zip(ends.tolist(), counts.tolist())]
-        self.lengths = sorted({min(gram, len(w)) for w in self.words if len(w)})
+        plan = [seed_plan(len(w), gram, least) if len(w) else (0, 0) for w in self.words]
+        #: Words of an item's n-grams, how many of them a placement keeps, and how many of those are seeds.
+        self.width, self.kept = (np.array(x, np.int64) for x in zip(*plan))
+        self.seeds = (self.kept + 1) // 2
+        #: Words of a text that a placement covers at most: the item's and those that the score lets be inserted.
+        self.cover = np.array([len(w) + max(MATCH * len(w) - bar(len(w), least), 0) // GAP for w in self.words], np.int64)
+        self.lengths = sorted({w for w, _ in plan if w})
         found = []
         for width in self.lengths:
             for i, w in enumerate(self.words):
-                if min(gram, len(w)) == width:
+                if self.width[i] == width:
                     h = gram_hashes(w, np.arange(len(w) - width + 1), width)
                     found += [(x, i, k) for k, x in enumerate(h.tolist())]
         found.sort()
@@ -134,12 +160,29 @@ def aligned(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return best, end
 
 
+def close_seeds(t: np.ndarray, i: np.ndarray, p: np.ndarray, items: Items) -> np.ndarray:
+    """Which seeds (text, item, place) are among as many as a placement keeps, within the words that it covers."""
+    order = np.lexsort((p, i, t))
+    t, i, p = t[order], i[order], p[order]
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (p[1:] != p[:-1])
+    first = np.flatnonzero(new)
+    own = i[first]
+    last = np.arange(len(first)) + items.seeds[own] - 1
+    at = first[np.minimum(last, len(first) - 1)]
+    good = (last < len(first)) & (t[at] == t[first]) & (i[at] == own) & (p[at] - p[first] <= (items.cover - items.width)[own])
+    change = np.zeros(len(first) + 1, np.int64)
+    np.add.at(change, np.flatnonzero(good), 1)
+    np.add.at(change, last[good] + 1, -1)
+    return order[(np.cumsum(change)[:-1] > 0)[np.cumsum(new) - 1]]
+
+
 def matches(texts: list[bytes], items: Items, least: float) -> Iterator[tuple[int, int, float, int]]:
     """(text, item, share of a perfect score, word at which the match ends) for every contaminated text and item."""
     words, counts = items.coded(texts)
     ends = np.cumsum(counts)
     of = np.repeat(np.arange(len(counts)), counts)
-    texts_, items_, starts_ = [], [], []
+    texts_, items_, places_, starts_ = [], [], [], []
     for h, at in grams_of(words, counts, items.lengths):
         lo, hi = np.searchsorted(items.hash, h, "left"), np.searchsorted(items.hash, h, "right")
         hit = np.flatnonzero(hi > lo)
@@ -148,10 +191,15 @@ def matches(texts: list[bytes], items: Items, least: float) -> Iterator[tuple[in
         where = np.repeat(at[hit], many)
         texts_.append(of[where])
         items_.append(items.item[k])
+        places_.append(where)
         starts_.append(where - items.place[k])
     if not texts_:
         return
-    t, i, s = np.concatenate(texts_), np.concatenate(items_), np.concatenate(starts_)
+    t, i, p, s = (np.concatenate(x) for x in (texts_, items_, places_, starts_))
+    if not len(t):
+        return
+    near = close_seeds(t, i, p, items)
+    t, i, s = t[near], i[near], s[near]
     if not len(t):
         return
     # one window for the seeds of a text and item whose diagonals lie within a few words
@@ -200,25 +248,25 @@ def matches(texts: list[bytes], items: Items, least: float) -> Iterator[tuple[in
         yield text, item, share, end
 
 
-def blocks_of(benchmark: DataFrame, gram: int) -> Iterator[Items]:
+def blocks_of(benchmark: DataFrame, gram: int, least: float) -> Iterator[Items]:
     """The items in blocks of ITEM_BYTES of text at most (one longer item is a block of its own)."""
     ids, texts, size = [], [], 0
     for item, text in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator():
         raw = (text or "").encode()
         if size and size + len(raw) > ITEM_BYTES:
-            yield Items(ids, texts, gram)
+            yield Items(ids, texts, gram, least)
             ids, texts, size = [], [], 0
         ids.append(item)
         texts.append(raw)
         size += len(raw)
     if ids:
-        yield Items(ids, texts, gram)
+        yield Items(ids, texts, gram, least)
 
 
-def seeded(docs: DataFrame, benchmark: DataFrame, gram: int) -> Iterator[Items]:
-    """Blocks of items whose n-grams are down to the rarer half of each item's."""
+def seeded(docs: DataFrame, benchmark: DataFrame, gram: int, least: float) -> Iterator[Items]:
+    """Blocks of items whose n-grams are down to the rarer ones of each item, without those that no placement needs."""
     sc = docs.sparkSession.sparkContext
-    for items in blocks_of(benchmark, gram):
+    for items in blocks_of(benchmark, gram, least):
         if not len(items.hash):
             continue
         known, back = np.unique(items.hash, return_inverse=True)
@@ -227,7 +275,8 @@ def seeded(docs: DataFrame, benchmark: DataFrame, gram: int) -> Iterator[Items]:
         order = np.lexsort((n, items.item))
         edges = np.flatnonzero(np.diff(items.item[order])) + 1
         for own in np.split(order, edges):
-            keep[own] = n[own] <= n[own[(len(own) - 1) // 2]]
+            i = items.item[own[0]]
+            keep[own[: len(own) - items.kept[i] + items.seeds[i]]] = True
         items.only(keep)
         yield items
 
@@ -236,7 +285,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, least:
     """`doc_id, item_id, score, end_word` for each document and item that match."""
     schema = "doc_id long, item_id long, score double, end_word long"
     out = None
-    for items in seeded(docs, benchmark, gram):
+    for items in seeded(docs, benchmark, gram, least):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -254,7 +303,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, least:
 
 def clean(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, least: float = LEAST) -> DataFrame:
     """The rows of `docs`, in its columns, that no item contaminates."""
-    for items in seeded(docs, benchmark, gram):
+    for items in seeded(docs, benchmark, gram, least):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
