@@ -139,7 +139,7 @@ def document_counts(docs: DataFrame, sent, n: int) -> np.ndarray:
 
 
 def aligned(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best local alignment scores of an item with each row of `windows`, and where in the row each ends.
+    """Best local alignment scores of an item with each row of `windows`, and where in the row each ends first.
 
     Row by row of the item; gaps along the window are a running maximum.
     """
@@ -153,8 +153,9 @@ def aligned(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarr
         np.maximum(now, 0, out=now)
         now = np.maximum.accumulate(now + slope, 1) - slope
         top = now.max(1)
-        better = top > best
-        end[better] = now[better].argmax(1)
+        better = np.flatnonzero((top >= best) & (top > 0))
+        place = now[better].argmax(1)
+        end[better] = np.where(top[better] > best[better], place, np.minimum(place, end[better]))
         best = np.maximum(best, top)
         before = now
     return best, end
@@ -202,9 +203,10 @@ def matches(texts: list[bytes], items: Items, least: float) -> Iterator[tuple[in
     t, i, s = t[near], i[near], s[near]
     if not len(t):
         return
-    # one window for the seeds of a text and item whose diagonals lie within a few words
+    # a window reaches past the item by all words that a placement can have inserted, so the placements of
+    # each of its seeds lie in it; seeds of a text and item whose diagonals are no further apart share one
     size = np.array([len(w) for w in items.words], np.int64)
-    slack = size // 4 + 2
+    slack = items.cover - size
     order = np.lexsort((s, i, t))
     t, i, s = t[order], i[order], s[order]
     new = np.ones(len(t), bool)
@@ -242,7 +244,7 @@ def matches(texts: list[bytes], items: Items, least: float) -> Iterator[tuple[in
             share = score / (MATCH * len(word))
             for k in np.flatnonzero(share >= least).tolist():
                 key, got = (int(ct[part[k]]), item), (float(share[k]), int(a[part[k]] + end[k] - (ends - counts)[ct[part[k]]]))
-                if key not in found or got[0] > found[key][0]:
+                if key not in found or (got[0], -got[1]) > (found[key][0], -found[key][1]):
                     found[key] = got
     for (text, item), (share, end) in sorted(found.items()):
         yield text, item, share, end

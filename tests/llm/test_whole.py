@@ -9,23 +9,26 @@ from dossia.llm import decontaminate  # noqa: E402
 
 
 def share(item, text):
-    """Best Smith-Waterman score of two word lists as a share of a perfect one, cell by cell."""
-    best, before = 0, [0] * (len(text) + 1)
+    """Best Smith-Waterman score of two word lists as a share of a perfect one, and where it ends first, cell by cell."""
+    best, end, before = 0, 0, [0] * (len(text) + 1)
     for x in item:
         now = [0]
         for k, y in enumerate(text):
             now.append(max(0, before[k] + (2 if x == y else -1), before[k + 1] - 1, now[k] - 1))
-        best, before = max(best, *now), now
-    return best / (2 * len(item))
+        top = max(now)
+        if top and top >= best:
+            end = min(now.index(top), end if top == best else len(text))
+        best, before = max(best, top), now
+    return best / (2 * len(item)), end
 
 
 def held(spark, items, texts):
     """The matches of the operator, which must be those of all pairs."""
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, bench).collect()}
+    got = {(r.doc_id, r.item_id): (r.score, r.end_word) for r in decontaminate.contaminated(docs, bench).collect()}
     scores = {(d, i): share(item, text) for d, text in enumerate(texts) for i, item in enumerate(items)}
-    assert got == {k: s for k, s in scores.items() if s >= 0.6}
+    assert got == {k: s for k, s in scores.items() if s[0] >= 0.6}
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == set(range(len(texts))) - {d for d, _ in got}
     return got
 
@@ -48,3 +51,20 @@ def test_decontaminate_changed_words(spark):
         texts += [surrounded(rng, item), surrounded(rng, item[: 2 * len(item) // 3]), surrounded(rng, item[len(item) // 3 :])]
     got = held(spark, items, texts)
     assert len({i for _, i in got}) == len(items)
+
+
+def test_decontaminate_inserted_words(spark):
+    """Words are inserted in one place, in many, or left out; copies are repeated with a few words between."""
+    rng = random.Random(7)
+    items = [[f"w{k}_{x}" for x in range(k)] for k in (1, 3, 6, 12, 40)]
+    texts = []
+    for item in items:
+        half = len(item) // 2
+        for more in sorted({0, 1, *(len(item) * x // 40 for x in (8, 16, 19, 20, 25, 30, 32, 33))}):
+            texts.append(surrounded(rng, item[:half] + ["x"] * more + item[half:]))
+            for every in (1, 2, 3):
+                texts.append(surrounded(rng, [y for k, w in enumerate(item) for y in ([w, "x"] if k % every == 0 and k < more * every else [w])]))
+        texts.append(surrounded(rng, [w for k, w in enumerate(item) if k % 6]))
+        texts.append(surrounded(rng, [w for r in range(12) for w in (item[: half + r] + ["x"] * r + item[half + r + 1 :])]))
+    got = held(spark, items, texts)
+    assert len({i for _, i in got}) == len(items)
