@@ -1,8 +1,9 @@
 """Licence scan by sentence rules, native DataFrame functions only (operator 2).
 
-Texts are cut into sentences, sentences that hold a cue word are normalised (lower case, other
-characters than letters, digits and inner points become one space), and known ones get their
-identifier. The sequence of identifiers of a text is then rewritten by ordered licence rules:
+Texts that hold a cue word are normalised (lower case, other characters than letters, digits, line
+ends and the points that end sentences become one space), and known sentences in them get their
+identifier. A sentence begins and ends where a line or sentence does; inside, it may be wrapped over
+lines, each with a comment prefix, but not over an empty line. The sequence of identifiers of a text is then rewritten by ordered licence rules:
 full licence texts before headers before references, each rule turning its sequence of
 identifiers into the licence's name. Identifiers that no rule takes are counted.
 
@@ -74,18 +75,31 @@ RULES = [
 CUES = ["licen", "permission", "copyright", "warrant", "liable", "redistribut", "gnu general", "rights reserved"]
 assert all(any(c in s for c in CUES) for s in SENTENCES)
 
-BREAK = r"([.!?:;])[ \t\r]+"
-CUT_MARK = "\n"
+#: In normalised text: what stands before a line's or sentence's first word, between two words, and after the last.
+PREFIX = r"(?:rem|dnl|c) "
+START = rf"(?:^|\n|[.!?:;] ) ?[.!?:;]*+(?:{PREFIX}|[a-z0-9] )?"
+BETWEEN = rf"(?=[ !?:;\n])[ !?:;]*+(?:\n[ .!?:;]*+(?:{PREFIX})?)?"
+END = r"(?=[ .!?:;]*(?:\n|$|[.!?:;] ))"
 
 
-def sentence_breaks(text: Column) -> Column:
-    """Text with a line end after every sentence's end; wrapped lines of one paragraph stay apart."""
-    return F.regexp_replace(text, BREAK, "$1" + CUT_MARK)
+def cue_pattern() -> str:
+    """Any cue word in any case, wrapped or not."""
+    return "(?i)" + "|".join(c.replace(" ", r"[^a-z0-9]+(?:(?:rem|dnl|c)[^a-z0-9]+)?") for c in CUES)
 
 
-def normalised(sentence: Column) -> Column:
-    plain = F.regexp_replace(F.lower(sentence), r"[^a-z0-9.]+", " ")
-    return F.regexp_replace(plain, r"^[ .]+|[ .]+$", "")
+def known_pattern() -> str:
+    """Any known sentence as a group, longer ones first."""
+    known = sorted(SENTENCES, key=len, reverse=True)
+    return START + "(" + "|".join(s.replace(".", r"\.").replace(" ", BETWEEN) for s in known) + ")" + END
+
+
+def normalised(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"\r\n?", "\n"), r"[^a-z0-9.!?:;\n]+", " ")
+
+
+def one_line(sentence: Column) -> Column:
+    """A known sentence as found, in the form of SENTENCES."""
+    return F.regexp_replace(sentence, rf"[ !?:;]*\n[ .!?:;]*(?:{PREFIX})?|[ !?:;]+", " ")
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -94,10 +108,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     sentence_ids and licenses are in the order of the text, the former joined by `;`, the latter by `,`.
     """
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    cue = "(?i)" + "|".join(CUES)
     text = F.coalesce(F.col("text"), F.lit(""))
-    # texts without a cue word aren't cut at all
-    found = F.when(text.rlike(cue), F.filter(F.transform(F.filter(F.split(sentence_breaks(text), CUT_MARK), lambda s: s.rlike(cue)), lambda s: F.try_element_at(known, normalised(s))), lambda x: x.isNotNull()))
+    # texts without a cue word aren't searched at all
+    found = F.when(text.rlike(cue_pattern()), F.transform(F.regexp_extract_all(normalised(text), F.lit(known_pattern()), F.lit(1)), lambda s: F.try_element_at(known, one_line(s))))
     ids = docs.select(F.col("doc_id").cast("long"), F.coalesce(found, F.array().cast("array<string>")).alias("ids"))
     tokens = F.concat_ws("", F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))))
     named = reduce(lambda c, rule: F.replace(c, F.lit("".join(f"<{i}>" for i in rule[1])), F.lit(f"[{rule[0]}]")), RULES, tokens)
@@ -109,7 +122,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The scan in DuckDB's SQL."""
+    """The scan in DuckDB's SQL, for texts whose sentences stand on one line each and have no break inside."""
     values = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
     named = "tokens"
     for name, ids in RULES:

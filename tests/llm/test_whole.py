@@ -1,11 +1,12 @@
 """Operators against plain versions of themselves, where a cut would lose something."""
 
 import random
+import textwrap
 
 import pytest
 
 pytest.importorskip("dossia.llm")
-from dossia.llm import decontaminate  # noqa: E402
+from dossia.llm import decontaminate, licenses  # noqa: E402
 
 
 def share(item, text):
@@ -68,3 +69,67 @@ def test_decontaminate_inserted_words(spark):
         texts.append(surrounded(rng, [w for r in range(12) for w in (item[: half + r] + ["x"] * r + item[half + r + 1 :])]))
     got = held(spark, items, texts)
     assert len({i for _, i in got}) == len(items)
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+LIABLE = """ IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+APACHE_REST = """
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL = """This program is free software%s you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version %d of the License, or (at your option) any later version."""
+GPL_REST = """
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program%s"""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+%s
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE."""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+#: A public text for each rule, in the rules' order.
+PUBLIC = [
+    MIT + LIABLE, MIT, APACHE + APACHE_REST, APACHE, GPL % (":", 3) + GPL_REST % ".  If not, see <https://www.gnu.org/licenses/>.", GPL % (":", 3),
+    GPL % (";", 2) + GPL_REST % "; if not, write to the Free Software Foundation, Inc.", GPL % (";", 2), BSD % ENDORSE, BSD % "",
+    "This project is licensed under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY-NC 4.0.",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one.",
+    "Copyright (c) 2020, Owner\n\nAll rights reserved.",
+]
+
+
+def wrapped(text, width, prefix, end="\n"):
+    lines = [line for par in text.split("\n") for line in (textwrap.wrap(par, width, break_long_words=False) or [""])]
+    return end.join((prefix + line).rstrip() for line in lines)
+
+
+def test_licenses_wrapped(spark):
+    """Every rule takes the whole public text, on one line a paragraph or wrapped, bare or in comments."""
+    rows, want = [], {}
+    for (name, ids), text in zip(licenses.RULES, PUBLIC, strict=True):
+        for width in (10**6, 79, 50, 12):
+            for prefix, end in (("", "\n"), ("# ", "\n"), (" * ", "\r\n"), ("// ", "\n"), (";; ", "\n"), ("-- ", "\n"), ("REM ", "\r\n"), ("dnl ", "\n"), ("C     ", "\n"), ('.\\" ', "\n")):
+                for before in ("", "First some prose.\n\n"):
+                    want[len(rows)] = (name, ";".join(ids), 0)
+                    rows.append((len(rows), before + wrapped(text, width, prefix, end)))
+    got = {r.doc_id: (r.licenses, r.sentence_ids, r.n_unmatched) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(rows[k][1], got[k], want[k]) for k in want if got[k] != want[k]] == []
+
+
+def test_licenses_left_alone(spark):
+    """Sentences that only hold a known one, or are broken by an empty line, are none."""
+    texts = ["It was released under the MIT License.", "Released under the MIT License in 2010.", "Released under the\n\nMIT License.", "# Released under the\n#\n# MIT License.", "Released under. The MIT License.", "Unreleased\nunder the MIT License", "." * 50000 + "licence" + " :" * 50000]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.licenses) for r in got if r.n_sentences] == []
