@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossia.llm import decontaminate, jaccard, packing, quality, suffixes
-from dossia.llm.kernels import written
+from dossia.llm.kernels import cut, written
 from dossia.llm.queries import tokenizer
 
 
@@ -20,11 +20,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the Jaccard join: the one with the smallest doc_id; rows without id or words stay."""
-    found = jaccard.jaccard_components(docs).select(F.col("doc_id").alias("k_id"), "component_id", "n_shingles")
-    kept = found.where("k_id = component_id").select("k_id").distinct()
-    # a document without an id can't be named by another one
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.k_id), "left_semi").unionByName(docs.where("doc_id is null"))
+    """One row of each component of the Jaccard join: of its smallest doc_id, if a row has one; rows without words all stay.
+
+    Where an id is repeated or missing, the row is told by its class too, and the smallest text stands for rows alike in both.
+    """
+    named = cut(jaccard.rooted(docs))
+    first = named.where("key <> 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("x"))
+    kept = first.select(F.col("x.doc_id").alias("k_id"), F.col("x.key").alias("k_key"))
+    many = named.where("doc_id is not null").groupBy(F.col("doc_id").alias("m_id")).count().where("count > 1").select("m_id")
+    # an id that one row has is enough to know it by
+    alone = kept.select("k_id").unionByName(named.where("key = 0").select(F.col("doc_id").alias("k_id"))).where("k_id is not null")
+    alone = docs.join(alone.join(many, F.col("k_id") == F.col("m_id"), "left_anti"), F.col("doc_id") == F.col("k_id"), "left_semi")
+    others = jaccard.with_class_key(docs.join(many, F.col("doc_id") == F.col("m_id"), "left_semi").unionByName(docs.where("doc_id is null")))
+    told = kept.join(many, F.col("k_id") == F.col("m_id"), "left_semi").unionByName(kept.where("k_id is null"))
+    found = others.join(told, (F.col("class_key") == F.col("k_key")) & F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
+    one = found.groupBy("class_key").agg(F.min(F.struct("text", *(c for c in docs.columns if c != "text"))).alias("x"))
+    return alone.unionByName(one.select("x.*")).unionByName(others.where("class_key = 0").drop("class_key"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

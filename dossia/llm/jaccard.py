@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from dossia.llm.kernels import as_bytes, components, cut, mix, n_parts, packed, parts, shingle_sets, slices, unpacked, written
 
@@ -320,8 +321,20 @@ def block_links(placed: DataFrame, percent: int) -> DataFrame:
     return sorted_.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """`doc_id, n_shingles, component_id, class_key` of each row."""
+def with_class_key(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of `docs` in all their columns, and the `class_key` of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                keys = np.array([set_key(s) for s in shingle_sets(lower(as_bytes(part.column("text"))), width)], np.uint64)
+                yield part.append_column("class_key", pa.array(keys.view(np.int64)))
+
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField("class_key", LongType())]))
+
+
+def rooted(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """`doc_id, n, key, root` of each row: size and key of its set (0 if empty), and the key that its component is known by."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     with_keys, counts = documents_with_keys(docs, width)
@@ -346,7 +359,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
         docs_met = docs
     edges = block_links(placed_sets(docs_met, tasks, width), percent)
     roots = components(edges)
-    named = with_keys.join(roots, with_keys.key == roots.node, "left").withColumn("root", F.coalesce("root", "key"))
+    return with_keys.join(roots, with_keys.key == roots.node, "left").select("doc_id", "n", "key", F.coalesce("root", "key").alias("root"))
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """`doc_id, n_shingles, component_id, class_key` of each row."""
+    named = rooted(docs, percent, width)
     names = named.where("key <> 0").groupBy("root").agg(F.min("doc_id").alias("least")).withColumnRenamed("root", "r_root")
     out = named.join(names, (named.root == names.r_root) & (named.key != 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.col("key").alias("class_key"))

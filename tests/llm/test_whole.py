@@ -133,3 +133,40 @@ def test_licenses_left_alone(spark):
     texts = ["It was released under the MIT License.", "Released under the MIT License in 2010.", "Released under the\n\nMIT License.", "# Released under the\n#\n# MIT License.", "Released under. The MIT License.", "Unreleased\nunder the MIT License", "." * 50000 + "licence" + " :" * 50000]
     got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert [(r.doc_id, r.licenses) for r in got if r.n_sentences] == []
+
+
+def test_near_duplicates_keep_one_row(spark):
+    """One row of each component stays, with repeated and missing ids too, and the next stage keeps its text."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    text = lambda: [f"{rng.randint(0, 10**9):09d}" for _ in range(90)]
+    rows = []
+    for k in range(24):
+        base = text()
+        near = base[:-1] + ["other"]
+        ids = [[k, k], [None, None], [k, None], [k, k + 100], [k + 100, k, k], [k, k, None], [k], [None]][k % 8]
+        for n, i in enumerate(ids):
+            rows.append((i, " ".join(near if n and k >= 8 else base)))
+    rows += [(500, " ".join(text())), (500, " ".join(text())), (None, "one  two"), (None, "One two"), (600, ""), (600, None), (None, ""), (None, " ")]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n_chars int").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(r.n_chars for r in kept.collect())
+    worded = [k for k in got if sets[k]]
+    assert [k for k in got if not sets[k]] == [k for k in range(len(rows)) if not sets[k]]
+    assert sorted(root[k] for k in worded) == sorted({r for r, s in zip(root, sets) if s})
+    for k in worded:
+        ids = [i for (i, _), r in zip(rows, root) if r == root[k] and i is not None]
+        assert rows[k][0] == (min(ids) if ids else None)
+    rest = corpus_pipeline.repeated_passages(spark, kept, "").collect()
+    assert sorted((r.doc_id or -1, r.text) for r in rest) == sorted((rows[k][0] or -1, rows[k][1]) for k in worded)
