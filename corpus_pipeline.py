@@ -62,7 +62,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The line labeller, the suffix order and the alignments aren't SQL; tests hold run() against brute force.
+#: The line labeller, the suffix order and the alignments aren't SQL. Tests hold single stages against plain versions; of run() as a whole only that it gives rows.
 ORACLE_SQL = None
 
 

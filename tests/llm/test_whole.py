@@ -6,7 +6,7 @@ import textwrap
 import pytest
 
 pytest.importorskip("dossia.llm")
-from dossia.llm import decontaminate, licenses  # noqa: E402
+from dossia.llm import decontaminate, licenses, quality  # noqa: E402
 
 
 def share(item, text):
@@ -170,3 +170,23 @@ def test_near_duplicates_keep_one_row(spark):
         assert rows[k][0] == (min(ids) if ids else None)
     rest = corpus_pipeline.repeated_passages(spark, kept, "").collect()
     assert sorted((r.doc_id or -1, r.text) for r in rest) == sorted((rows[k][0] or -1, rows[k][1]) for k in worded)
+
+
+def test_quality_base_columns(spark):
+    """The base counts of random texts, against plain ones."""
+    rng = random.Random(9)
+    parts = ["a", "Bc", "de9", "é", "漢字", "#", "*|", "!", "?.", " ", "  ", "\t", "\n", "\n\n", "\r\n", "line of text\n", "x y z u v w "]
+    texts = [None, "", " \n ", "a b c d e a b c d e"] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 120))) for _ in range(300)]
+    want = {}
+    for i, t in enumerate(texts):
+        t = t or ""
+        words = t.encode().split()
+        shown = lambda x: sum(not c.isspace() for c in x)
+        lines = t.split("\n")
+        grams = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+        inside = {k + x for k, g in enumerate(grams) if grams.count(g) > 1 for x in range(5)}
+        want[i] = (len(words), shown(t), sum(t.count(c) for c in "#*$%&|<>"), sum(shown(x) > 0 and x in lines[:k] for k, x in enumerate(lines)), len(inside))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    field = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.judged(docs, field).collect()}
+    assert got == want
