@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossia.llm.kernels import U, as_bytes, mix, slices, window_starts, word_hashes
+from dossia.llm.kernels import U, as_bytes, mix, slices, tidy, window_starts, word_hashes
 
 GRAM, LEAST = 3, 0.6
 ITEM_BYTES = 8 << 20
@@ -133,7 +133,7 @@ def document_counts(docs: DataFrame, sent, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
 
     out = np.zeros(n, np.int64)
-    for k, many in docs.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n")).toLocalIterator():
+    for k, many in docs.mapInArrow(tidy(run), "k long, n long").groupBy("k").agg(F.sum("n")).toLocalIterator():
         out[k] = many
     return out
 
@@ -298,7 +298,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, least:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "score", "end_word"])
 
-        got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+        got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), schema)
         out = got if out is None else out.unionByName(got)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -316,5 +316,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, least: float
                         keep[t] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -6,19 +6,21 @@ so that a Python worker's memory doesn't follow the batch that Spark happens to
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
 BATCH_BYTES = 8 << 20
-WORD_CACHE = 400_000
+CHUNK = 1 << 18
+#: Bytes of a row group of tables between steps: what a writer holds in memory.
+ROW_GROUP = 16 << 20
 U = np.uint64
 
 _rng = np.random.default_rng(20240607)
@@ -57,27 +59,78 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         lo = hi
 
 
-class WordHashes(dict):
-    """Stable 64-bit hashes of words, remembered for as long as they fit."""
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE = 0x9E3779B97F4A7C15
+_CODES = mix(np.arange(1, 257, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
 
+def powers(base: int, n: int) -> np.ndarray:
+    """Powers 0..n-1 of a number modulo 2^64."""
+    out = np.full(n, base % 2**64, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out, dtype=np.uint64)
 
-_words = WordHashes()
+
+_UP, _DOWN = powers(_BASE, CHUNK + 1), powers(pow(_BASE, -1, 2**64), CHUNK + 1)
+
+
+def hashed_words(data: np.ndarray) -> np.ndarray:
+    """Hashes of the words of `data`, from prefix sums: a word's hash depends on its bytes alone."""
+    inside = np.concatenate(([False], ~SPACE[data], [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    long = len(data) > CHUNK
+    up, down = (powers(_BASE, len(data) + 1), powers(pow(_BASE, -1, 2**64), len(data) + 1)) if long else (_UP, _DOWN)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_CODES[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words `[^\\x20\\x09-\\x0D]+` of all texts, and the number of words of each."""
-    words, counts = [], np.empty(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        w = t.split()  # splits bytes at exactly \x20 and \x09-\x0D
-        counts[i] = len(w)
-        words += w
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)), counts
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    space = SPACE[data]
+    first = ~space
+    first[1:] &= space[:-1]
+    ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+    before = np.concatenate(([0], np.cumsum(first)))
+    counts = np.diff(before[np.concatenate(([0], ends))])
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        # chunks end after a blank, so that no word is cut; a longer word makes a longer chunk
+        stop = min(at + CHUNK, len(data))
+        blanks = np.flatnonzero(space[at:stop])
+        if len(blanks):
+            stop = at + int(blanks[-1]) + 1
+        else:
+            while not space[stop - 1]:
+                more = np.flatnonzero(space[stop : stop + CHUNK])
+                stop = stop + int(more[0]) + 1 if len(more) else stop + CHUNK
+        out.append(hashed_words(data[at:stop]))
+        at = stop
+    return np.concatenate(out), counts
+
+
+_libc = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Gives free memory back to the system, so that reused workers don't add up over stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that leaves no free memory behind in its worker."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
 
 
 def window_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,11 +199,13 @@ def n_parts(spark: SparkSession) -> int:
 
 
 def shared(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; where none is set, as in tests, one of our own."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where none is set and all runs on one machine, one of our own."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not at:
-        at = "file:///tmp/checkpoints/dossia"
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file:///tmp/checkpoints/dossia"  # one machine, as in tests
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))  # what a Python worker is sent at a time
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(at)
@@ -166,7 +221,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder."""
     at = f"{shared(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

@@ -8,10 +8,10 @@ the last tokens of all are cut into powers of two. Sequences get a step group su
 group has every tier in the proportion of the whole.
 
 Texts are tokenised once, into a table of ids in the shared folder. The order within a tier is
-(partition of that table, row), so places are prefix sums: tokens are counted per partition and tier
-(a few numbers per partition reach the driver), and a pass over the same partitions adds its
-partition's offset and cuts. Nothing is shuffled, and a lost task is redone from its partition alone.
-That pass checks that it saw the rows that were counted.
+(part of that table, row), so places are prefix sums: each row is stored with its part and with what
+comes before it there, tokens are counted per part and tier (a few numbers a part reach the driver),
+and each row then adds its part's offset and cuts. Nothing is shuffled, a lost task is redone from its
+part alone, and the result can be coalesced or used twice.
 
 Null and empty texts have one token (the end token); repeated rows are packed each; an empty table
 gives no pieces; other columns are ignored.
@@ -30,10 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossia.llm.kernels import as_bytes, slices, written
+from dossia.llm.kernels import as_bytes, slices, tidy, written
 
 WINDOW, SMALLEST = 4096, 256
-WORDS, PIECES = 50_000, 300_000
+WORDS, PIECES = 50_000, 200_000
+#: Up to so many parts of the table of ids have their offsets broadcast (80 bytes each).
+SENT_PARTS = 1_000_000
 #: Pre-tokens that are looked up as one line.
 LINE = 256
 #: Texts of these characters only are normalised by lower case alone, and split the same way by the plain engine.
@@ -50,12 +52,10 @@ class WordIds(dict):
     those of its words.
     """
 
-    def __init__(self, path: str, limit: int, apart: bool):
+    def __init__(self, tokenizer, limit: int, apart: bool):
         """Remembers up to `limit` words, and those in use before as many again; `apart`: words are pre-tokens."""
         super().__init__()
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer
         small = self.tokenizer.get_vocab_size() < 2**16
         self.dtype, self.code = ("<u2", "H") if small else ("<u4", "I")
 
@@ -123,8 +123,11 @@ def token_ids(path: str, texts: list[bytes], end_id: int) -> tuple[list[bytes],
     if path not in _ids:
         import os
 
+        from tokenizers import Tokenizer
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _ids[path] = (WordIds(path, PIECES, True), WordIds(path, WORDS, False))
+        library = Tokenizer.from_file(path)
+        _ids[path] = (WordIds(library, PIECES, True), WordIds(library, WORDS, False))
     pieces, words = _ids[path]
     end = np.array([end_id], pieces.dtype).tobytes()
     cut, plain = [], []
@@ -205,47 +208,59 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
     kept = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, whole, at = TaskContext.get().partitionId(), 0, np.zeros(T, np.int64)
         for batch in batches:
             for part in slices(batch):
                 ids, dtype = token_ids(tokenizer, as_bytes(part.column("text")), end_id)
                 width = int(dtype[-1])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "n", "width", "ids"])
-
-    stored = written(kept.mapInArrow(tokenise, "doc_id long, n long, width int, ids binary"), "ids")
+                n = np.array([len(x) // width for x in ids], np.int64)
+                rest, full = n % window, n // window
+                tier = tier_of(rest, sizes)
+                # how many full windows, and tokens of the row's own tier, come before it in its part
+                before_whole, before = whole + np.cumsum(full) - full, np.zeros(len(n), np.int64)
+                for k in range(T):
+                    own = np.where(tier == k, rest, 0)
+                    sums = np.cumsum(own)
+                    before += np.where(tier == k, at[k] + sums - own, 0)
+                    at[k] += sums[-1]
+                whole += int(full.sum())
+                columns = [part.column("doc_id"), pa.array(n), pa.array([width] * len(n), pa.int32()), pa.array([p] * len(n), pa.int32()), pa.array(before_whole), pa.array(before), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "width", "p", "before_whole", "before", "ids"])
+
+    stored = written(kept.mapInArrow(tidy(tokenise), "doc_id long, n long, width int, p int, before_whole long, before long, ids binary"), "ids")
     rest = F.col("n") % window
     bounds = [(0 if k + 1 == T else sizes[k + 1], size) for k, size in enumerate(sizes)]
-    sums = F.array(*[F.sum(F.when((rest > lo) & (rest <= hi), rest).otherwise(0)) for lo, hi in bounds])
-    counted = stored.select(F.spark_partition_id().alias("p"), "n").groupBy("p").agg(F.sum(F.expr(f"n div {window}")).alias("whole"), sums.alias("sums"))
-    found = sorted((p, whole, list(x)) for p, whole, x in counted.collect())  # a row for each partition
-    whole_base, base, w, s = {}, {}, 0, np.zeros(T, np.int64)
-    for p, whole, sums in found:
-        whole_base[p], base[p] = w, s.copy()
-        w, s = w + whole, s + np.array(sums)
-    wanted = {p: (whole, sums) for p, whole, sums in found}
-    runs = layout(s.tolist(), sizes)
-    n_steps = max(1, -(-int(w * window + s.sum()) // step_tokens))
+    sums = [F.sum(F.when((rest > lo) & (rest <= hi), rest).otherwise(0)).alias(f"t{k}") for k, (lo, hi) in enumerate(bounds)]
+    # a row for each part of the table of ids
+    found = stored.groupBy("p").agg(F.sum(F.expr(f"n div {window}")).alias("whole"), *sums).toPandas().sort_values("p")
+    counts = found[["whole", *(f"t{k}" for k in range(T))]].to_numpy(np.int64).reshape(-1, T + 1)
+    bases = np.cumsum(counts, 0) - counts
+    totals = counts.sum(0).tolist()
+    w, s = totals[0], totals[1:]
+    runs = layout(s, sizes)
+    n_steps = max(1, -(-(w * window + sum(s)) // step_tokens))
     many = [max(1, sum((b - a) // size for a, b, _, size in r if size > 0)) for r in runs]
-    places = docs.sparkSession.sparkContext.broadcast((whole_base, base, wanted))
+    rows_ = [(int(p), int(x[0]), x[1:].tolist()) for p, x in zip(found["p"].to_numpy(), bases)]
+    places = docs.sparkSession.createDataFrame(rows_, "b_p int, base_whole long, base array<long>")
+    # 80 bytes for each part: sent to all while that is little, joined otherwise
+    places = F.broadcast(places) if len(rows_) <= SENT_PARTS else places
+    placed = stored.join(places, F.col("p") == F.col("b_p")).drop("p", "b_p")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = TaskContext.get().partitionId()
-        bases, offsets, want = places.value
-        if p not in bases:  # a partition without rows
-            bases, offsets, want = {p: 0}, {p: np.zeros(T, np.int64)}, {p: (0, [0] * T)}
-        at_whole, at = bases[p], offsets[p].tolist()
-        first_whole, first = at_whole, list(at)
         for batch in batches:
             for part in slices(batch, "ids"):
                 out = []
-                for doc, n, width, raw in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n", "width", "ids"))):
-                    ids = np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes()
+                columns = ("doc_id", "n", "width", "ids", "before_whole", "before", "base_whole", "base")
+                for doc, n, width, raw, before_whole, before, base_whole, base in zip(*(part.column(c).to_pylist() for c in columns)):
+                    ids, at_whole = np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes(), base_whole + before_whole
                     for k in range(n // window):
-                        out.append((doc, k * window, window, zlib.crc32(ids[4 * k * window : 4 * (k + 1) * window]), n, -1 - at_whole, 0, window, at_whole * n_steps // max(1, w), ids[4 * k * window : 4 * (k + 1) * window]))
+                        piece = ids[4 * k * window : 4 * (k + 1) * window]
+                        out.append((doc, k * window, window, zlib.crc32(piece), n, -1 - at_whole, 0, window, at_whole * n_steps // max(1, w), piece))
                         at_whole += 1
                     if n % window:
                         start, k = n - n % window, int(tier_of(np.array([n % window]), sizes)[0])
-                        lo, hi = at[k], at[k] + n % window
-                        at[k] = hi
+                        lo = base[k] + before
+                        hi = lo + n % window
                         for a, b, sequence, size in runs[k]:
                             x = max(a, lo)
                             while x < min(b, hi):
@@ -263,8 +278,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
                         out = []
                 if out:
                     yield rows(out)
-        if (at_whole - first_whole, [x - y for x, y in zip(at, first)]) != (want[p][0], list(want[p][1])):
-            raise RuntimeError(f"partition {p} has other rows than in the first pass")
 
     kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64(), pa.binary()]
     names = [x.split()[0] for x in SCHEMA.split(", ")] + ["ids"]
@@ -273,4 +286,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
         cols = list(zip(*out))[: len(names) - (not extra_ids)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names[: len(cols)])
 
-    return stored.mapInArrow(place, SCHEMA + ", ids binary" * extra_ids)
+    return placed.mapInArrow(tidy(place), SCHEMA + ", ids binary" * extra_ids)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossia.llm.kernels import as_bytes, slices
+from dossia.llm.kernels import as_bytes, slices, tidy
 
 #: How byte-level BPE splits text before merging (a public, fixed pattern).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -160,4 +160,4 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", limit: int =
                 )
 
     kept = df.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return kept.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossia.llm.kernels import shared
+from dossia.llm.kernels import shared, tidy
 
 LEAST = 1000
 TIME = "2024-01-01T00:00:00Z"
@@ -115,7 +115,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, digest string, address string, header binary, payload binary")
+    return files.mapInArrow(tidy(run), "page_id long, url string, record_type string, refers_to long, digest string, address string, header binary, payload binary")
 
 
 NAMES = ["page_id", "url", "record_type", "refers_to", "digest", "address", "header", "payload"]
