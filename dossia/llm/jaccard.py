@@ -2,8 +2,7 @@
 
 Texts become sets of five-word shingles. Two texts link when their sets' Jaccard similarity is at
 least `percent`/100. The global n-gram order (frequent ones last, the rest by hash) is cut into
-fragments; overlaps are counted fragment by fragment and summed for each pair, and a pair is given
-up as soon as the fragments seen so far rule it out.
+fragments; overlaps are counted fragment by fragment and summed for each pair.
 
 1. Equal sets are one class, known by a 64-bit key of the set, so copies take part once.
 2. Every class posts the shingles of its prefix in the global order, so long a one that two classes that
@@ -12,8 +11,13 @@ up as soon as the fragments seen so far rule it out.
 3. Of the classes that share a posted shingle, the one with most such partners is the shingle's hub.
    Classes meet in the groups of their hubs, each pair of classes that shares a shingle in at least
    one; large groups are split into blocks, and every pair of blocks is a task's work.
-4. A task counts overlaps per fragment from an inverted index, and gives a spanning forest of the
-   links it found, not all pairs. Distributed connected components give the classes.
+4. A task counts overlaps fragment by fragment, from an inverted index of the fragment's shingles, and
+   sums the partial counts per pair. It gives a spanning forest of the links it found and each
+   class's number of links, not all pairs; a pair that meets in several groups counts in the one of the
+   smallest hub. Distributed connected components give the classes.
+
+Fragments are summed in the task where their sets meet, not in a second shuffle: a hot group's partial
+counts are quadratic in the group and mustn't be written out.
 
 Null and word-less texts have an empty set and link with nothing; fewer than five words are one
 shingle; repeated rows and equal texts share a class; rows without doc_id count as members but
@@ -32,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from dossia.llm.kernels import as_bytes, components, cut, mix, n_parts, packed, parts, shingle_sets, slices, unpacked, written
+from dossia.llm.kernels import as_bytes, components, cut, mix, n_parts, packed, parts, shingle_sets, slices, tidy, unpacked, written
 
 PERCENT, WIDTH = 75, 5
 MARGIN = 12
@@ -99,7 +103,7 @@ def documents_with_keys(docs: DataFrame, width: int) -> tuple[DataFrame, DataFra
         return pa.RecordBatch.from_arrays([pa.nulls(len(values), pa.int64()), pa.array(counts.astype(np.int64)), pa.nulls(len(values), pa.int64()), pa.array(values.view(np.int64))], names=names)
 
     names = ["doc_id", "n", "key", "shingle"]
-    both = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, key long, shingle long"), "sets")
+    both = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, n long, key long, shingle long"), "sets")
     return both.where("key is not null").select("doc_id", "n", "key"), both.where("key is null").select("shingle", "n")
 
 
@@ -146,7 +150,7 @@ def postings(docs: DataFrame, hot, width: int, percent: int, n: int) -> DataFram
         rows = list(packed(parts(mix(s), n), s, k))  # posted hashes crowd at 0, so they are mixed again
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "shingles", "keys"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "part int, shingles binary, keys binary")
+    return docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "part int, shingles binary, keys binary")
 
 
 def shared_postings(posted: DataFrame) -> DataFrame:
@@ -182,100 +186,152 @@ def memberships(shared_: DataFrame, sizes: DataFrame, percent: int) -> DataFrame
     return meet.withColumn("gone", F.sum("c").over(upto)).where("gone > spare").select("hub", "key")
 
 
-def placed_sets(docs: DataFrame, tasks: DataFrame, width: int) -> DataFrame:
-    """(hub, x, y, side, key, members): the set of each text, once for each of its tasks (doc_id, tasks)."""
+PLACED = "hub long, x int, y int, side int, key long, many long, plain int, members binary, hubs binary"
+PLACED_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+PLACED_NAMES = [x.split()[0] for x in PLACED.split(", ")]
+
+
+def placed_sets(docs: DataFrame, tasks: DataFrame, hot, width: int) -> DataFrame:
+    """The set of each text, in the global order, once for each of its tasks (doc_id, many, tasks).
+
+    plain: how many members come before the frequent ones; hubs: all groups that the class is in.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(lower(as_bytes(part.column("text"))), width)
                 rows, held = [], 0
-                for s, places in zip(sets, part.column("tasks").to_pylist()):
-                    key, members = int(np.uint64(set_key(s)).view(np.int64)), s.tobytes()
+                for s, many, places in zip(sets, part.column("many").to_pylist(), part.column("tasks").to_pylist()):
+                    key, frequent_ = int(np.uint64(set_key(s)).view(np.int64)), is_in(s, hot.value)
+                    members = np.concatenate((s[~frequent_], s[frequent_])).tobytes()
+                    plain, hubs = len(s) - int(frequent_.sum()), np.unique(np.array([t["hub"] for t in places], np.int64)).tobytes()
                     for t in places:
-                        rows.append((t["hub"], t["x"], t["y"], t["side"], key, members))
-                        held += len(members)
+                        rows.append((t["hub"], t["x"], t["y"], t["side"], key, many, plain, members, hubs))
+                        held += len(members) + len(hubs)
                         if held > 8 << 20:
-                            yield batch_of(rows)
+                            yield batch_of(rows, PLACED_TYPES, PLACED_NAMES)
                             rows, held = [], 0
                 if rows:
-                    yield batch_of(rows)
-
-    def batch_of(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["hub", "x", "y", "side", "key", "members"])
-
-    joined = docs.join(tasks, docs.doc_id.eqNullSafe(tasks.t_doc)).select("text", "tasks")
-    return joined.mapInArrow(run, "hub long, x int, y int, side int, key long, members binary")
-
-
-def linked(sets: list[np.ndarray], sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets; with sides, only links between side 0 and side 1 must be found.
-
-    Counts overlaps fragment by fragment (ranges of the hash, in order) and sums them per pair.
-    """
-    m = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    need = lambda i, j: -(-percent * (size[i] + size[j]) // (100 + percent))  # noqa: E731  least overlap
-    root = list(range(m))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    edges: list[tuple[int, int]] = []
-
-    def join(i: int, j: int) -> None:
-        a, b = find(i), find(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            edges.append((i, j))
-
-    bounds = [k * 2**64 // FRAGMENTS for k in range(1, FRAGMENTS)]
-    at = np.stack([np.concatenate(([0], np.searchsorted(s, np.array(bounds, np.uint64)), [len(s)])) for s in sets])
-    if m <= 12:
-        for i in range(m):
-            for j in range(i + 1, m):
-                if sides is not None and sides[i] == sides[j] or 100 * min(size[i], size[j]) < percent * max(size[i], size[j]) or find(i) == find(j):
-                    continue
-                overlap, least = 0, need(i, j)
-                for f in range(FRAGMENTS):
-                    a, b = sets[i][at[i, f] : at[i, f + 1]], sets[j][at[j, f] : at[j, f + 1]]
-                    overlap += len(np.intersect1d(a, b, assume_unique=True))
-                    if overlap + min(size[i] - at[i, f + 1], size[j] - at[j, f + 1]) < least:
-                        break
-                else:
-                    join(i, j)
-        return edges
-    counted = np.zeros((m, m), np.int32)
-    for f in range(FRAGMENTS):
-        members = np.concatenate([s[at[i, f] : at[i, f + 1]] for i, s in enumerate(sets)])
-        owner = np.repeat(np.arange(m), at[:, f + 1] - at[:, f])
-        order = np.argsort(members, kind="stable")
-        members, owner = members[order], owner[order]
-        first = np.flatnonzero(np.concatenate(([True], members[1:] != members[:-1]))) if len(members) else np.zeros(0, np.int64)
-        stop = np.append(first[1:], len(members))
-        # equal lists of owners are counted once with their number
-        lists: dict[bytes, int] = {}
-        for a, b in zip(first.tolist(), stop.tolist()):
-            if b - a > 1:
-                x = owner[a:b].tobytes()
-                lists[x] = lists.get(x, 0) + 1
-        for x, times in lists.items():
-            o = np.frombuffer(x, owner.dtype)
-            if len(o) * 8 > m:
-                mark = np.zeros(m, np.int32)
-                mark[o] = times
-                counted[o] += mark
+                    yield batch_of(rows, PLACED_TYPES, PLACED_NAMES)
+
+    joined = docs.join(tasks, docs.doc_id.eqNullSafe(tasks.t_doc)).select("text", "many", "tasks")
+    return joined.mapInArrow(tidy(run), PLACED)
+
+
+def batch_of(rows: list, types: tuple, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+
+def is_in(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(values), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+
+
+class Meeting:
+    """The classes that meet in a task: their sets in the global order, sides, sizes and groups."""
+
+    def __init__(self, hub: int):
+        self.hub = hub
+        self.keys: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.plain: list[int] = []
+        self.sides: list[int] = []
+        self.many: list[int] = []
+        self.hubs: list[np.ndarray] = []
+        self.known: set[int] = set()
+
+    def add(self, key: int, side: int, many: int, plain: int, members: bytes, hubs: bytes) -> None:
+        if key not in self.known:  # rows that repeat a doc_id
+            self.known.add(key)
+            self.keys.append(key)
+            self.sides.append(side)
+            self.many.append(many)
+            self.plain.append(plain)
+            self.sets.append(np.frombuffer(members, np.uint64))
+            self.hubs.append(np.frombuffer(hubs, np.int64))
+
+    def fragment(self, f: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The members in fragment `f` of `n` of the global order, and whose they are. Frequent ones are the last fragment."""
+        lo, hi = f * 2**64 // max(n - 1, 1), (f + 1) * 2**64 // max(n - 1, 1)
+        out = []
+        for s, plain in zip(self.sets, self.plain):
+            if n == 1:
+                out.append(s)
+            elif f == n - 1:
+                out.append(s[plain:])
             else:
-                counted[np.ix_(o, o)] += times
-    # 100 overlap >= percent union, with the union as the sizes less the overlap
-    link = ((100 + percent) * counted.astype(np.int64) >= percent * (size[:, None] + size[None])) & (counted > 0)
-    np.fill_diagonal(link, False)
-    if sides is not None:
-        link &= sides[:, None] != sides[None]
-    todo = np.ones(m, bool)
-    for i in range(m):
+                a = np.searchsorted(s[:plain], np.uint64(lo))
+                b = plain if hi == 2**64 else np.searchsorted(s[:plain], np.uint64(hi))
+                out.append(s[a:b])
+        return np.concatenate(out), np.repeat(np.arange(len(out)), [len(x) for x in out])
+
+    def links(self, percent: int, fragments: int) -> np.ndarray:
+        """Which classes link; with both sides present, only links across."""
+        m = len(self.sets)
+        counted = np.zeros((m, m), np.int64)
+        for f in range(fragments):
+            counted += partial_counts(*self.fragment(f, fragments), m)
+        size = np.array([len(s) for s in self.sets], np.int64)
+        # 100 overlap >= percent union, with the union as the sizes less the overlap
+        link = ((100 + percent) * counted >= percent * (size[:, None] + size[None])) & (counted > 0)
+        np.fill_diagonal(link, False)
+        sides = np.array(self.sides)
+        if len(set(self.sides)) > 1:
+            link &= sides[:, None] != sides[None]
+        return link
+
+    def own(self) -> np.ndarray:
+        """Which pairs count here: those without a smaller hub in common."""
+        m = len(self.sets)
+        of = np.repeat(np.arange(m), [len(h) for h in self.hubs])
+        hubs = np.concatenate(self.hubs)
+        of, hubs = of[hubs < self.hub], hubs[hubs < self.hub]
+        order = np.argsort(hubs, kind="stable")
+        of, hubs = of[order], hubs[order]
+        out = np.ones((m, m), bool)
+        for o in np.split(of, np.flatnonzero(np.diff(hubs)) + 1):
+            if len(o) > 1:
+                out[np.ix_(o, o)] = False
+        return out
+
+
+def partial_counts(members: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
+    """How many of the members each two owners have in common."""
+    out = np.zeros((m, m), np.int64)
+    if not len(members):
+        return out
+    order = np.argsort(members, kind="stable")
+    members, owner = members[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], members[1:] != members[:-1])))
+    # equal lists of owners are counted once with their number
+    if m <= 63:
+        lists, times = np.unique(np.bitwise_or.reduceat(np.int64(1) << owner, first), return_counts=True)
+        has = lists[:, None] >> np.arange(m) & 1
+        return (has * times[:, None]).T @ has
+    stop = np.append(first[1:], len(members))
+    found: dict[bytes, int] = {}
+    for a, b in zip(first.tolist(), stop.tolist()):
+        if b - a > 1:
+            x = owner[a:b].tobytes()
+            found[x] = found.get(x, 0) + 1
+    for x, n in found.items():
+        o = np.frombuffer(x, owner.dtype)
+        if len(o) * 8 > m:
+            mark = np.zeros(m, np.int64)
+            mark[o] = n
+            out[o] += mark
+        else:
+            out[np.ix_(o, o)] += n
+    return out
+
+
+def forest(link: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what `link` connects."""
+    edges: list[tuple[int, int]] = []
+    todo = link.any(1)
+    for i in range(len(link)):
         if todo[i]:
             todo[i], front = False, [i]
             while front:
@@ -287,38 +343,37 @@ def linked(sets: list[np.ndarray], sides: np.ndarray | None, percent: int) -> li
     return edges
 
 
-def block_links(placed: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) found in each task (hub, x, y) of rows (hub, x, y, side, key, members)."""
+def block_links(placed: DataFrame, percent: int, fragments: int) -> DataFrame:
+    """Of each task: links (a, b, null) that connect its classes, and (class, null, number of rows that it links with)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, sets, sides, found, known = None, [], [], [], [], set()
+        at, here, rows = None, None, []
 
         def done() -> None:
-            if len(keys) > 1:
-                s = np.array(sides)
-                order = np.argsort(np.array(keys), kind="stable").tolist()
-                found.extend((keys[order[i]], keys[order[j]]) for i, j in linked([sets[i] for i in order], s[order] if len(set(sides)) > 1 else None, percent))
+            if here is None or len(here.keys) < 2:
+                return
+            link = here.links(percent, fragments)
+            if not link.any():
+                return
+            rows.extend((here.keys[i], here.keys[j], None) for i, j in forest(link))
+            n = (link & here.own()) @ np.array(here.many, np.int64)
+            rows.extend((here.keys[i], None, int(n[i])) for i in np.flatnonzero(n).tolist())
 
         for batch in batches:
-            for hub, x, y, side, key, members in zip(*(c.to_pylist() for c in batch.columns)):
+            for hub, x, y, side, key, many, plain, members, hubs in zip(*(c.to_pylist() for c in batch.columns)):
                 if (hub, x, y) != at:
                     done()
-                    at, keys, sets, sides, known = (hub, x, y), [], [], [], set()
-                if key in known:  # rows that repeat a doc_id
-                    continue
-                known.add(key)
-                keys.append(key)
-                sets.append(np.frombuffer(members, np.uint64))
-                sides.append(side)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
-                found = []
+                    at, here = (hub, x, y), Meeting(hub)
+                here.add(key, side, many, plain, members, hubs)
+            if rows:
+                yield batch_of(rows, (pa.int64(),) * 3, ["a", "b", "n"])
+                rows = []
         done()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+        if rows:
+            yield batch_of(rows, (pa.int64(),) * 3, ["a", "b", "n"])
 
     sorted_ = placed.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y")
-    return sorted_.mapInArrow(run, "a long, b long")
+    return sorted_.mapInArrow(tidy(run), "a long, b long, n long")
 
 
 def with_class_key(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -330,41 +385,50 @@ def with_class_key(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 keys = np.array([set_key(s) for s in shingle_sets(lower(as_bytes(part.column("text"))), width)], np.uint64)
                 yield part.append_column("class_key", pa.array(keys.view(np.int64)))
 
-    return docs.mapInArrow(run, StructType([*docs.schema, StructField("class_key", LongType())]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema, StructField("class_key", LongType())]))
 
 
-def rooted(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """`doc_id, n, key, root` of each row: size and key of its set (0 if empty), and the key that its component is known by."""
+def rooted(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, fragments: int = FRAGMENTS) -> DataFrame:
+    """`doc_id, n, key, root, n_links` of each row: size and key of its set (0 if empty), the key that its component
+    is known by, and the number of other rows that it links with."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     with_keys, counts = documents_with_keys(docs, width)
     hot = spark.sparkContext.broadcast(frequent(counts))
     posted = postings(docs, hot, width, percent, n_parts(spark))
     # one row of each class stands for it
-    reps = cut(with_keys.where("key <> 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
+    reps = with_keys.where("key <> 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("many"))
+    reps = cut(reps)
     met = cut(memberships(cut(shared_postings(posted)), reps.select("key", "n"), percent))
     # blocks of a group are so many that each holds BLOCK_BYTES or so
     weight = met.join(reps, "key")
-    blocks = weight.groupBy("hub").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("n") * 8 + 200) / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.sum(F.col("n") * 8 + 200) / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int")
+    blocks = weight.groupBy("hub").agg(n_blocks.alias("blocks"))
     placed = weight.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    tasks = placed.select("hub", "doc_id", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    tasks = placed.select("hub", "doc_id", "many", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     # in a task of two blocks, side 0 is block x; a task of one block has side 0 alone
-    task = F.struct("hub", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    tasks = tasks.groupBy(F.col("doc_id").alias("t_doc")).agg(F.collect_list(task).alias("tasks"))
-    tasks = cut(tasks)
+    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
+    task = F.struct("hub", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side)
+    tasks = cut(tasks.groupBy(F.col("doc_id").alias("t_doc")).agg(F.collect_list(task).alias("tasks"), F.max("many").alias("many")))
     if (many := tasks.count()) <= SENT_IDS:
         docs_met = docs.join(F.broadcast(tasks.select("t_doc").where("t_doc is not null")), F.col("doc_id") == F.col("t_doc"), "left_semi")
         docs_met = docs_met if many == tasks.where("t_doc is not null").count() else docs_met.unionByName(docs.where("doc_id is null"))
     else:
         docs_met = docs
-    edges = block_links(placed_sets(docs_met, tasks, width), percent)
-    roots = components(edges)
-    return with_keys.join(roots, with_keys.key == roots.node, "left").select("doc_id", "n", "key", F.coalesce("root", "key").alias("root"))
-
-
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """`doc_id, n_shingles, component_id, class_key` of each row."""
-    named = rooted(docs, percent, width)
+    found = written(block_links(placed_sets(docs_met, tasks, hot, width), percent, fragments), "links")
+    roots = components(found.where("b is not null").select("a", "b"))
+    linked = found.where("b is null").groupBy(F.col("a").alias("l_key")).agg(F.sum("n").alias("others"))
+    known = reps.select(F.col("key").alias("r_key"), "many").join(linked, F.col("r_key") == F.col("l_key"), "left")
+    known = known.join(roots, F.col("r_key") == F.col("node"), "left")
+    known = known.select("r_key", F.coalesce("root", "r_key").alias("root"), (F.col("many") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = with_keys.join(known, F.col("key") == F.col("r_key"), "left")
+    return out.select("doc_id", "n", "key", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, fragments: int = FRAGMENTS) -> DataFrame:
+    """`doc_id, n_shingles, component_id, class_key, n_links` of each row."""
+    named = rooted(docs, percent, width, fragments)
     names = named.where("key <> 0").groupBy("root").agg(F.min("doc_id").alias("least")).withColumnRenamed("root", "r_root")
     out = named.join(names, (named.root == names.r_root) & (named.key != 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.col("key").alias("class_key"))
+    component = F.when(F.col("key") == 0, F.col("doc_id")).otherwise(F.col("least"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").alias("class_key"), "n_links")

@@ -35,8 +35,8 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_jaccard(docs, empty):
-    rows = corpus()
+def linked_plainly(rows):
+    """(doc_id, size of its set, component, number of links) of each row, by all pairs."""
     sets = []
     for r in rows:
         w = (r[1] or "").encode().lower().split()
@@ -44,20 +44,46 @@ def test_jaccard(docs, empty):
     root = list(range(len(rows)))
 
     def find(i):
-        return i if root[i] == i else find(root[i])
+        while root[i] != i:
+            i = root[i]
+        return i
 
+    links = [0] * len(rows)
     for i, a in enumerate(sets):
         for j in range(i):
             if a and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
                 root[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for i, r in enumerate(rows):
         least[find(i)] = min(least.get(find(i), r[0]), r[0])
-    want = sorted((r[0], len(sets[i]), least[find(i)]) for i, r in enumerate(rows))
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()) == want
+    return sorted((r[0], len(sets[i]), least[find(i)], links[i]) for i, r in enumerate(rows))
+
+
+def linked_here(docs, **more):
+    return sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_components(docs, **more).collect())
+
+
+def test_jaccard(docs, empty):
+    assert linked_here(docs) == linked_plainly(corpus())
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_hot_group(spark, monkeypatch):
+    """A group of near copies over many blocks and a chain of them, with any number of fragments."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join(f"x{rng.random()}" if rng.random() < 0.012 else w for w in base)) for i in range(260)]
+    chain = [f"c{k}" for k in range(400)]
+    rows += [(300 + k, " ".join(chain[8 * k : 8 * k + 100])) for k in range(30)]
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 50)
+    monkeypatch.setattr(jaccard, "HOT_LEAST", 4)
+    own, want = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), linked_plainly(rows)
+    for fragments in (1, 4, 16):
+        assert linked_here(own, fragments=fragments) == want
+
+
 def test_suffixes(docs, empty):
     rows = corpus()
     raw = [(r[1] or "").encode() for r in rows]
@@ -70,7 +96,7 @@ def test_suffixes(docs, empty):
                 gone[k : k + 400] = True
         kept = bytes(b for b, g in zip(t, gone) if not g)
         want.append((r[0], len(t), int(gone.sum()), int((gone[:-1] & ~np.concatenate(([False], gone[:-2]))).sum()) if len(t) else 0, hashlib.sha256(kept).hexdigest()))
-    assert sorted(map(tuple, suffixes.digest(docs).collect())) == sorted(want)
+    assert sorted(tuple(r)[:5] for r in suffixes.digest(docs).collect()) == sorted(want)
     assert suffixes.digest(empty).count() == 0
     assert suffixes.deduplicated(docs).columns == docs.columns
 
@@ -113,9 +139,9 @@ def test_word_memory(monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(packing, "LINE", 7)
-    monkeypatch.setattr(packing, "_ids", {WORD: (packing.WordIds(WORD, 40, True), packing.WordIds(WORD, 10, False))})
-    texts = [(t or "") + end for _, t, *_ in corpus()[:40] for end in ("", " it's 'sup ''s don't 12,5!?", " \u0130\u4f60\u597d e\u0301 <|endoftext|> ok")]
     library = Tokenizer.from_file(WORD)
+    monkeypatch.setattr(packing, "_ids", {WORD: (packing.WordIds(library, 40, True), packing.WordIds(library, 10, False))})
+    texts = [(t or "") + end for _, t, *_ in corpus()[:40] for end in ("", " it's 'sup ''s don't 12,5!?", " \u0130\u4f60\u597d e\u0301 <|endoftext|> ok")]
     for lo in range(0, len(texts), 10):
         some = texts[lo : lo + 10]
         got, kind = packing.token_ids(WORD, [t.encode() for t in some], 2)
