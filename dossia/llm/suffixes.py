@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossia.llm.kernels import U, as_bytes, cut, mix, n_parts, packed, parts, slices, unpacked
+from dossia.llm.kernels import U, as_bytes, cut, mix, n_parts, packed, parts, slices, tidy, unpacked
 
 WIDTH = 400
 STEP = 1 << 19
@@ -140,7 +140,7 @@ def repeated_keys(docs: DataFrame, width: int, n: int) -> DataFrame:
         keys = keys[counts > 1]
         return pa.table({"part": table.column("part")[:1].cast(pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "many": pa.array([len(keys)], pa.int64())})
 
-    return cut(docs.mapInArrow(run, "part int, keys binary").groupBy("part").applyInArrow(twice, "part int, keys binary, many long"))
+    return cut(docs.mapInArrow(tidy(run), "part int, keys binary").groupBy("part").applyInArrow(twice, "part int, keys binary, many long"))
 
 
 def bitmap(found: DataFrame, n: int) -> np.ndarray:
@@ -158,7 +158,7 @@ def bitmap(found: DataFrame, n: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(on).tobytes()], pa.binary())], names=["part", "bits"])
 
     out = np.zeros(bits // 8, np.uint8)
-    for part, own in found.select("part", "keys").mapInArrow(run, "part int, bits binary").toLocalIterator():
+    for part, own in found.select("part", "keys").mapInArrow(tidy(run), "part int, bits binary").toLocalIterator():
         out[part * size // 8 : (part + 1) * size // 8] = np.frombuffer(bytes(own), np.uint8)
     return out
 
@@ -193,7 +193,7 @@ def runs(docs: DataFrame, sent, width: int, n: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32()] + [pa.binary()] * 6)], names=["part", "keys", "lengths", "data", "n_holders", "digests", "places"])
 
-    return docs.mapInArrow(run, "part int, keys binary, lengths binary, data binary, n_holders binary, digests binary, places binary")
+    return docs.mapInArrow(tidy(run), "part int, keys binary, lengths binary, data binary, n_holders binary, digests binary, places binary")
 
 
 class Queue:
@@ -451,17 +451,25 @@ def merged_spans(ranges: DataFrame) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """`docs` with `spans_`, the ranges to remove (null: none), and `copies_`, whether the text occurs in other rows."""
+    """`row` (the columns of `docs`), `spans` (ranges to remove; null: none) and `copies`, whether the text occurs in other rows."""
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string"))
     n = 1 << (n_parts(spark) - 1).bit_length()
     found = repeated_keys(texts, width, n)
     sent = spark.sparkContext.broadcast(bitmap(found, n))
     spans = cut(merged_spans(repeated_ranges(runs(texts, sent, width, n), width, n)))
-    digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    copied = texts.where(F.octet_length("text") >= width).groupBy(digest.alias("digest")).count().where("count > 1").select("digest", F.lit(True).alias("copies_"))
-    about = spans.join(copied, "digest", "full").select(F.col("digest").alias("digest_"), F.col("spans").alias("spans_"), "copies_")
-    return docs.withColumn("own_digest_", digest).join(about.hint("shuffle_hash"), F.col("own_digest_") == F.col("digest_"), "left").drop("own_digest_", "digest_")
+    digest = lambda c: F.unhex(F.md5(F.coalesce(c.cast("string"), F.lit("")).cast("binary")))
+    copied = texts.where(F.octet_length("text") >= width).groupBy(digest(F.col("text")).alias("digest")).count()
+    copied = copied.where("count > 1").select("digest", F.lit(True).alias("copies"))
+    about = spans.join(copied, "digest", "full")
+    nested = docs.select(F.struct("*").alias("row"))
+    return nested.withColumn("own", digest(F.col("row.text"))).join(about.hint("shuffle_hash"), F.col("own") == F.col("digest"), "left").select("row", "spans", "copies")
+
+
+def unnested(batch: pa.RecordBatch, columns: list[str]) -> pa.RecordBatch:
+    """The columns of `row` by name, then what else the batch has, under names that no column has."""
+    rest = [c for c in batch.schema.names if c != "row"]
+    return pa.RecordBatch.from_arrays([*batch.column("row").flatten(), *(batch.column(c) for c in rest)], names=[*columns, *(f"\0{c}" for c in rest)])
 
 
 def spans_of(text: bytes, spans: bytes | None, copies: bool | None, width: int) -> np.ndarray:
@@ -479,44 +487,58 @@ def without(text: bytes, spans: np.ndarray) -> bytes:
 
 
 def digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """`doc_id, n_bytes, n_removed, n_spans, kept_sha256` of each row."""
+    """`doc_id, n_bytes, n_removed, n_spans, kept_sha256, text` of each row.
+
+    text: the remaining bytes as text, without the rest of code points that were cut through.
+    """
     joined = with_spans(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(unnested(batch, ["doc_id", "text"])):
                 rows = []
-                for t, s, c in zip(as_bytes(part.column("text")), part.column("spans_").to_pylist(), part.column("copies_").to_pylist()):
+                for t, s, c in zip(as_bytes(part.column("text")), part.column("\0spans").to_pylist(), part.column("\0copies").to_pylist()):
                     spans = spans_of(t, s, c, width)
-                    rows.append((len(t), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(without(t, spans)).hexdigest()))
+                    kept = without(t, spans)
+                    rows.append((len(t), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), *map(pa.array, cols[3:])], names=names)
+
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+def whole_points(text: bytes, spans: np.ndarray) -> np.ndarray:
+    """The spans, each drawn in to whole code points."""
+    out = []
+    for a, b in spans.tolist():
+        while a < b and text[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append((a, b))
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
-def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of `docs`, in its columns, with repeated bytes cut out of `text`; ranges give way to whole code points."""
+def deduplicated(docs: DataFrame, width: int = WIDTH, least_words: int = 0) -> DataFrame:
+    """The rows of `docs`, in its columns, with repeated bytes cut out of `text`; ranges give way to whole code points.
+
+    least_words: maximal ranges of fewer words stay.
+    """
     columns = docs.columns
     joined = with_spans(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(unnested(batch, columns)):
                 texts = []
-                for t, s, c in zip(as_bytes(part.column("text")), part.column("spans_").to_pylist(), part.column("copies_").to_pylist()):
-                    spans = spans_of(t, s, c, width).copy()
-                    for k, (a, b) in enumerate(spans.tolist()):
-                        while a < b and t[a] & 0xC0 == 0x80:
-                            a += 1
-                        while b > a and b < len(t) and t[b] & 0xC0 == 0x80:
-                            b -= 1
-                        spans[k] = a, b
-                    texts.append(without(t, spans).decode())
-                at = part.schema.get_field_index("text")
+                for t, s, c in zip(as_bytes(part.column("text")), part.column("\0spans").to_pylist(), part.column("\0copies").to_pylist()):
+                    spans = spans_of(t, s, c, width)
+                    if least_words and len(spans):
+                        spans = spans[[len(t[a:b].split()) >= least_words for a, b in spans.tolist()]]
+                    texts.append(without(t, whole_points(t, spans)).decode())
                 kept = part.column("text").is_null().to_pylist()
                 own = pa.array([None if z else x for z, x in zip(kept, texts)], part.schema.field("text").type)
-                arrays = [own if k == at else part.column(k) for k, c in enumerate(part.schema.names) if c not in ("spans_", "copies_")]
-                yield pa.RecordBatch.from_arrays(arrays, names=columns)
+                yield pa.RecordBatch.from_arrays([own if c == "text" else part.column(c) for c in columns], names=columns)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(tidy(run), docs.schema)
