@@ -7,11 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from dossia.llm import decontaminate, jaccard, packing, quality, suffixes
 from dossia.llm.kernels import cut, written
 from dossia.llm.queries import tokenizer
 
+#: A passage is repeated if so many bytes of it are the same elsewhere, and so many words: 50 words have some 250 bytes or more in prose.
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 50
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose lines are content for the greater part."""
@@ -22,26 +26,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of the Jaccard join: of its smallest doc_id, if a row has one; rows without words all stay.
 
-    Where an id is repeated or missing, the row is told by its class too, and the smallest text stands for rows alike in both.
+    Where an id is repeated or missing, the row is told by its class too, and the smallest text stands for rows alike in both
+    (then the smallest of the other columns that can be ordered, so one row is left of any number of repeated ones).
     """
     named = cut(jaccard.rooted(docs))
     first = named.where("key <> 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("x"))
     kept = first.select(F.col("x.doc_id").alias("k_id"), F.col("x.key").alias("k_key"))
     many = named.where("doc_id is not null").groupBy(F.col("doc_id").alias("m_id")).count().where("count > 1").select("m_id")
+    # the columns of docs travel in one, so that no name of theirs clashes
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # an id that one row has is enough to know it by
     alone = kept.select("k_id").unionByName(named.where("key = 0").select(F.col("doc_id").alias("k_id"))).where("k_id is not null")
-    alone = docs.join(alone.join(many, F.col("k_id") == F.col("m_id"), "left_anti"), F.col("doc_id") == F.col("k_id"), "left_semi")
-    others = jaccard.with_class_key(docs.join(many, F.col("doc_id") == F.col("m_id"), "left_semi").unionByName(docs.where("doc_id is null")))
+    alone = rows.join(alone.join(many, F.col("k_id") == F.col("m_id"), "left_anti"), F.col("doc_id") == F.col("k_id"), "left_semi")
+    others = rows.join(many, F.col("doc_id") == F.col("m_id"), "left_semi").unionByName(rows.where("doc_id is null"))
+    others = jaccard.with_class_key(others)
     told = kept.join(many, F.col("k_id") == F.col("m_id"), "left_semi").unionByName(kept.where("k_id is null"))
     found = others.join(told, (F.col("class_key") == F.col("k_key")) & F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
-    one = found.groupBy("class_key").agg(F.min(F.struct("text", *(c for c in docs.columns if c != "text"))).alias("x"))
-    return alone.unionByName(one.select("x.*")).unionByName(others.where("class_key = 0").drop("class_key"))
+    plain = [F.col(f"row.{f.name}") for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    one = found.groupBy("class_key").agg(F.min_by("row", F.struct("text", *plain)).alias("row"))
+    return alone.select("row.*").unionByName(one.select("row.*")).unionByName(others.where("class_key = 0").select("row.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that occur elsewhere too; those of which nothing is left go."""
-    out = suffixes.deduplicated(docs)
-    return out.where("text is not null and length(trim(text)) > 0").withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    """Documents without the passages of PASSAGE_WORDS words or more that occur elsewhere too, byte for byte.
+
+    Documents of which nothing but blanks is left go, and so do those without text (null or blank) to begin with.
+    """
+    out = suffixes.deduplicated(docs, PASSAGE_BYTES, PASSAGE_WORDS).where(F.trim(F.regexp_replace("text", r"\s", " ")) != "")
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
