@@ -37,13 +37,12 @@ def unescaped(c: Column) -> Column:
 
 
 def escaped_role(c: Column) -> Column:
-    return escaped(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    # a backslash is always followed by s or n, so reading needs no mark of its own
+    return escaped(F.replace(F.replace(c, F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n")))
 
 
 def unescaped_role(c: Column) -> Column:
-    # a doubled backslash is set aside, so that it can't be taken for the start of a line end
-    aside = F.replace(unescaped(c), F.lit("\\\\"), F.lit("\x00\x01"))
-    return F.replace(F.replace(aside, F.lit("\\n"), F.lit("\n")), F.lit("\x00\x01"), F.lit("\\"))
+    return F.replace(F.replace(unescaped(c), F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\"))
 
 
 def text_parts(text: Column) -> Column:

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossia.llm.kernels import as_bytes, mix, slices, window_hashes, window_starts, word_hashes
+from dossia.llm.kernels import as_bytes, mix, slices, tidy, window_hashes, window_starts, word_hashes
 
-SAMPLE, SHARE = 3000, 0.5
+SAMPLE, SAMPLE_BYTES, SHARE = 3000, 64 << 20, 0.5
 BASE = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 
 #: The class of each byte: exactly one, in this order.
@@ -209,12 +209,22 @@ def content_shares(field: Field, lines: Lines, seen: np.ndarray) -> np.ndarray:
     return np.where(total > 0, sums(chars * good, ends - counts, ends) / np.maximum(total, 1), 1.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field from at most `sample` labelled documents."""
-    some = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("l_id"), "quality").orderBy(F.xxhash64("doc_id"), "quality").limit(sample)
-    rows = docs.join(F.broadcast(some), F.col("doc_id") == F.col("l_id")).select("text", "quality").limit(2 * sample).collect()
-    texts = [(r[0] or "").encode() for r in rows]
-    quality = np.array([int(r[1]) for r in rows], np.int64)
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Field:
+    """A field from at most `sample` labelled documents, of `sample_bytes` bytes together."""
+    some = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("l_id"), "quality")
+    some = some.orderBy(F.xxhash64("l_id"), "l_id", "quality").limit(sample)
+    own = docs.select(F.col("doc_id").cast("long").alias("d_id"), F.col("text").cast("string").alias("d_text"))
+    # repeated ids: in a full order, as many rows as labels; their first `sample_bytes` bytes reach the driver
+    rows = own.join(F.broadcast(some), F.col("d_id") == F.col("l_id")).withColumn("size", F.octet_length("d_text"))
+    rows = rows.orderBy(F.xxhash64("l_id"), "l_id", "quality", F.xxhash64("d_text"), "d_text").limit(sample)
+    texts, labels_, left = [], [], sample_bytes
+    for r in rows.select("d_text", "quality", "size").toLocalIterator():
+        left -= r[2] or 0
+        if left < 0:
+            break
+        texts.append((r[0] or "").encode())
+        labels_.append(int(r[1]))
+    quality = np.array(labels_, np.int64)
     if len(set(quality.tolist())) < 2:
         field = Field()
         field.weights[0] = 1.0  # everything is content
@@ -245,5 +255,5 @@ def judged(docs: DataFrame, field: Field, share: float = SHARE, keep_columns: bo
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, base.values()), pa.array(share_of), pa.array(kept)], names=["doc_id", *base, "content_share", "kept"])
 
     if keep_columns:
-        return docs.mapInArrow(run, docs.schema)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BASE + ", content_share double, kept boolean")
+        return docs.mapInArrow(tidy(run), docs.schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), BASE + ", content_share double, kept boolean")
