@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dossia.functions import fixed
+from dossia.functions.text import let, nfkc
 
 
 def without_space(c: Column) -> Column:
@@ -16,33 +17,37 @@ def without_space(c: Column) -> Column:
 
 
 def normalised(c: Column) -> Column:
-    """Full-width digits and signs as half-width, no blanks, one spelling of Taipei's first character."""
-    wide = "".join(chr(x) for x in range(0xFF01, 0xFF5F))
-    narrow = "".join(chr(x - 0xFEE0) for x in range(0xFF01, 0xFF5F))
-    return F.replace(F.regexp_replace(F.translate(c, wide, narrow), "[ 　]", ""), F.lit("台"), F.lit("臺"))
+    """NFKC, no blanks, one spelling of Taipei's first character; null is empty."""
+    return F.replace(F.regexp_replace(nfkc(F.coalesce(c, F.lit(""))), "[ 　]", ""), F.lit("台"), F.lit("臺"))
 
 
 def area_unit(c: Column) -> Column:
-    return F.regexp_replace(normalised(c), "平方公尺|平方米|㎡|m²|M2|M²|m2", "m2")
+    """Spellings of the square metre as m2."""
+    return F.regexp_replace(nfkc(F.coalesce(c, F.lit(""))), "㎡|平方公尺|平方米|m²|m2|M²|M2", "m2")
+
+
+NUMBER = r"-?\d[\d,，]*(?:\.\d+)?"
 
 
 def parse_number(c: Column) -> Column:
-    """The number that a text is, with thousands separators taken out; null if it isn't one."""
-    return F.regexp_replace(normalised(c), ",", "").try_cast("double")
+    """The first number in a text, signed, with thousands separators and blanks taken out; null if there is none."""
+    return F.regexp_replace(F.regexp_extract(normalised(c), NUMBER, 0), "[,，]", "").try_cast("double")
 
 
-def date_parts(c: Column) -> tuple[Column, Column, Column]:
-    pattern = r"(\d{2,4})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})"
-    text = normalised(c)
-    return tuple(F.regexp_extract(text, pattern, k).try_cast("int") for k in (1, 2, 3))
+def date_parts(text: Column) -> Column:
+    """`struct<y, m, d>` of the first date in a normalised text."""
+    pattern = r"(?U)(\d{2,4})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})"
+    return F.struct(*[F.regexp_extract(text, pattern, k).try_cast("int").alias(n) for k, n in ((1, "y"), (2, "m"), (3, "d"))])
 
 
 def normalize_date(c: Column) -> Column:
     """`YYYY-MM-DD` of a date in either calendar (years under 1911 count from 1911); null outside the ranges."""
-    y, m, d = date_parts(c)
-    year = F.when(y < 1911, y + 1911).otherwise(y)
-    text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
-    return F.when(m.between(1, 12) & d.between(1, 31) & y.isNotNull(), text)
+    def shown(x):
+        y, m, d = x["y"], x["m"], x["d"]
+        year = F.when(y < 1911, y + 1911).otherwise(y)
+        return F.when(m.between(1, 12) & d.between(1, 31) & y.isNotNull(), F.format_string("%04d-%02d-%02d", year, m, d))
+
+    return let(date_parts(nfkc(c)), shown)
 
 
 def roc_text(date: Column) -> Column:
@@ -51,14 +56,20 @@ def roc_text(date: Column) -> Column:
 
 
 def values_equal(a: Column, b: Column, tolerance: float) -> Column:
-    """Equal as nothing, as numbers within a tolerance, as dates, or as normalised text, in this order."""
-    x, y = F.coalesce(normalised(a), F.lit("")), F.coalesce(normalised(b), F.lit(""))
-    nx, ny, dx, dy = parse_number(a), parse_number(b), normalize_date(a), normalize_date(b)
-    return (
-        F.when((x == "") & (y == ""), True).when((x == "") | (y == ""), False)
-        .when(nx.isNotNull() & ny.isNotNull(), F.abs(nx - ny) <= tolerance)
-        .when(dx.isNotNull() & dy.isNotNull(), dx == dy).otherwise(area_unit(x) == area_unit(y))
-    )
+    """Equal as nothing, as numbers within a tolerance where both are whole numbers of their text, as dates, or as text, in this order."""
+    def judged(x):
+        a, b = x["a"], x["b"]  # normalised
+        whole = lambda c: F.regexp_replace(c, "[ 　]", "").rlike(f"^{NUMBER}$")
+        blank = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s", " ")) == ""
+        dates = let(F.struct(normalize_date(a).alias("a"), normalize_date(b).alias("b")), lambda d: F.when(d["a"].isNotNull() & d["b"].isNotNull(), d["a"] == d["b"]))
+        return (
+            F.when(blank(a) & blank(b), True).when(blank(a) | blank(b), False)
+            .when(whole(a) & whole(b), F.abs(parse_number(a) - parse_number(b)) <= tolerance)
+            .otherwise(F.coalesce(dates, area_unit(normalised(a)) == area_unit(normalised(b))))
+        )
+
+    text = lambda c: nfkc(F.coalesce(c, F.lit("")))
+    return let(F.struct(text(a).alias("a"), text(b).alias("b")), judged)
 
 
 def within(a: Column, b: Column, tolerance: float) -> Column:
@@ -109,7 +120,8 @@ def context(text: Column, at: Column, length: Column, around: int) -> Column:
 
 
 def json_object(text: Column) -> Column:
-    """The JSON object in a model's answer: the whole, or from the first brace to the last; null if there is none."""
+    """The JSON object in a model's answer: the whole, without code fences, or from the first brace to the last; null if there is none."""
+    bare = F.trim(F.regexp_replace(F.trim(text), r"(?m)^```(?:json)?|```$", ""))
     inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     ok = lambda c: F.when(F.startswith(F.trim(c), F.lit("{")) & F.try_parse_json(c).isNotNull(), F.trim(c))
-    return F.coalesce(ok(text), ok(inner))
+    return F.coalesce(ok(text), ok(bare), ok(inner))

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from dossia.functions import fixed
+from dossia.functions.rolling import windows
 from dossia.functions.scalars import topic, without_space
-
-
-def run_diff(runs: DataFrame, case: str, order: list[str], status: str, better: dict[str, int]) -> DataFrame:
-    """Each run against the one before of its case: new, improved, regressed or changed; equal ones drop out."""
-    before = F.lag(status).over(W.partitionBy(case).orderBy(*order))
-    rank = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in better.items() for x in kv]), c)
-    out = runs.withColumn("before", before)
-    change = F.when(F.col("before").isNull(), "new").when(rank(F.col(status)) < rank(F.col("before")), "improved").when(rank(F.col(status)) > rank(F.col("before")), "regressed").otherwise("changed")
-    return out.where(F.col("before").isNull() | (F.col("before") != F.col(status))).withColumn("change", change)
+from dossia.functions.text import nfkc
 
 
 def version_asof(rows: DataFrame, date: str, versions: list[tuple[str, str]] = fixed.VERSIONS, default: str = fixed.DEFAULT_VERSION) -> DataFrame:
@@ -25,8 +21,9 @@ def version_asof(rows: DataFrame, date: str, versions: list[tuple[str, str]] = f
     The few versions are an expression, so the as-of lookup needs no join.
     """
     label = F.lit(versions[0][0])
+    kind = rows.schema[date].dataType  # dates, or texts that sort as dates
     for name, since in versions[1:]:
-        label = F.when(F.col(date) >= F.lit(since).cast("date"), F.lit(name)).otherwise(label)
+        label = F.when(F.col(date) >= F.lit(since).cast(kind), F.lit(name)).otherwise(label)
     return rows.withColumn("version", F.when(F.col(date).isNull(), default).otherwise(label))
 
 
@@ -58,11 +55,75 @@ def confidence(findings: DataFrame, failing: DataFrame) -> DataFrame:
     return rows.withColumn("needs_review", review).withColumn("confidence", F.round(score, 2))
 
 
+QUOTE_BYTES, SEED = 8 << 20, 24
+
+
+class Quotes:
+    """A block of quotes: of each, the hash of a piece from its middle, by length of piece."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts = texts
+        self.by_width = {}
+        for w in sorted({min(SEED, len(t)) for t in texts}):
+            own = [k for k, t in enumerate(texts) if min(SEED, len(t)) == w]
+            pieces = np.frombuffer(b"".join(texts[k][(len(texts[k]) - w) // 2 :][:w] for k in own), np.uint8)
+            found = np.concatenate([h for n in range(0, len(pieces), w) for _, h in windows(pieces[n : n + w], w)])
+            order = np.argsort(found, kind="stable")
+            self.by_width[w] = found[order], np.array(own)[order]
+
+    def inside(self, text: bytes) -> list[int]:
+        """Numbers of the quotes that a text holds."""
+        data, hits = np.frombuffer(text, np.uint8), set()
+        for w, (known, own) in self.by_width.items():
+            for _, h in windows(data, w):
+                h = np.unique(h)
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                for x in h[known[at] == h]:
+                    hits.update(own[np.searchsorted(known, x) : np.searchsorted(known, x, "right")].tolist())
+        return sorted(k for k in hits if self.texts[k] in text)
+
+
 def grounded(quotes: DataFrame, pages: DataFrame, quote: str, text: str) -> DataFrame:
-    """Pairs of a quote and a text that holds it, white space aside; quotes are few and checked for size by the optimiser."""
-    q = quotes.withColumn("q_", without_space(F.col(quote))).where(F.length("q_") >= fixed.MIN_QUOTE)
-    p = pages.withColumn("p_", without_space(F.col(text)))
-    return p.join(q, F.contains(F.col("p_"), F.col("q_"))).drop("q_", "p_")
+    """Pairs of a quote and a text that holds it, white space and width of characters aside: the columns of both.
+
+    Quotes of fewer than MIN_QUOTE characters are in no text. Quotes go to all tasks in blocks of QUOTE_BYTES, a scan of the
+    texts for each; a text's windows are met with a piece of each quote by hash, and what meets is checked. Texts don't move.
+    """
+    flat = lambda c: without_space(nfkc(F.col(c))).cast("binary")
+    spark = pages.sparkSession
+    rows = quotes.where(F.length(without_space(nfkc(F.col(quote)))) >= fixed.MIN_QUOTE).withColumn("q_", flat(quote))
+    schema = StructType([*quotes.schema, StructField("q_no", IntegerType())])
+    out = None
+    for block in blocks(rows.toLocalIterator(), QUOTE_BYTES):
+        sent = spark.sparkContext.broadcast(Quotes([bytes(r["q_"]) for r in block]))
+
+        def run(batches, sent=sent):
+            for batch in batches:
+                at, no = [], []
+                for k, t in enumerate(batch.column("p_")):
+                    found = sent.value.inside(t.as_py() or b"")
+                    at += [k] * len(found)
+                    no += found
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in batch.schema.names if c != "p_"), pa.array(no, pa.int32())], names=[c for c in batch.schema.names if c != "p_"] + ["q_no"])
+
+        hit = pages.withColumn("p_", flat(text)).mapInArrow(run, StructType([*pages.schema, StructField("q_no", IntegerType())]))
+        own = spark.createDataFrame([(*r[:-1], k) for k, r in enumerate(block)], schema)
+        got = hit.join(own, "q_no").drop("q_no")
+        out = got if out is None else out.unionByName(got)
+    return pages.join(quotes, F.col(text) == F.col(quote)).where("false") if out is None else out
+
+
+def blocks(rows, most: int):
+    """Rows with a binary last column in lists of about so many bytes of it."""
+    own, size = [], 0
+    for r in rows:
+        if own and size + len(r[-1]) > most:
+            yield own
+            own, size = [], 0
+        own.append(r)
+        size += len(r[-1])
+    if own:
+        yield own
 
 
 def right_neighbours(boxes: DataFrame, by: list[str], labels: str, cell: float = 64.0) -> DataFrame:

@@ -1,43 +1,95 @@
-"""Text scans: personal data, terms and numbers, by built-in regular expressions."""
+"""Text scans: personal data, terms, numbers and attachments, by built-in regular expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossia.functions import fixed
-from dossia.functions.scalars import context
+from dossia.functions.scalars import attachments_present, context
 
 
-def pii(pages: DataFrame, key: str, text: str, patterns=fixed.PII_PATTERNS) -> DataFrame:
-    """Every match of every category, in order: `key, risk_type, severity, value`."""
+def matches(text: Column, pattern: str, group: int, around: int) -> Column:
+    """Every match of a pattern: `array<struct<value, context>>`, with the characters around it on one line.
+
+    The text is split at the matches, so a match's place is the length of what is before it.
+    """
+    whole = F.regexp_extract_all(text, F.lit(pattern), 0)
+    values = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), group)
+    between = F.split(text, pattern)
+
+    def one(value, i):
+        before = F.concat(F.aggregate(F.slice(F.arrays_zip(between.alias("b"), F.concat(whole, F.array(F.lit(""))).alias("w")), 1, i), F.lit(""), lambda a, x: F.concat(a, x["b"], F.coalesce(x["w"], F.lit("")))), F.get(between, i))
+        at = F.length(before) + 1
+        return F.struct(value.alias("value"), context(text, at, F.length(F.get(whole, i)), around).alias("context"))
+
+    return F.transform(values, one)
+
+
+def pii(pages: DataFrame, key, text: str, patterns=fixed.PII_PATTERNS) -> DataFrame:
+    """Every match of every category, in order: `key, risk_type, severity, value, context`. key: a column name or a list."""
+    keys = [key] if isinstance(key, str) else list(key)
+
     def tagged(kind: str, severity: str):
-        return lambda v: F.struct(F.lit(kind).alias("risk_type"), F.lit(severity).alias("severity"), v.alias("value"))
+        return lambda v: F.struct(F.lit(kind).alias("risk_type"), F.lit(severity).alias("severity"), v["value"].alias("value"), v["context"].alias("context"))
 
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(p), 0), tagged(k, s)) for k, s, p in patterns]))
-    return pages.select(key, F.explode(found).alias("x")).select(key, "x.*")
+    found = F.flatten(F.array(*[F.transform(F.when(F.col(text).rlike(p), matches(F.col(text), p, 0, n)).otherwise(F.array().cast("array<struct<value:string,context:string>>")), tagged(k, s)) for k, s, p, n in patterns]))
+    return pages.select(*keys, F.posexplode(found).alias("seq", "x")).select(*keys, "seq", "x.*")
 
 
-def pii_status(matches: DataFrame, key: str) -> DataFrame:
-    """Any HIGH fails, any MEDIUM warns, the rest pass."""
+def pii_status(pages: DataFrame, matches_: DataFrame, key: str) -> DataFrame:
+    """Any HIGH fails, any MEDIUM warns, the rest pass, with or without matches: `key, status, high`."""
     n = lambda s: F.count_if(F.col("severity") == s)
-    return matches.groupBy(key).agg(F.when(n("HIGH") > 0, "fail").when(n("MEDIUM") > 0, "warn").otherwise("pass").alias("status"), n("HIGH").alias("high"))
+    sums = matches_.groupBy(key).agg(n("HIGH").alias("high"), n("MEDIUM").alias("medium"))
+    out = pages.select(key).distinct().join(sums, key, "left").fillna(0, ["high", "medium"])
+    return out.select(key, F.when(F.col("high") > 0, "fail").when(F.col("medium") > 0, "warn").otherwise("pass").alias("status"), "high")
 
 
-def terms(pages: DataFrame, key: str, text: str, pairs=fixed.TERMS, around: int = 30) -> DataFrame:
-    """Wrong terms, each once a page at its first place: `key, wrong_term, correct_term, at, context`."""
-    found = F.array_compact(F.array(*[F.when(F.instr(F.col(text), w) > 0, F.struct(F.lit(w).alias("wrong_term"), F.lit(c).alias("correct_term"))) for w, c in pairs]))
-    rows = pages.select(key, text, F.explode(found).alias("x")).select(key, text, "x.*").withColumn("at", F.expr(f"locate(wrong_term, {text})"))
-    return rows.withColumn("context", context(F.col(text), F.col("at"), F.length("wrong_term"), around)).drop(text)
+def masked(pages: DataFrame, key: list[str], text: str, patterns=fixed.PII_PATTERNS) -> DataFrame:
+    """The text with HIGH values as blocks of the same length, how many there were, and whether a page with some has no text to mask.
 
+    A page's text may come from elsewhere (`seen`): values found there that the own text lacks ask for a banner.
+    """
+    out, n = F.col(text), F.lit(0)
+    for _, severity, pattern, _ in patterns:
+        if severity == "HIGH":
+            n = n + F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(pattern))
+            found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 0))
+            out = F.aggregate(found, out, lambda a, v: F.replace(a, v, F.repeat(F.lit("█"), F.length(v))))
+    have = [c for c in pages.columns if c == "seen"]
+    banner = F.lit(False)
+    for c in have:
+        for _, severity, pattern, _ in patterns:
+            if severity == "HIGH":
+                values = F.regexp_extract_all(c, F.lit(pattern), 0)
+                banner = banner | F.exists(values, lambda v: ~F.contains(F.coalesce(F.col(text), F.lit("")), v))
+    return pages.select(*key, out.alias(text), n.cast("long").alias("masked"), F.coalesce(banner, F.lit(False)).alias("banner"))
+
+
+def terms(pages: DataFrame, key, text: str, pairs=fixed.TERMS, around: int = 30) -> DataFrame:
+    """Wrong terms, each once a page at its first place: `key, seq, wrong_term, correct_term, at, context`."""
+    keys = [key] if isinstance(key, str) else list(key)
+    at = lambda w: F.instr(F.col(text), w)
+    found = F.array_compact(F.array(*[F.when(at(w) > 0, F.struct(F.lit(w).alias("wrong_term"), F.lit(c).alias("correct_term"), at(w).alias("at"), context(F.col(text), at(w), F.lit(len(w)), around).alias("context"))) for w, c in pairs]))
+    return pages.select(*keys, F.posexplode(found).alias("seq", "x")).select(*keys, "seq", "x.*")
+
+
+def numbers(pages: DataFrame, key, text: str, patterns=fixed.NUMBER_PATTERNS, around: int = 30) -> DataFrame:
+    """Numbers of known fields in running text: `key, seq, field, value, raw_text`; what is no number is left out."""
+    keys = [key] if isinstance(key, str) else list(key)
 
-def numbers(pages: DataFrame, key: str, text: str, patterns=fixed.NUMBER_PATTERNS) -> DataFrame:
-    """Numbers of known fields in running text: `key, field, value`."""
     def tagged(field: str):
-        return lambda v: F.struct(F.lit(field).alias("field"), F.regexp_replace(v, "[,，]", "").try_cast("double").alias("value"))
+        return lambda v: F.struct(F.lit(field).alias("field"), F.regexp_replace(v["value"], "[,，]", "").try_cast("double").alias("value"), v["context"].alias("raw_text"))
+
+    found = F.flatten(F.array(*[F.transform(F.when(F.col(text).rlike(p), matches(F.col(text), p, 1, around)).otherwise(F.array().cast("array<struct<value:string,context:string>>")), tagged(f)) for f, p in patterns]))
+    return pages.select(*keys, F.posexplode(found).alias("seq", "x")).select(*keys, "seq", "x.*").where("value is not null")
+
 
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(p), 1), tagged(f)) for f, p in patterns]))
-    return pages.select(key, F.explode(found).alias("x")).select(key, "x.*").where("value is not null")
+def attachments(pages: DataFrame, first: int = fixed.ATTACHMENT_PAGES[0], last: int = fixed.ATTACHMENT_PAGES[1]) -> DataFrame:
+    """Attachments that a document's front pages show: `doc_id, attachments`, null where they have no text."""
+    rows = pages.where(F.col("page_num").between(first, last))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "\n")
+    return rows.groupBy("doc_id").agg(text.alias("text")).select("doc_id", attachments_present(F.col("text")).alias("attachments"))
 
 
 def html_items(pages: DataFrame, key: str, html: str, tag: str = "li") -> DataFrame:

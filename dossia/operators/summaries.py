@@ -7,20 +7,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def peers(runs: DataFrame, by: str, value: str, least: int = 2) -> DataFrame:
-    """Number and mean (one decimal) of a value by group, for groups of at least two."""
-    return runs.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 1).alias("mean")).where(F.col("n") >= least)
-
-
 def timing(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Mean, median, nearest-rank 95th percentile, extremes and sample deviation (0 for one value)."""
-    w = W.partitionBy(by)
-    ranked = rows.where(F.col(value).isNotNull()).select(by, value, F.row_number().over(w.orderBy(value)).alias("place_"), F.count(F.lit(1)).over(w).alias("of_"))
-    at = F.col("place_") - 1 == F.bround(0.95 * (F.col("of_") - 1), 0).cast("int")
-    return ranked.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.max(F.when(at, F.col(value))).alias("p95"),
-        F.min(value).alias("least"), F.max(value).alias("most"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("deviation"),
+    """Mean, median, nearest-rank 95th percentile, extremes and sample deviation (0 for one value).
+
+    Values are counted before they are ranked, so that a window sorts distinct values (timings have milliseconds) and no rows.
+    """
+    rows = rows.where(F.col(value).isNotNull())
+    sums = rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("deviation"),
     )
+    counted = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("many_"))
+    upto = F.sum("many_").over(W.partitionBy(by).orderBy(value))
+    ranked = counted.withColumn("upto_", upto).join(sums.select(F.col(by).alias("by_"), "n"), F.col(by).eqNullSafe(F.col("by_")))
+    # the value at a rank from 0 is the first whose running count passes it
+    def at(rank):
+        return F.min(F.when(F.col("upto_") > rank, F.col(value)))
+
+    p95 = F.bround(0.95 * (F.col("n") - 1), 0).cast("long")
+    low, high = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
+    places = ranked.groupBy("by_").agg(at(p95).alias("p95"), ((at(low) + at(high)) / 2).alias("median"))
+    return sums.join(places, F.col(by).eqNullSafe(F.col("by_"))).select(by, "n", "mean", "median", "p95", "least", "most", "deviation")
 
 
 def micro_average(counts: DataFrame) -> DataFrame:
@@ -59,12 +65,40 @@ def lines_with_previous(pages: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def chunks(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """Heading-led chunks: a line of 1 to 6 `#` begins one; parents are the nearest shallower heading before.
+    """Heading-led chunks: `key, chunk_no, section_title, parent_title, text, char_count`, without those that are blank.
 
-    Works on one text's lines with array functions, so nothing is shuffled.
+    A line of one to three `#` begins one; what is before the first has the title ''. The parent is the nearest shallower heading
+    that still holds: the last one of each smaller level since a shallower one. One walk over a text's lines keeps the last title of
+    each level, so work is in proportion to the text.
     """
-    level = lambda x: F.length(F.regexp_extract(x, r"^(#{1,6})\s", 1))
-    heads = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("at"), level(x).alias("level"), F.trim(F.regexp_replace(x, r"^#+\s*", "")).alias("title"))), lambda h: h["level"] > 0)
-    rows = pages.withColumn("heads", heads)
-    parent = F.transform("heads", lambda h: F.struct(h["at"].alias("at"), h["level"].alias("level"), h["title"].alias("title"), F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter("heads", lambda p: (p["at"] < h["at"]) & (p["level"] < h["level"])), lambda p: p["title"])), -1).alias("parent")))
-    return rows.select(key, F.explode(parent).alias("c")).select(key, "c.at", "c.level", "c.title", "c.parent")
+    line = "struct<title:string,parent:string,text:string>"
+    lines = F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+"), 0)
+    empty = F.struct(F.lit(None).cast("string").alias("one"), F.lit(None).cast("string").alias("two"), F.array(F.struct(F.lit("").alias("title"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("text"))).cast(f"array<{line}>").alias("done"))
+
+    def walk(a, x):
+        bare = F.regexp_replace(x, r"\r?\n$", "")
+        level, title = F.length(F.regexp_extract(bare, r"^(#{1,3})\s+(.+)$", 1)), F.trim(F.regexp_extract(bare, r"^(#{1,3})\s+(.+)$", 2))
+        parent = F.when(level == 2, a["one"]).when(level == 3, F.coalesce(a["two"], a["one"]))
+        one = F.when(level == 1, title).otherwise(a["one"])
+        two = F.when(level == 1, F.lit(None).cast("string")).when(level == 2, title).otherwise(a["two"])
+        new = F.array(F.struct(title.alias("title"), parent.alias("parent"), x.alias("text"))).cast(f"array<{line}>")
+        return F.when(level > 0, F.struct(one.alias("one"), two.alias("two"), F.concat(a["done"], new).alias("done"))).otherwise(a)
+
+    # headings alone are walked; the text of a chunk is cut out between them
+    marked = F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("x")))
+    heads = F.filter(marked, lambda m: F.regexp_replace(m["x"], r"\r?\n$", "").rlike(r"^#{1,3}\s+.+$"))
+    rows = pages.select(key, lines.alias("lines"), heads.alias("heads"))
+    rows = rows.select(key, "lines", "heads", F.aggregate(F.transform("heads", lambda h: h["x"]), empty, walk)["done"].alias("done"))
+    starts = F.concat(F.array(F.lit(0)), F.transform("heads", lambda h: h["at"]))
+    parts = rows.select(key, "lines", starts.alias("starts"), F.posexplode("done").alias("chunk_no", "c"))
+    end = F.coalesce(F.get("starts", F.col("chunk_no") + 1), F.size("lines"))
+    body = F.array_join(F.slice("lines", F.get("starts", F.col("chunk_no")) + 1, end - F.get("starts", F.col("chunk_no"))), "")
+    body = F.regexp_replace(body, r"(?U)^\s+|\s+$", "")
+    return parts.select(key, "chunk_no", F.col("c.title").alias("section_title"), F.col("c.parent").alias("parent_title"), body.alias("text"), F.length(body).alias("char_count")).where("text <> ''")
+
+
+def label_counts(rows: DataFrame, predicted: str = "predicted", expected: str = "expected") -> DataFrame:
+    """Labels found rightly, wrongly and not at all, of two arrays a row, each taken as a set: adds `tp, fp, fn`."""
+    p, e = F.array_distinct(predicted), F.array_distinct(expected)
+    size = lambda c: F.size(c).cast("long")
+    return rows.withColumn("tp", size(F.array_intersect(p, e))).withColumn("fp", size(F.array_except(p, e))).withColumn("fn", size(F.array_except(e, p)))

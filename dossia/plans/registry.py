@@ -6,18 +6,18 @@ text, documents for pages, events for detections and findings.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossia.functions import fixed
 from dossia.functions.scalars import accessible_required, normalize_date, roc_text
 from dossia.operators import compare, rules, scans, summaries
+from dossia.plans import cases, documents  # noqa: F401  their queries are registered too
+from dossia.plans.book import ORACLE, QUERIES, query
 from dossia.sources.tables import table
 
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
 FLAGSHIP = "rule_findings"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 #: Shifted version boundaries, so that the orders' dates fall into every version.
 ORDER_VERSIONS = [("A", "1995-01-01"), ("B", "1996-06-01"), ("C", "1998-01-01"), ("D", "2000-01-01")]
@@ -31,16 +31,6 @@ PLAYBOOK = [
 ]
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 def reviews(spark: SparkSession, folder: str) -> DataFrame:
     """Review tables made of orders: every rule's statuses occur."""
     o = table(spark, folder, "orders")
@@ -81,13 +71,13 @@ def rule_findings(spark, folder):
 
 
 @query(f"""with {REVIEWS_SQL} select rule_id, count(*) filter (status = 'fail' and severity = 'critical') as critical_count, count(*) filter (status = 'fail' and severity = 'high') as high_count,
-  count(*) filter (status = 'warn') as warn_count, count(*) filter (status = 'pass') as pass_count from f group by rule_id""")
+  count(*) filter (status = 'warn') as warn_count, count(*) filter (status = 'pass') as pass_count, count(*) filter (status = 'skip') as skip_count from f group by rule_id""")
 def finding_counts(spark, folder):
     return rules.counts(findings(spark, folder), ["rule_id"])
 
 
 @query(f"""with {REVIEWS_SQL} select doc_id, seq, rule_id, status, severity from f
-  order by case status when 'fail' then 0 when 'warn' then 1 when 'pass' then 2 when 'skip' then 3 else 9 end, case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 else 9 end, doc_id, seq limit 50""")
+  order by case status when 'fail' then 0 when 'warn' then 1 when 'skip' then 2 when 'pass' then 3 else 9 end, case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 else 9 end, doc_id, seq limit 50""")
 def sorted_topk(spark, folder):
     return rules.ordered(findings(spark, folder), "doc_id").select("doc_id", "seq", "rule_id", "status", "severity").limit(50)
 
@@ -97,35 +87,32 @@ def tier_rule(spark, folder):
     return table(spark, folder, "part").select("p_partkey", accessible_required(F.col("p_size")).alias("required"))
 
 
-@query(r"""with m as (
+PII_SQL = r"""m as (
   select doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) as value, 'email' as risk_type, 'HIGH' as severity from documents
   union all select doc_id, unnest(regexp_extract_all(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}')), 'ipv4', 'LOW' from documents
-  union all select doc_id, unnest(regexp_extract_all(text, '09[0-9]{2}-?[0-9]{3}-?[0-9]{3}')), 'mobile', 'HIGH' from documents
-  union all select doc_id, unnest(regexp_extract_all(text, '\(0[0-9]{1,2}\)\s*[0-9]{3,4}-?[0-9]{4}')), 'landline', 'HIGH' from documents
-  union all select doc_id, unnest(regexp_extract_all(text, '巷.{0,15}弄.{0,8}號')), 'address', 'MEDIUM' from documents
-  union all select doc_id, unnest(regexp_extract_all(text, '[A-Z][0-9]{9}')), 'national_id', 'HIGH' from documents)
-  select doc_id, risk_type, severity, value from m""")
+  union all select doc_id, unnest(regexp_extract_all(text, '09[0-9]{2}-?[0-9]{3}-?[0-9]{3}')), 'phone', 'MEDIUM' from documents
+  union all select doc_id, unnest(regexp_extract_all(text, '\(0[0-9]{1,2}\)\s*[0-9]{3,4}-?[0-9]{4}')), 'phone', 'MEDIUM' from documents
+  union all select doc_id, unnest(regexp_extract_all(text, '巷.{0,15}弄.{0,8}號')), 'residential_address', 'HIGH' from documents
+  union all select doc_id, unnest(regexp_extract_all(text, '[A-Z][0-9]{9}')), 'id_number', 'HIGH' from documents)"""
+MORE = [*fixed.PII_PATTERNS, *fixed.PII_MORE]
+
+
+@query(f"with {PII_SQL} select doc_id, risk_type, severity, value from m")
 def pii_scan(spark, folder):
-    return scans.pii(table(spark, folder, "documents"), "doc_id", "text")
+    return scans.pii(table(spark, folder, "documents"), "doc_id", "text", MORE).select("doc_id", "risk_type", "severity", "value")
 
 
-@query(r"""with m as (
-  select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) + len(regexp_extract_all(text, '09[0-9]{2}-?[0-9]{3}-?[0-9]{3}')) + len(regexp_extract_all(text, '\(0[0-9]{1,2}\)\s*[0-9]{3,4}-?[0-9]{4}')) + len(regexp_extract_all(text, '[A-Z][0-9]{9}')) as high,
-    len(regexp_extract_all(text, '巷.{0,15}弄.{0,8}號')) as medium, len(regexp_extract_all(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}')) as low from documents)
-  select doc_id, case when high > 0 then 'fail' when medium > 0 then 'warn' else 'pass' end as status, high::bigint as high from m where high + medium + low > 0""")
+@query(f"""with {PII_SQL}, s as (select doc_id, count(*) filter (severity = 'HIGH') as high, count(*) filter (severity = 'MEDIUM') as medium from m group by 1)
+  select doc_id, case when high > 0 then 'fail' when medium > 0 then 'warn' else 'pass' end as status, coalesce(high, 0) as high from (select distinct doc_id from documents) left join s using (doc_id)""")
 def pii_rule(spark, folder):
-    return scans.pii_status(scans.pii(table(spark, folder, "documents"), "doc_id", "text"), "doc_id")
+    d = table(spark, folder, "documents")
+    return scans.pii_status(d, scans.pii(d, "doc_id", "text", MORE), "doc_id")
 
 
 @query("""with p(w, c) as (values ('License', 'Licence'), ('Version', 'Edition'))
   select doc_id, w as wrong_term, c as correct_term, instr(text, w)::int as "at" from documents, p where instr(text, w) > 0""")
 def term_scan(spark, folder):
-    return scans.terms(table(spark, folder, "documents"), "doc_id", "text", ORDER_TERMS).drop("context")
-
-
-@query(r"""with m as (select doc_id, unnest(regexp_extract_all(text, '([0-9]+)')) as v from documents) select doc_id, count(*) as n, sum(try_cast(v as double)) as total from m where try_cast(v as double) is not null group by doc_id""")
-def number_contexts(spark, folder):
-    return scans.numbers(table(spark, folder, "documents"), "doc_id", "text", [("any", r"(\d+)")]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return scans.terms(table(spark, folder, "documents"), "doc_id", "text", ORDER_TERMS).drop("context", "seq")
 
 
 @query("""select page_id, generate_subscripts(x, 1) - 1 as item_no, trim(regexp_replace(unnest(x), '<[^>]+>', '', 'g')) as item from (select page_id, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) as x from pages)""")
@@ -141,15 +128,6 @@ def number_consistency(spark, folder):
     return compare.number_consistency(want, got, ["o_orderkey"], 60000.0).select("o_orderkey", "status")
 
 
-RANK = {"F": 0, "O": 1, "P": 2}
-
-
-@query("""with r as (select *, lag(o_orderstatus) over (partition by o_custkey order by o_orderdate, o_orderkey) as b from orders), k as (select *, case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end as x, case b when 'F' then 0 when 'O' then 1 else 2 end as y from r)
-  select o_orderkey, case when b is null then 'new' when x < y then 'improved' when x > y then 'regressed' else 'changed' end as change from k where b is null or b <> o_orderstatus""")
-def finding_diff(spark, folder):
-    return compare.run_diff(table(spark, folder, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderstatus", RANK).select("o_orderkey", "change")
-
-
 @query("select o_custkey, o_orderkey, nth from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey desc) as nth from orders) where nth <= 1")
 def latest_run(spark, folder):
     return summaries.latest(table(spark, folder, "orders"), "o_custkey", [F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "nth")
@@ -191,9 +169,8 @@ def confidence(spark, folder):
     return compare.confidence(f, failing).select("event_id", "corroborated", "needs_review", "confidence")
 
 
-@query()
+@query(r"""with b as (select item_id, regexp_replace(text, '\s+', '', 'g') as q from benchmark), d as (select doc_id, regexp_replace(text, '\s+', '', 'g') as p from documents) select doc_id, item_id from d, b where length(q) >= 3 and contains(p, q)""")
 def quote_grounding(spark, folder):
-    """No SQL over whole tables: every quote against every text is quadratic there; tests hold it on a fixture."""
     return compare.grounded(table(spark, folder, "benchmark").select("item_id", F.col("text").alias("quote")), table(spark, folder, "documents").select("doc_id", "text"), "quote", "text").select("doc_id", "item_id")
 
 
@@ -205,11 +182,6 @@ def neighbours(spark, folder):
     return compare.right_neighbours(b, ["doc"], "seq = 1").select("doc", "l_seq", "seq", "nth")
 
 
-@query("select c_mktsegment, count(*) as n, round(avg(c_acctbal), 1) as mean from customer group by 1 having count(*) >= 2")
-def peer_stats(spark, folder):
-    return summaries.peers(table(spark, folder, "customer"), "c_mktsegment", "c_acctbal")
-
-
 @query("""with r as (select event_type, value, row_number() over (partition by event_type order by value) as k, count(*) over (partition by event_type) as c from events where value is not null)
   select event_type, count(*) as n, round(avg(value), 6) as mean, median(value) as median, max(case when k - 1 = round_even(0.95 * (c - 1), 0)::int then value end) as p95, min(value) as least, max(value) as most, round(coalesce(stddev_samp(value), 0), 6) as deviation from r group by 1""")
 def timing_stats(spark, folder):
