@@ -93,11 +93,10 @@ def format_chat(turns: DataFrame) -> DataFrame:
 
 def read_chat(formatted: DataFrame) -> DataFrame:
     """Roles and texts of each conversation, and the text under the loss mask, from the output alone."""
-    pieces = F.slice(F.split("formatted", r"<\|im_start\|>"), 2, 2**31 - 1)
-    line = lambda p: F.locate("\n", p)
+    parts = F.split("formatted", r"<\|im_start\|>")
+    pieces = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     end = len(END) + 1
     body = lambda p: F.substr(p, F.locate("\n", p) + 1, F.greatest(F.char_length(p) - F.locate("\n", p) - end, F.lit(0)))
-    del line
     whole = formatted.withColumn("pieces", pieces)
     heads = F.transform("pieces", lambda p: F.struct(unescaped_role(F.substring_index(p, "\n", 1)).alias("role"), unescaped(body(p)).alias("text")))
     masked = F.transform("loss_spans", lambda s: unescaped(F.substr(F.element_at(F.col("pieces"), s["index"] + 1), s["start"] - len(START) + 1, s["length"])))
