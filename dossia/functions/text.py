@@ -51,7 +51,8 @@ def class_of(characters: str, gap: int = 48) -> str:
 
 def replaced(c: Column, pattern: str, table: dict[str, str]) -> Column:
     """Each match of `pattern`, of which there are few kinds in a text, by its entry in `table` if it has one."""
-    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    # one literal text instead of a node of the plan for each entry
+    known = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in table.items())), F.lit("\x01"), F.lit("\x02"))
     found = F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), 0))
     each = F.transform(found, lambda x: F.struct(x.alias("x"), F.element_at(known, x).alias("y")))
     return F.aggregate(F.filter(each, lambda e: e["y"].isNotNull()), c, lambda done, e: F.replace(done, e["x"], e["y"]))

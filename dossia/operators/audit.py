@@ -69,5 +69,5 @@ def audit(docs: DataFrame, pages: DataFrame, playbook: list[dict] = (), runs: Da
         last = runs.groupBy("case_name").agg(F.max_by("findings", "id").alias("findings"))
         before = history.decoded(last.join(heads.select("doc_id", "case_name"), "case_name"), ["doc_id"])
         out["diff"] = history.finding_diff(findings.select("doc_id", "seq", "rule_id", "rule_name", "status", "message"), before, ["doc_id"])
-        out["peers"] = history.peer_stats(runs)
+        out["peers"] = history.peer_stats(history.migrated(runs))
     return out

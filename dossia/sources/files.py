@@ -111,7 +111,7 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     dates = [f[c].alias(c) for c in ("application_date", "affidavit_date", "power_of_attorney_date")]
     return rows.select(
         "id", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("reg_year", F.lit("111")).alias("reg_year"), rates.alias("bonus_items"), f["bonus_total_pct"].alias("bonus_total_pct"),
-        f["consent_ratio.owner_count_pct"].alias("owner_pct"), f["consent_ratio.land_area_pct"].alias("area_pct"), *dates, F.array(*dates).alias("dates"),
+        f["consent_ratio"]["owner_count_pct"].alias("owner_pct"), f["consent_ratio"]["land_area_pct"].alias("area_pct"), *dates, F.array(*dates).alias("dates"),
         F.coalesce("expected_rule_ids", none).alias("expected_rule_ids"),
     )
 

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-RUNS = "id long, case_name string, audit_time timestamp, rule_ver string, findings string, submission_type string, bonus_pct double, critical_count int, high_count int, warn_count int, parking_pass int, pii_high_count int"
+RUNS = "id long, case_name string, audit_time string, rule_ver string, findings string, submission_type string, bonus_pct double, critical_count int, high_count int, warn_count int, parking_pass int, pii_high_count int"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -32,7 +32,7 @@ def test_accessible_tiers(spark):
 def test_scalars(spark):
     assert one(spark, "112年3月24日", scalars.normalize_date) == "2023-03-24"
     assert one(spark, "112年13月24日", scalars.normalize_date) is None
-    assert one(spark, "２，８１２", scalars.parse_number) == 2812.0
+    assert [one(spark, v, scalars.parse_number) for v in ("２，８１２", "約 2,812.5 坪", "2 812", "-3", "NaN", "", None)] == [2812.0, 2812.5, 2812.0, -3.0, None, None, None]
     pairs = [("2,812", "2812", True), ("台北市", "臺北市", True), ("100㎡", "100平方公尺", True), ("112年3月24日", "2023-03-24", True), ("100.0", "100.4", True), ("123", "124", False), (None, "", True), ("2812", None, False)]
     got = [r[0] for r in spark.createDataFrame([p[:2] for p in pairs], "a string, b string").select(scalars.values_equal(F.col("a"), F.col("b"), 0.5)).collect()]
     assert got == [p[2] for p in pairs]
@@ -49,7 +49,8 @@ def test_consent(spark):
 
 def test_scans(spark):
     df = spark.createDataFrame([(1, "電話 (02)2345-6789 與 0912-345-678，計劃書 計劃書，充電3輛"), (2, None)], "id int, text string")
-    assert [r.risk_type for r in scans.pii(df, "id", "text").collect()] == ["landline", "mobile"]
+    assert [(r.risk_type, r.severity, r.value) for r in scans.pii(df, "id", "text").collect()] == [("phone", "MEDIUM", "(02)2345-6789"), ("phone", "MEDIUM", "0912-345-678")]
+    assert {r.id: r.status for r in scans.pii_status(df, scans.pii(df, "id", "text"), "id").collect()} == {1: "warn", 2: "pass"}
     assert [(r.wrong_term, r.correct_term) for r in scans.terms(df, "id", "text").collect()] == [("計劃書", "計畫書")]
     assert [(r.field, r.value) for r in scans.numbers(df, "id", "text").collect()] == [("ev_parking", 3.0)]
 
@@ -63,7 +64,7 @@ def test_versions_and_timing(spark):
 
 def test_chunks(spark):
     df = spark.createDataFrame([(1, "# A\nx\n## B\n### C\n## D"), (2, ""), (3, None)], "id int, text string")
-    assert [(r.title, r.parent) for r in summaries.chunks(df, "id", "text").collect()] == [("A", None), ("B", "A"), ("C", "B"), ("D", "A")]
+    assert [(r.section_title, r.parent_title) for r in summaries.chunks(df, "id", "text").collect()] == [("A", None), ("B", "A"), ("C", "B"), ("D", "A")]
 
 
 def test_grounding(spark):
