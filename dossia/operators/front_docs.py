@@ -43,58 +43,78 @@ def page_docs(pages: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page_num", "text", "toc", "listed", "c.doc_type", "c.purpose", "c.date")
 
 
+def by_document(pages: DataFrame) -> DataFrame:
+    """One row a document, from one pass over its pages: `docs` (what was found, in the order of pages), the first dates by type, the text
+    of other pages, and a date coded in a document number. A document has FRONT_SCAN pages at most here.
+    """
+    rows = page_docs(pages)
+    page = F.struct("page_num", "listed", "doc_type", "purpose")
+    other = ~F.col("toc") & F.col("doc_type").isNull() & filled(F.col("text")).isNotNull()
+    first = lambda value, test, name: F.min_by(value, F.when(test, F.col("page_num"))).alias(name)
+    dated = [first(F.struct("date", "page_num"), (F.col("doc_type") == s) & F.col("date").isNotNull(), f"d{k}") for k, s in enumerate(fixed.DATE_SOURCES)]
+    got = rows.withColumn("coded", coded_date(F.col("text"))).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("toc") | F.col("doc_type").isNotNull(), page))).alias("found"), *dated,
+        F.array_sort(F.collect_list(F.when(other, F.struct("page_num", "text")))).alias("rest"), first(F.col("coded"), F.col("coded").isNotNull(), "coded"),
+    )
+    none = F.lit(None).cast("string")
+
+    def entry(kind, page_num, purpose, from_toc):
+        return F.struct(kind.alias("doc_type"), page_num.alias("page"), purpose.alias("purpose"), F.lit(from_toc).alias("from_toc"))
+
+    def of_page(p):
+        # a table of contents adds the types that no page before it has shown
+        before = F.filter("found", lambda q: q["page_num"] < p["page_num"])
+        new = F.filter(p["listed"], lambda t: ~F.exists(before, lambda q: F.coalesce(q["doc_type"] == t, F.lit(False)) | F.coalesce(F.array_contains(q["listed"], t), F.lit(False))))
+        return F.when(p["listed"].isNotNull(), F.transform(new, lambda t: entry(t, p["page_num"], none, True))).otherwise(F.array(entry(p["doc_type"], p["page_num"], p["purpose"], False)))
+
+    docs = F.flatten(F.transform("found", of_page))
+    return got.select("doc_id", docs.alias("docs"), *(f"d{k}" for k in range(len(fixed.DATE_SOURCES))), F.array_join(F.transform("rest", lambda x: x["text"]), "\n").alias("rest"), "coded")
+
+
 def front_docs(pages: DataFrame) -> DataFrame:
     """Documents found, in the order of pages: `doc_id, seq, doc_type, page, purpose, from_toc`.
 
     A table of contents adds the types that no page before it has shown.
     """
-    rows = page_docs(pages)
-    content = rows.where("doc_type is not null").select("doc_id", F.lit(1).alias("k"), "doc_type", F.col("page_num").alias("page"), "purpose", F.lit(False).alias("from_toc"))
-    listed = rows.where("toc").select("doc_id", F.posexplode("listed").alias("k", "doc_type"), F.col("page_num").alias("page"))
-    first = content.groupBy("doc_id", "doc_type").agg(F.min("page").alias("seen"))
-    listed = listed.groupBy("doc_id", "doc_type").agg(F.min_by(F.struct("page", "k"), "page").alias("x"))
-    listed = listed.join(first, ["doc_id", "doc_type"], "left").where("seen is null or x.page < seen")
-    listed = listed.select("doc_id", "x.k", "doc_type", "x.page", F.lit(None).cast("string").alias("purpose"), F.lit(True).alias("from_toc"))
-    both = content.unionByName(listed)
-    docs = F.array_sort(F.collect_list(F.struct("page", "k", "doc_type", "purpose", "from_toc")))
-    out = both.groupBy("doc_id").agg(docs.alias("docs")).select("doc_id", F.posexplode("docs").alias("seq", "d"))
-    return out.select("doc_id", "seq", "d.doc_type", "d.page", "d.purpose", "d.from_toc")
+    return by_document(pages).select("doc_id", F.posexplode("docs").alias("seq", "d")).select("doc_id", "seq", "d.*").select("doc_id", "seq", "doc_type", "page", "purpose", "from_toc")
 
 
-def report_date(pages: DataFrame) -> DataFrame:
-    """`doc_id, report_date, report_date_page, report_date_source`: of the application, affidavit or power of attorney (the
-    first page of each that has a date), else near a filing word in the other pages, else coded in a document number."""
-    rows = page_docs(pages)
-    by_type = [F.min_by(F.struct("date", "page_num"), F.when((F.col("doc_type") == s) & F.col("date").isNotNull(), F.col("page_num"))).alias(f"d{k}") for k, s in enumerate(fixed.DATE_SOURCES)]
-    other = ~F.col("toc") & F.col("doc_type").isNull() & filled(F.col("text")).isNotNull()
-    texts = F.transform(F.array_sort(F.collect_list(F.when(other, F.struct("page_num", "text")))), lambda x: x["text"])
-    coded = F.min_by(F.col("coded"), F.when(F.col("coded").isNotNull(), F.col("page_num"))).alias("coded")
-    got = rows.withColumn("coded", coded_date(F.col("text"))).groupBy("doc_id").agg(*by_type, F.array_join(texts, "\n").alias("rest"), coded)
-    got = got.withColumn("near", near_keyword_date(F.col("rest")))
-    pick = F.coalesce(
-        *[F.when(F.col(f"d{k}").isNotNull(), F.struct(F.col(f"d{k}.date").alias("date"), F.col(f"d{k}.page_num").alias("page"), F.lit(s).alias("source"))) for k, s in enumerate(fixed.DATE_SOURCES)],
-        F.when(F.col("near").isNotNull(), F.struct(F.col("near").alias("date"), F.lit(None).cast(pages.schema["page_num"].dataType).alias("page"), F.lit("補正回應（謄本日期）").alias("source"))),
-        F.when(F.col("coded").isNotNull(), F.struct(F.col("coded.shown").alias("date"), F.lit(None).cast(pages.schema["page_num"].dataType).alias("page"), F.col("coded.source").alias("source"))),
-    )
-    return got.select("doc_id", pick["date"].alias("report_date"), pick["page"].alias("report_date_page"), pick["source"].alias("report_date_source"))
+def dated(rows: DataFrame) -> Column:
+    """`struct<date, page, source>`: of the application, affidavit or power of attorney (the first page of each that has a date),
+    else near a filing word in the other pages, else coded in a document number. rows: of by_document."""
+    kind = rows.schema["docs"].dataType.elementType["page"].dataType
+    pick = lambda date, page, source: F.struct(date.alias("date"), page.cast(kind).alias("page"), source.alias("source"))
+    of_type = [F.when(F.col(f"d{k}").isNotNull(), pick(F.col(f"d{k}.date"), F.col(f"d{k}.page_num"), F.lit(s))) for k, s in enumerate(fixed.DATE_SOURCES)]
+    none = F.lit(None)
+    near = let(near_keyword_date(F.col("rest")), lambda d: F.when(d.isNotNull(), pick(d, none, F.lit("補正回應（謄本日期）"))))
+    coded = F.when(F.col("coded").isNotNull(), pick(F.col("coded.shown"), none, F.col("coded.source")))
+    return F.coalesce(*of_type, near, coded)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """The document that stands for each type: the first of a content page, else the first that is listed."""
-    return docs.groupBy("doc_id", "doc_type").agg(F.min_by(F.struct("page", "from_toc"), F.struct("from_toc", "seq")).alias("x")).select("doc_id", "doc_type", "x.page", "x.from_toc")
+def report_date(pages: DataFrame) -> DataFrame:
+    """`doc_id, report_date, report_date_page, report_date_source` of each document (see `dated`)."""
+    rows = by_document(pages)
+    rows = rows.select("doc_id", dated(rows).alias("x"))
+    return rows.select("doc_id", F.col("x.date").alias("report_date"), F.col("x.page").alias("report_date_page"), F.col("x.source").alias("report_date_source"))
 
 
 def summary(pages: DataFrame) -> DataFrame:
-    """One row a document: flags, number of powers of attorney with their purposes, where each type stands, and the report date."""
-    docs = front_docs(pages)
-    at = F.map_from_entries(F.collect_list(F.struct("doc_type", F.struct("page", "from_toc"))))
-    places = located(docs).groupBy("doc_id").agg(at.alias("at"))
-    poa = docs.where("doc_type = '委託書'").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("poa_count"), F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("purpose", F.lit("用途未識別")).alias("p")))), lambda x: x["p"]).alias("purposes"),
-    )
-    out = report_date(pages).join(places, "doc_id", "left").join(poa, "doc_id", "left")
-    has = lambda t: F.coalesce(F.map_contains_key("at", t), F.lit(False))
-    return out.select(
-        "doc_id", F.coalesce("poa_count", F.lit(0)).alias("poa_count"), F.coalesce("purposes", F.array().cast("array<string>")).alias("purposes"), has("申請書").alias("has_application"),
-        has("切結書").alias("has_affidavit"), has("審議資料表").alias("has_review_table"), "at", "report_date", "report_date_page", "report_date_source",
+    """One row a document: flags, number of powers of attorney with their purposes, where each type stands (the first content page,
+    else the first page that lists it), and the report date."""
+    rows = by_document(pages)
+    of = lambda t: F.filter("docs", lambda d: d["doc_type"] == t)
+    place = lambda d: F.struct(d["page"].alias("page"), d["from_toc"].alias("from_toc"))
+
+    def located(t):
+        own = of(t)
+        best = F.coalesce(F.get(F.filter(own, lambda d: ~d["from_toc"]), 0), F.get(own, 0))
+        return F.when(F.size(own) > 0, F.struct(F.lit(t).alias("key"), place(best).alias("value")))
+
+    at = F.map_from_entries(F.array_compact(F.array(*[located(t) for t, _, _ in fixed.FRONT_DOCS])))
+    has = lambda t: F.exists("docs", lambda d: d["doc_type"] == t)
+    poa = F.transform(of("委託書"), lambda d: F.coalesce(d["purpose"], F.lit("用途未識別")))
+    out = rows.select(
+        "doc_id", F.size(poa).cast("long").alias("poa_count"), poa.alias("purposes"), has("申請書").alias("has_application"), has("切結書").alias("has_affidavit"), has("審議資料表").alias("has_review_table"),
+        at.alias("at"), dated(rows).alias("x"),
     )
+    return out.select("*", F.col("x.date").alias("report_date"), F.col("x.page").alias("report_date_page"), F.col("x.source").alias("report_date_source")).drop("x")

@@ -115,30 +115,29 @@ def label_matches(text: Column, words: list, excludes: list[str]) -> Column:
     return hit & ~any_word(text, excludes) if excludes else hit
 
 
-def labelled(text: Column, taken: Column | None = None) -> Column:
+def labelled(text: Column) -> Column:
     """Fields whose label a text has, in the order of LABELS."""
     return F.array_compact(F.array(*[F.when(label_matches(text, w, x), F.lit(f)) for w, f, x in fixed.LABELS]))
 
 
-def claims(rows: DataFrame, by: list[str], order: Column) -> DataFrame:
-    """Rows (by, fields, value) in scan order as one map of fields: a row claims the first of its fields that no row before has.
+def claimed(listed: Column) -> Column:
+    """Of an array of struct<..., fields, value> in scan order, a map of fields: an entry claims the first of its fields that none before has.
 
-    A row has few fields and a page few labelled rows, so the walk is a fold over the page's array.
+    An entry has few fields and a page few labels, so the walk is a fold over the page's array.
     """
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("at"), "fields", "value"))), lambda x: F.struct(x["fields"].alias("fields"), x["value"].alias("value")))
     empty = F.create_map().cast("map<string,string>")
 
     def walk(done, x):
         free = F.get(F.filter(x["fields"], lambda f: ~F.map_contains_key(done, f)), 0)
         return F.when(free.isNull(), done).otherwise(F.map_concat(done, F.create_map(F.coalesce(free, F.lit("")), F.coalesce(x["value"], F.lit("")))))
 
-    return rows.groupBy(*by).agg(F.aggregate(listed, empty, walk).alias("fields"))
+    return F.aggregate(F.transform(listed, lambda x: F.struct(x["fields"].alias("fields"), x["value"].alias("value"))), empty, walk)
 
 
-def typed(rows: DataFrame, by: list[str], column: str = "fields") -> DataFrame:
+def typed(rows: DataFrame, by: list[str], column: str = "fields", more: list[str] = ()) -> DataFrame:
     """A map of raw texts as the columns of the review table."""
     have = [f for f in FIELDS if f not in ("raw_page", "report_filing_date")]
-    return rows.select(*by, *[coerced(f, F.element_at(F.col(column), f)).alias(f) for f in have])
+    return rows.select(*by, *more, *[coerced(f, F.element_at(F.col(column), f)).alias(f) for f in have])
 
 
 def from_cells(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -150,7 +149,8 @@ def from_cells(cells: DataFrame, by: list[str]) -> DataFrame:
     text = F.trim("text")
     value = F.coalesce(F.when(F.col("next.col") == F.col("col") + 1, filled(F.trim("next.text"))), text)
     rows = cells.withColumn("next", right).select(*by, "row", "col", labelled(text).alias("fields"), value.alias("value")).where(F.size("fields") > 0)
-    return typed(claims(rows, by, F.struct("row", "col")), by)
+    grouped = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("row", "col", "fields", "value"))).alias("listed"))
+    return typed(grouped.select(*by, claimed(F.col("listed")).alias("fields")), by)
 
 
 def stitched(texts: Column) -> Column:
@@ -167,7 +167,7 @@ def stitched(texts: Column) -> Column:
 
 
 def right_texts(boxes: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
-    """`by, seq, value, texts` of each label: what is on its row to the right, nearest first.
+    """The labels with `texts`: what is on the label's row to the right, nearest first.
 
     A row is met by equal document, page and cell of the vertical centre; labels reach into the cells that their row's
     tolerance can touch, so that no page is joined with itself whole.
@@ -183,7 +183,7 @@ def right_texts(boxes: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame
     met = here.join(there, [*by, "cell"]).where(near)
     texts = F.transform(F.array_sort(F.collect_list(F.struct("x0", "seq", "text"))), lambda x: x["text"])
     got = met.groupBy(*by, F.col("l_seq").alias("seq")).agg(texts.alias("texts"))
-    return labels.select(*by, "seq", "text").join(got, [*by, "seq"], "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
+    return labels.join(got, [*by, "seq"], "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
 
 
 def checked_code(text: Column) -> Column:
@@ -210,22 +210,25 @@ def from_detections(boxes: DataFrame, by: list[str] = PAGE) -> DataFrame:
     part = F.when(F.contains(text, F.lit("平面")), 1).otherwise(0) + F.when(F.contains(text, F.lit("機械")), 2).otherwise(0)
     labels = placed.withColumn("fields", fields).withColumn("part", part).withColumn("is_type", F.contains("text", F.lit("送審類別")))
     labels = labels.where((F.size("fields") > 0) | (F.col("part") > 0) | F.col("is_type"))
-    met = right_texts(placed, labels, by).join(labels.select(*by, "seq", "fields", "part", "is_type"), [*by, "seq"])
-    value = F.coalesce(stitched(F.col("texts")), F.nullif(F.regexp_extract("text", r"([0-9][0-9,.]*)\s*$", 1), F.lit("")))
-    met = met.withColumn("value", value).withColumn("places", leading_int(stitched(F.col("texts")))).withColumn("joined", F.array_join("texts", ""))
-    count = F.when(F.col("places").between(0, fixed.PARKING_MOST), F.col("places"))
-    claimed = claims(met.where((F.size("fields") > 0) & leading_number(F.col("value")).isNotNull()), by, F.col("seq"))
-    of_part = lambda k: F.min_by(count, F.when((F.col("part").bitwiseAND(k) > 0) & count.isNotNull(), F.col("seq")))
-    one_type = F.coalesce(checked_code(F.col("joined")), named_code(F.col("joined")))
-    sums = met.groupBy(*by).agg(of_part(1).alias("surface"), of_part(2).alias("mech"), F.min_by(F.struct(one_type.alias("t")), F.when(F.col("is_type"), F.col("seq"))).alias("type"))
+    met = right_texts(placed, labels, by)
+    met = met.withColumn("near", stitched(F.col("texts"))).withColumn("joined", F.array_join("texts", ""))
+    value = F.coalesce("near", F.nullif(F.regexp_extract("text", r"([0-9][0-9,.]*)\s*$", 1), F.lit("")))
+    places = leading_int(F.col("near"))
+    met = met.withColumn("value", value).withColumn("places", F.when(places.between(0, fixed.PARKING_MOST), places))
+    # all of a page in one pass: claims, the parts of parking and the type
+    claim = F.when((F.size("fields") > 0) & leading_number(F.col("value")).isNotNull(), F.struct("seq", "fields", "value"))
+    of_part = lambda k: F.min_by("places", F.when((F.col("part").bitwiseAND(k) > 0) & F.col("places").isNotNull(), F.col("seq")))
+    one_type = F.min_by("joined", F.when(F.col("is_type"), F.col("seq")))
+    grouped = met.groupBy(*by).agg(F.array_sort(F.collect_list(claim)).alias("listed"), of_part(1).alias("surface"), of_part(2).alias("mech"), one_type.alias("said"))
     anchor = placed.groupBy(*by).agg(F.bool_or(F.contains("text", F.lit("實設"))).alias("anchor"))
-    out = typed(sums.join(claimed, by, "left").join(anchor, by), by).join(sums.join(anchor, by), by)
+    rows = grouped.withColumn("fields", claimed(F.col("listed"))).join(anchor, by)
+    out = typed(rows, by, "fields", ["surface", "mech", "said", "anchor"])
     both = F.col("anchor") & F.col("surface").isNotNull() & F.col("mech").isNotNull()
     acc = F.coalesce("accessible_parking", F.lit(0))
     detail = F.concat(F.lit("平面"), F.col("surface").cast("string"), F.lit("機械"), F.col("mech").cast("string"), F.lit("無障礙"), acc.cast("string"), F.lit("充電"), F.coalesce(F.col("ev_parking").cast("string"), F.lit("-")))
     total = F.col("surface") + F.col("mech") + acc + F.coalesce("ev_parking", F.lit(0))
     out = out.withColumn("actual_parking_detail", F.when(both, detail)).withColumn("actual_parking", F.when(both, total).otherwise(F.col("actual_parking")))
-    return out.withColumn("submission_type", F.col("type.t")).drop("surface", "mech", "type", "anchor")
+    return out.withColumn("submission_type", F.coalesce(checked_code(F.col("said")), named_code(F.col("said")))).drop("surface", "mech", "said", "anchor")
 
 
 def filled_from(base: DataFrame, tier: DataFrame, by: list[str], gate: Column | None = None) -> DataFrame:
