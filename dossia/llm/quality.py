@@ -4,9 +4,11 @@ A linear-chain conditional random field over the lines of a text has two labels,
 and content (1). Viterbi decoding marks the lines; a text is kept if the share of its word
 characters in content lines is at least `share`, unless a base rule rejects it.
 
-The field is trained here from document labels: lines of documents labelled good are taken as
-content, those of bad ones as boilerplate, on at most `sample` labelled documents (a documented
-bound, chosen by a hash of doc_id). Everything else reads all rows and whole texts.
+The field is trained here from document labels, on at most `sample` labelled documents of `sample_bytes`
+bytes together (a documented bound, chosen by a hash of doc_id). A line's label is what its own features
+say: a first field without neighbours learns from the label of each line's document, and the lines that
+it takes for content, in good documents or bad, are the second's content. Everything else reads all
+rows and whole texts.
 
 Null texts have no words and fail the base rule; repeated rows are judged each; without labels of
 both kinds every text that passes the base rules is kept; an empty table gives no rows; other
@@ -231,7 +233,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
         return field
     lines = Lines(texts)
     features, counts, _ = features_of(lines, lines.seen())
-    return Field().fit(features, counts, np.repeat(quality, counts))
+    # what a line says by itself, learnt with every line a chain of its own; the field learns from these labels
+    alone = Field().fit(features, np.ones(len(features), np.int64), np.repeat(quality, counts)).scores(features)
+    return Field().fit(features, counts, (alone[:, 1] >= alone[:, 0]).astype(np.int64))
 
 
 def judged(docs: DataFrame, field: Field, share: float = SHARE, keep_columns: bool = False) -> DataFrame:
