@@ -46,6 +46,26 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BSDbinary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSDendorse",
     "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BSDasis",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "BSDliability",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "LGPL3later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version": "LGPL21later",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "LGPLwarranty",
+    "see the gnu lesser general public license for more details": "LGPLsee",
+    "you should have received a copy of the gnu lesser general public license along with this library": "LGPLcopy",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "AGPL3later",
+    "see the gnu affero general public license for more details": "AGPLsee",
+    "you should have received a copy of the gnu affero general public license along with this program": "AGPLcopy",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISCgrant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "ISCwarranty",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0": "MPL2copy",
+    "this is free and unencumbered software released into the public domain": "Unlicense",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "CC0waive",
+    "spdx license identifier mit": "MITref",
+    "spdx license identifier apache 2.0": "ApacheRef",
+    "spdx license identifier gpl 2.0 or later": "GPL2spdx",
+    "spdx license identifier gpl 3.0 or later": "GPL3spdx",
+    "spdx license identifier bsd 3 clause": "BSD3spdx",
+    "spdx license identifier mpl 2.0": "MPL2ref",
     "all rights reserved": "AllRights",
     "licensed under cc by nc 4.0": "CCBYNC4ref",
     "this work is licensed under a creative commons attribution 4.0 international license": "CCBY4ref",
@@ -55,24 +75,41 @@ SENTENCES = {
 RULES = [
     ("MIT", ["MITgrant", "MITnotice", "MITwarranty", "MITliability"]),
     ("MIT", ["MITgrant", "MITnotice", "MITwarranty"]),
+    ("MIT", ["MITgrant", "MITnotice"]),
+    ("ISC", ["ISCgrant", "ISCwarranty"]),
+    ("ISC", ["ISCgrant"]),
     ("Apache-2.0", ["ApacheRef", "ApacheUse", "ApacheCopy", "ApacheWarranty", "ApacheSee"]),
     ("Apache-2.0", ["ApacheRef", "ApacheUse", "ApacheCopy"]),
     ("GPL-3.0-or-later", ["GPL3later", "GPLwarranty", "GPLsee", "GPLcopy"]),
     ("GPL-3.0-or-later", ["GPL3later"]),
     ("GPL-2.0-or-later", ["GPL2later", "GPLwarranty", "GPLsee", "GPLcopy"]),
     ("GPL-2.0-or-later", ["GPL2later"]),
+    ("LGPL-3.0-or-later", ["LGPL3later", "LGPLwarranty", "LGPLsee", "LGPLcopy"]),
+    ("LGPL-3.0-or-later", ["LGPL3later"]),
+    ("LGPL-2.1-or-later", ["LGPL21later", "LGPLwarranty", "LGPLsee", "LGPLcopy"]),
+    ("LGPL-2.1-or-later", ["LGPL21later"]),
+    ("AGPL-3.0-or-later", ["AGPL3later", "GPLwarranty", "AGPLsee", "AGPLcopy"]),
+    ("AGPL-3.0-or-later", ["AGPL3later"]),
+    ("BSD-3-Clause", ["BSDpre", "BSDsource", "BSDbinary", "BSDendorse", "BSDasis", "BSDliability"]),
     ("BSD-3-Clause", ["BSDpre", "BSDsource", "BSDbinary", "BSDendorse", "BSDasis"]),
+    ("BSD-2-Clause", ["BSDpre", "BSDsource", "BSDbinary", "BSDasis", "BSDliability"]),
     ("BSD-2-Clause", ["BSDpre", "BSDsource", "BSDbinary", "BSDasis"]),
+    ("MPL-2.0", ["MPL2ref", "MPL2copy"]),
     ("MIT", ["MITref"]),
     ("Apache-2.0", ["ApacheRef"]),
     ("GPL-3.0", ["GPL3ref"]),
+    ("GPL-3.0-or-later", ["GPL3spdx"]),
+    ("GPL-2.0-or-later", ["GPL2spdx"]),
+    ("BSD-3-Clause", ["BSD3spdx"]),
     ("CC-BY-4.0", ["CCBY4ref"]),
     ("CC-BY-NC-4.0", ["CCBYNC4ref"]),
+    ("CC0-1.0", ["CC0waive"]),
+    ("Unlicense", ["Unlicense"]),
     ("MPL-2.0", ["MPL2ref"]),
     ("Proprietary", ["AllRights"]),
 ]
 #: Every known sentence holds one of these.
-CUES = ["licen", "permission", "copyright", "warrant", "liable", "redistribut", "gnu general", "rights reserved"]
+CUES = ["licen", "permission", "copyright", "warrant", "liable", "redistribut", "gnu general", "rights reserved", "public domain", "copy of the mpl"]
 assert all(any(c in s for c in CUES) for s in SENTENCES)
 
 #: In normalised text: what stands before a line's or sentence's first word, between two words, and after the last.

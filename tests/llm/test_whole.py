@@ -95,17 +95,36 @@ BSD = """Redistribution and use in source and binary forms, with or without modi
 
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 %s
-THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE."""
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.%s"""
 ENDORSE = """
 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
 """
+BSD_LIABLE = """ IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+OTHER_END = " IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE."
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""
+ISC_REST = """
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+
+
+def gnu(kind, version, whole, thing="program"):
+    """The notice of a GNU licence of another kind, whole or its first paragraph."""
+    text = GPL % (":" if version == "3" else ";", 0)
+    text = text.replace("version 0", f"version {version}").replace("GNU General", f"GNU {kind} General").replace("This program", f"This {thing}")
+    return text + (GPL_REST % ".").replace("GNU General", f"GNU {kind} General").replace("This program", f"This {thing}").replace("this program", f"this {thing}") if whole else text
+
+
 #: A public text for each rule, in the rules' order.
 PUBLIC = [
-    MIT + LIABLE, MIT, APACHE + APACHE_REST, APACHE, GPL % (":", 3) + GPL_REST % ".  If not, see <https://www.gnu.org/licenses/>.", GPL % (":", 3),
-    GPL % (";", 2) + GPL_REST % "; if not, write to the Free Software Foundation, Inc.", GPL % (";", 2), BSD % ENDORSE, BSD % "",
+    MIT + LIABLE, MIT, MIT.split("\n\nTHE SOFTWARE")[0], ISC + ISC_REST, ISC, APACHE + APACHE_REST, APACHE, GPL % (":", 3) + GPL_REST % ".  If not, see <https://www.gnu.org/licenses/>.", GPL % (":", 3),
+    GPL % (";", 2) + GPL_REST % "; if not, write to the Free Software Foundation, Inc.", GPL % (";", 2), gnu("Lesser", "3", True, "library"), gnu("Lesser", "3", False, "library"), gnu("Lesser", "2.1", True, "library"), gnu("Lesser", "2.1", False, "library"),
+    gnu("Affero", "3", True), gnu("Affero", "3", False), BSD % (ENDORSE, BSD_LIABLE), BSD % (ENDORSE, OTHER_END), BSD % ("", BSD_LIABLE), BSD % ("", OTHER_END),
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "This project is licensed under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.",
-    "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY-NC 4.0.",
-    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one.",
+    "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: BSD-3-Clause",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY-NC 4.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "This is free and unencumbered software released into the public domain.",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can ask for one.",
     "Copyright (c) 2020, Owner\n\nAll rights reserved.",
 ]
 
