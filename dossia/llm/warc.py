@@ -27,53 +27,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossia.llm.kernels import shared, tidy
+from dossia.llm.kernels import cut, shared, tidy
 
 LEAST = 1000
 TIME = "2024-01-01T00:00:00Z"
 
 
+#: Rows of one address that meet in a task at most; an address with more is dealt to several.
+SALTED = 20_000
+#: Classes of payload sizes (bytes up to) and records to a file, so that a file holds 128 MB or one record.
+CLASSES = [(64 << 10, 2_000), (4 << 20, 32), (None, 1)]
+
+
 def archive_tables(pages: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """The `payloads` and `headers` tables of pages (page_id, url, html)."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), body.alias("payload"))
     rows = rows.select("*", F.sha2("payload", 256).alias("address"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"))
+    # row numbers are given once: a plan that runs again may give others
+    slim = cut(rows.select("page_id", "url", "address", "sha1", "bytes", F.monotonically_increasing_id().alias("n")))
+    lead = slim.groupBy("address").agg(F.max(F.struct("page_id", "url", "n")).alias("lead"), F.max("sha1").alias("most"), F.min("sha1").alias("other"), F.count(F.lit(1)).alias("many"))
+    same = F.when(F.col("most") == F.col("other"), F.col("most")).otherwise(F.raise_error(F.concat(F.lit("two payloads share the address "), F.col("address"))))
+    # a hot address has a row for each of its salts, and so have its payloads later
+    salts = F.greatest(F.lit(1), F.ceil(F.col("many") / SALTED)).cast("int")
+    lead = lead.select("address", "lead", same.alias("sha1"), salts.alias("salts"))
     # once per address: partial aggregation leaves one payload a map task and address
-    payloads = rows.groupBy("address").agg(F.min("sha1").alias("sha1"), F.max("sha1").alias("other"), F.min("bytes").alias("bytes"), F.max("bytes").alias("most"), F.first("payload").alias("payload"))
-    same = F.when((F.col("sha1") == F.col("other")) & (F.col("bytes") == F.col("most")), F.col("sha1")).otherwise(F.raise_error(F.concat(F.lit("two payloads share the address "), F.col("address"))))
-    payloads = payloads.select("address", "bytes", same.alias("sha1"), "payload")
-    slim = rows.select("page_id", "url", "address", "sha1", "bytes", F.monotonically_increasing_id().alias("n"))
-    lead = slim.groupBy("address").agg(F.max(F.struct("page_id", "url", "n")).alias("lead"))
-    headed = slim.join(lead, "address")
+    payloads = rows.groupBy("address").agg(F.first("bytes").alias("bytes"), F.first("payload").alias("payload"))
+    payloads = payloads.join(lead.select("address", "sha1", "salts"), "address").select("address", "bytes", "sha1", "salts", "payload")
+    dealt = lead.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("address", "salt", "lead")
+    # what only small, common payloads share is joined by salt too: their number is known from one aggregate of slim rows
+    hot = F.broadcast(lead.where("salts > 1").select(F.col("address").alias("h_address"), F.col("salts").alias("h_salts")))
+    slim = slim.join(hot, F.col("address") == F.col("h_address"), "left").withColumn("salt", F.pmod("n", F.coalesce("h_salts", F.lit(1)).cast("long")).cast("int"))
+    headed = slim.join(dealt, ["address", "salt"])
     # the leader is one row: of repeated rows only the last one
     response = (F.col("bytes") < least) | ((F.col("n") == F.col("lead.n")) & F.col("page_id").eqNullSafe(F.col("lead.page_id")))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit("\r\n"))
     kind = F.when(F.col("response"), "response").otherwise("revisit")
+    profile = F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     header = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", kind), line("WARC-Record-ID", name(F.col("page_id"))),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "%0A")), line("WARC-Date", F.lit(TIME)), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         line("WARC-Payload-Address", F.concat(F.lit("sha256:"), F.col("address"))),
-        F.when(F.col("response"), F.lit("")).otherwise(F.concat(line("WARC-Refers-To", name(F.col("lead.page_id"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))),
+        F.when(F.col("response"), F.lit("")).otherwise(F.concat(line("WARC-Refers-To", name(F.col("lead.page_id"))), line("WARC-Profile", profile))),
         line("Content-Type", F.lit("text/html")), line("Content-Length", F.when(F.col("response"), F.col("bytes")).otherwise(0).cast("string")), F.lit("\r\n"),
     )
     headed = headed.withColumn("response", response)
-    return payloads, headed.select("page_id", "address", kind.alias("record_type"), header.cast("binary").alias("header"))
+    return payloads, headed.select("page_id", "address", "salt", F.when(F.col("response"), F.col("bytes")).otherwise(0).alias("bytes"), kind.alias("record_type"), header.cast("binary").alias("header"))
 
 
 def reconstructed(payloads: DataFrame, headers: DataFrame) -> DataFrame:
-    """The original record of each header: exact header bytes and, for responses, the payload."""
-    full = headers.where("record_type = 'response'").join(payloads.select("address", "payload"), "address")
-    return full.select("header", "payload").unionByName(headers.where("record_type = 'revisit'").select("header", F.lit(b"").alias("payload")))
+    """The original record of each header (and its `bytes`): exact header bytes and, for responses, the payload.
+
+    Payloads of common addresses go to as many tasks as those have salts; the others stay where their bucket is.
+    """
+    responses = headers.where("record_type = 'response'")
+    one, several = payloads.where("salts = 1"), payloads.where("salts > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    common = F.broadcast(payloads.where("salts > 1").select("address"))
+    rare = responses.join(common, "address", "left_anti").join(one.select("address", "payload"), "address").select("header", "payload", "bytes")
+    often = responses.join(several.select("address", "salt", "payload"), ["address", "salt"]).select("header", "payload", "bytes")
+    return rare.unionByName(often).unionByName(headers.where("record_type = 'revisit'").select("header", F.lit(b"").alias("payload"), "bytes"))
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = 2_000) -> None:
-    """WARC files of records (header, payload), cut at `per_file` records.
+def write_warc(records: DataFrame, path: str) -> None:
+    """WARC files of records (header, payload, bytes), cut by size: a folder for each class of payload sizes that occurs.
 
     Casting bytes to a string keeps them as they are, and the writer adds the blank line that ends a record.
     """
     value = F.concat("header", "payload").cast("string").alias("value")
-    records.select(value).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    low = -1
+    for high, per_file in CLASSES:
+        own = records.where((F.col("bytes") > low) & (F.lit(True) if high is None else F.col("bytes") <= high))
+        own.select(value).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(f"{path}/upto-{high or 'any'}")
+        low = high
 
 
 FIELD = re.compile(rb"([^:\r\n]+): ?([^\r\n]*)\r\n")
@@ -106,7 +132,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     kind = f["warc-type"]
                     if kind == "response" and hashlib.sha1(block).hexdigest() != f["warc-payload-digest"].removeprefix("sha1:"):
                         raise ValueError(f"the payload of {f['warc-record-id']} doesn't have its digest")
-                    rows.append((name(f["warc-record-id"]), f["warc-target-uri"], kind, name(f.get("warc-refers-to")), f["warc-payload-digest"].removeprefix("sha1:"), f["warc-payload-address"].removeprefix("sha256:"), head, block if kind == "response" else None))
+                    rows.append((name(f["warc-record-id"]), f["warc-target-uri"], kind, name(f.get("warc-refers-to")), f["warc-payload-digest"].removeprefix("sha1:"), f.get("warc-payload-address", f["warc-payload-digest"]).removeprefix("sha256:"), head, block if kind == "response" else None))
                     size += len(block)
                     if size > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
@@ -114,7 +140,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(tidy(run), "page_id long, url string, record_type string, refers_to long, digest string, address string, header binary, payload binary")
 
 
@@ -130,9 +156,15 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
     # bucketed by address, so that joining headers to payloads moves no payload again
     name, n = f"payloads_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     payloads.repartition(n, "address").write.bucketBy(n, "address").option("path", f"{at}/payloads").option("compression", "zstd").saveAsTable(name)
-    headers.write.parquet(f"{at}/headers")
-    write_warc(reconstructed(spark.table(name), spark.read.parquet(f"{at}/headers")), f"{at}/files")
+    try:
+        headers.write.parquet(f"{at}/headers")
+        write_warc(reconstructed(spark.table(name), spark.read.parquet(f"{at}/headers")), f"{at}/files")
+    finally:
+        spark.sql(f"drop table {name}")  # an external table: its files stay
     back = read_warc(spark, f"{at}/files")
-    # what a payload says of itself, once per address; a revisit gets it by its address
-    found = back.where("record_type = 'response'").groupBy("address").agg(F.max(F.octet_length("payload")).cast("long").alias("payload_bytes"), F.max(F.sha1("payload")).alias("payload_digest"))
-    return back.select("page_id", "record_type", "refers_to", "address").join(found, "address").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # what a payload says of itself, once per address; a response has it in its own record
+    said = back.select("page_id", "record_type", "refers_to", "address", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    said = cut(said)
+    found = said.where("record_type = 'response'").groupBy("address").agg(F.max("payload_bytes").alias("b"), F.max("payload_digest").alias("d"))
+    revisits = said.where("record_type = 'revisit'").join(found, "address").select("page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to")
+    return said.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").unionByName(revisits)
