@@ -420,7 +420,8 @@ def rooted(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, fragment
     linked = found.where("b is null").groupBy(F.col("a").alias("l_key")).agg(F.sum("n").alias("others"))
     known = reps.select(F.col("key").alias("r_key"), "many").join(linked, F.col("r_key") == F.col("l_key"), "left")
     known = known.join(roots, F.col("r_key") == F.col("node"), "left")
-    known = known.select("r_key", F.coalesce("root", "r_key").alias("root"), (F.col("many") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    # a table of its own, so that hot classes can be split in the join of their rows
+    known = cut(known.select("r_key", F.coalesce("root", "r_key").alias("root"), (F.col("many") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
     out = with_keys.join(known, F.col("key") == F.col("r_key"), "left")
     return out.select("doc_id", "n", "key", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
@@ -428,7 +429,8 @@ def rooted(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, fragment
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, fragments: int = FRAGMENTS) -> DataFrame:
     """`doc_id, n_shingles, component_id, class_key, n_links` of each row."""
     named = rooted(docs, percent, width, fragments)
-    names = named.where("key <> 0").groupBy("root").agg(F.min("doc_id").alias("least")).withColumnRenamed("root", "r_root")
+    # a table of its own, so that the join's hot roots can be split
+    names = cut(named.where("key <> 0").groupBy(F.col("root").alias("r_root")).agg(F.min("doc_id").alias("least")))
     out = named.join(names, (named.root == names.r_root) & (named.key != 0), "left")
     component = F.when(F.col("key") == 0, F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").alias("class_key"), "n_links")
