@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from dossia.llm.kernels import as_bytes, slices, tidy, written
 
 WINDOW, SMALLEST = 4096, 256
-WORDS, PIECES = 50_000, 200_000
+WORDS, PIECES = 50_000, 300_000
 #: Up to so many parts of the table of ids have their offsets broadcast (80 bytes each).
 SENT_PARTS = 1_000_000
 #: Pre-tokens that are looked up as one line.
@@ -59,22 +59,11 @@ class WordIds(dict):
         small = self.tokenizer.get_vocab_size() < 2**16
         self.dtype, self.code = ("<u2", "H") if small else ("<u4", "I")
 
-        self.new: set[str] = set()
         self.before: dict[str, bytes] = {}
-        self.limit, self.apart, self.misses = limit, apart, 0
-
-    def __missing__(self, word: str) -> bytes | None:
-        if (known := self.before.get(word)) is not None:
-            self[word] = known
-            return known
-        self.new.add(word)
-        self.misses += 1
-        return None
-
-    def learn(self) -> None:
-        """Looks up what was missed."""
-        new = list(self.new)
-        self.new.clear()
+        self.limit, self.apart = limit, apart
+
+    def learn(self, new: list[str]) -> None:
+        """Looks up words that aren't known."""
         step = LINE if self.apart else 20_000
         for lo in range(0, len(new), step):
             some = new[lo : lo + step]
@@ -98,17 +87,14 @@ class WordIds(dict):
         if len(self) > self.limit:
             self.before = dict(self)
             self.clear()
-        get, found, again = self.__getitem__, [], []
-        for k, c in enumerate(cuts):
-            before = self.misses
-            found.append([*map(get, c)])
-            if self.misses > before:
-                again.append((k, [i for i, x in enumerate(found[-1]) if x is None]))
-        self.learn()
-        for k, places in again:
-            for i in places:
-                found[k][i] = get(cuts[k][i])
-        return [b"".join(f) for f in found]
+        unknown = set().union(*cuts).difference(self)
+        if self.before:
+            kept = unknown & self.before.keys()
+            self.update(zip(kept, map(self.before.__getitem__, kept)))
+            unknown -= kept
+        self.learn(list(unknown))
+        get = self.__getitem__
+        return [b"".join(map(get, c)) for c in cuts]
 
 
 _ids: dict[str, tuple[WordIds, WordIds]] = {}
