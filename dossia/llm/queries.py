@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossia.llm import chat, decontaminate, jaccard, licenses, packing, quality, shards, suffixes, tokens, warc
+from dossia.llm import chat, decontaminate, interactions, jaccard, licenses, packing, periods, quality, shards, suffixes, tokens, warc
 
 END = "<|im_end|><|im_start|>assistant ok"
 
@@ -62,6 +62,14 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(table(spark, sf_dir, "conversations"))
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest(periods.periodic_runs(periods.with_planted_periods(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_license_scans": op2_license_scans,
@@ -73,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_filter_interactions": op11_filter_interactions,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
@@ -95,4 +105,5 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
                sum(length(role) + length(esc) + {len("<|im_start|>") + len("<|im_end|>") + 2})::bigint as formatted_chars
         from e group by conv_id""",
+    "op11_filter_interactions": interactions.oracle(),
 }
