@@ -79,6 +79,49 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def running(numbers: Column, combine=lambda a, b: a + b, longest: int = 1 << 30) -> Column:
+    """What an array adds up to at each of its places (or another associative `combine`), in as many passes as its length has binary digits."""
+    steps = F.array(*[F.lit(1 << k) for k in range(longest.bit_length() - 1)])
+
+    def scanned(a):
+        def doubled(sums, step):
+            return F.transform(sums, lambda x, i: F.when(i >= step, combine(F.get(sums, i - step), x)).otherwise(x))
+
+        return F.aggregate(F.filter(steps, lambda s: s < F.size(a)), a, doubled)
+
+    return let(numbers, scanned)
+
+
+def located(text: Column, pattern: str, group: int = 0) -> Column:
+    """Every match of a pattern that matches no empty text: `array<struct<value, start, end>>`, the places of the whole match counted from 0, in one pass over the matches."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), 0)
+    value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), group)
+
+    def placed(x):
+        # a match begins as far after the one before as that and the text between them are long
+        steps = F.transform(x["whole"], lambda w, i: F.length(F.get(x["between"], i)) + F.when(i > 0, F.length(F.get(x["whole"], i - 1))).otherwise(0))
+        return let(running(steps), lambda starts: F.transform(x["value"], lambda v, i: F.struct(v.alias("value"), F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(F.get(x["whole"], i))).alias("end"))))
+
+    return let(F.struct(whole.alias("whole"), value.alias("value"), F.split(text, pattern).alias("between")), placed)
+
+
+#: Characters of a piece of text: finding a place costs no more than this.
+PIECE = 256
+
+
+def pieces(text: Column) -> Column:
+    """A text in pieces of PIECE characters, for `stretch`."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), 0)
+
+
+def stretch(cut: Column, start: Column, end: Column) -> Column:
+    """The characters of a text from `start` to before `end`, counted from 0, out of its pieces; nothing before or after the text."""
+    start = F.greatest(F.lit(0), start)
+    first = F.floor(start / PIECE).cast("int")
+    near = F.array_join(F.slice(cut, first + 1, F.floor(end / PIECE).cast("int") - first + 1), "")
+    return F.substr(near, start - first * PIECE + 1, end - start)
+
+
 def fixed_point(c: Column, digits: int = 2, grouped: bool = True) -> Column:
     """A number with so many decimals, with thousands separators or without."""
     text = F.format_number(c, digits)

@@ -7,23 +7,19 @@ from pyspark.sql import functions as F
 
 from dossia.functions import fixed
 from dossia.functions.scalars import attachments_present, context
+from dossia.functions.text import let, located, pieces, stretch
 
 
 def matches(text: Column, pattern: str, group: int, around: int) -> Column:
     """Every match of a pattern: `array<struct<value, context>>`, with the characters around it on one line.
 
-    The text is split at the matches, so a match's place is the length of what is before it.
+    Places come from one pass over the matches, and contexts from pieces of the text near them, so time is in proportion to the text.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), 0)
-    values = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), group)
-    between = F.split(text, pattern)
+    def one(cut, m):
+        near = stretch(cut, m["start"] - around, m["end"] + around)
+        return F.struct(m["value"].alias("value"), F.trim(F.replace(near, F.lit("\n"), F.lit(" "))).alias("context"))
 
-    def one(value, i):
-        before = F.concat(F.aggregate(F.slice(F.arrays_zip(between.alias("b"), F.concat(whole, F.array(F.lit(""))).alias("w")), 1, i), F.lit(""), lambda a, x: F.concat(a, x["b"], F.coalesce(x["w"], F.lit("")))), F.get(between, i))
-        at = F.length(before) + 1
-        return F.struct(value.alias("value"), context(text, at, F.length(F.get(whole, i)), around).alias("context"))
-
-    return F.transform(values, one)
+    return let(F.struct(pieces(text).alias("cut"), located(text, pattern, group).alias("found")), lambda x: F.transform(x["found"], lambda m: one(x["cut"], m)))
 
 
 def pii(pages: DataFrame, key, text: str, patterns=fixed.PII_PATTERNS) -> DataFrame:
