@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossia.llm import chat, decontaminate, interactions, jaccard, licenses, packing, periods, quality, shards, suffixes, tokens, warc
+from dossia.llm import chat, decontaminate, interactions, jaccard, licenses, packing, periods, pii, quality, shards, suffixes, tokens, warc
 
 END = "<|im_end|><|im_start|>assistant ok"
 
@@ -70,6 +70,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digest(periods.periodic_runs(periods.with_planted_periods(table(spark, sf_dir, "documents"))))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_license_scans": op2_license_scans,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
     "op11_filter_interactions": op11_filter_interactions,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_pii": op13_pii,
 }
 
 ORACLE: dict[str, str] = {
