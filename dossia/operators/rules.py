@@ -1,4 +1,8 @@
-"""The rule catalogue: each rule is a Column that gives a finding, evaluated in one pass over the rows.
+"""The rule catalogue: each rule is a list of cases, compiled into one pass over the rows.
+
+What is compiled comes apart: which case of each rule holds is one array of numbers; status, name, severity and reference
+are looked up by it; and each text of a finding is a column of its own, built only where the case holds. A query for statuses
+so builds no messages: Catalyst drops the columns that nothing asks for.
 
 A finding says what a rule found: status (pass, warn, fail or skip), message, evidence, the three parts of a calculation
 as text, and the numbers compared. A row is one document: the review table's fields (`has_table` false or null fields where
@@ -8,12 +12,14 @@ attachments. Columns that a caller doesn't have count as not extracted.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossia.functions import fixed
-from dossia.functions.scalars import accessible_required, rank_of, within
-from dossia.functions.text import fixed_point, let, python_number, shortest
+from dossia.functions.scalars import accessible_required, first_of, rank_of, within
+from dossia.functions.text import fixed_point, python_number, shortest
 
 #: Columns of a document row, with the value of those that a caller leaves out.
 INPUT = {
@@ -31,33 +37,75 @@ def said(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
 
 
-def outcome(status: str, message: Column, evidence: Column | None = None, applied: Column | None = None, expected: Column | None = None, result: Column | None = None) -> Column:
-    none = F.lit(None).cast("string")
-    names = (("evidence", evidence), ("applied_value", applied), ("expected_calc", expected), ("computed_result", result))
-    return F.struct(F.lit(status).alias("status"), message.alias("message"), *[(none if c is None else c).alias(n) for n, c in names])
+@dataclass(frozen=True)
+class Outcome:
+    """What a case says: a status and texts."""
 
+    status: str
+    message: Column
+    evidence: Column | None = None
+    applied_value: Column | None = None
+    expected_calc: Column | None = None
+    computed_result: Column | None = None
 
-def finding(rule_id: str, cases: list[tuple[Column, Column]], other: Column, computed: Column | None = None, limit: Column | None = None, spec: dict | None = None) -> Column:
-    """The outcome of the first case that holds, with the rule's name, severity and reference (which passes and failures carry)."""
-    name, severity, reference = fixed.RULES.get(rule_id, ("", "medium", "")) if spec is None else (spec.get("rule_name", ""), spec.get("severity", "medium"), spec.get("reference", ""))
-    x = F.when(*cases[0])
-    for case in cases[1:]:
-        x = x.when(*case)
-    none = F.lit(None)
-    # the outcome stays one struct until it is a row, so that it is worked out once
-    return F.struct(
-        F.lit(rule_id).alias("rule_id"), F.lit(name).alias("rule_name"), F.lit(severity).alias("severity"), F.nullif(F.lit(reference), F.lit("")).alias("reference"), x.otherwise(other).alias("x"),
-        (none if computed is None else computed).cast("double").alias("computed"), (none if limit is None else limit).cast("double").alias("expected"),
-    )
 
+@dataclass(frozen=True)
+class Rule:
+    """A rule's cases in order, the last without a condition, and the numbers that it compares."""
+
+    rule_id: str
+    rule_name: str
+    severity: str
+    reference: str
+    conditions: list[Column]
+    outcomes: list[Outcome]
+    computed: Column | None
+    expected: Column | None
 
-def shown(keys: list[str]) -> list:
-    """A finding's columns, of a row with `f`."""
-    reference = F.when(F.col("f.x.status").isin("pass", "fail"), F.col("f.reference")).alias("reference")
-    return [*keys, "seq", "f.rule_id", "f.rule_name", "f.x.status", "f.severity", "f.x.message", "f.x.evidence", reference, "f.x.applied_value", "f.x.expected_calc", "f.x.computed_result", "f.computed", "f.expected"]
+
+outcome = Outcome
+TEXTS = ["message", "evidence", "applied_value", "expected_calc", "computed_result"]
+NUMBERS = ["computed", "expected"]
+
+
+def finding(rule_id: str, cases: list[tuple[Column, Outcome]], other: Outcome, computed: Column | None = None, limit: Column | None = None, spec: dict | None = None) -> Rule:
+    """A rule that gives the outcome of the first case that holds; passes and failures carry its reference."""
+    name, severity, reference = fixed.RULES.get(rule_id, ("", "medium", "")) if spec is None else (spec.get("rule_name", ""), spec.get("severity", "medium"), spec.get("reference", ""))
+    return Rule(rule_id, name, severity, reference, [c for c, _ in cases], [*(o for _, o in cases), other], computed, limit)
+
+
+def case_of(rule: Rule) -> Column:
+    """The number of the first case that holds."""
+    return first_of([(c, F.lit(i)) for i, c in enumerate(rule.conditions)], F.lit(len(rule.conditions)))
+
+
+def text_of(rule: Rule, case: Column, name: str) -> Column:
+    """One text of the case that holds; cases without it give null."""
+    own = [(case == i, t) for i, o in enumerate(rule.outcomes) if (t := getattr(o, name)) is not None]
+    return first_of(own) if own else F.lit(None).cast("string")
+
+
+def compiled(rows: DataFrame, keys: list[str], rules: list[Rule]) -> DataFrame:
+    """`keys, seq` and a finding of every rule on every row."""
+    none = not rules
+    rules = rules or [finding("", [(F.lit(True), outcome("skip", F.lit("")))], outcome("skip", F.lit("")))]
+    case = "\0case"  # columns of this name are nobody else's
+    told = rows.withColumn(case, F.array(*map(case_of, rules)))
+    texts = [F.array(*[text_of(r, F.get(case, i), t) for i, r in enumerate(rules)]).alias(f"\0{t}") for t in TEXTS]
+    numbers = [F.array(*[(F.lit(None) if getattr(r, n) is None else getattr(r, n)).cast("double") for r in rules]).alias(f"\0{n}") for n in NUMBERS]
+    # there is a case for each rule: `outer` spares the test for none, which would work all of them out twice
+    each = told.select(*keys, *texts, *numbers, case).select("*", F.posexplode_outer(case).alias("seq", "\0n"))
+    of_rule = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("seq"))
+    status = F.get(F.get(F.array(*[F.array(*[F.lit(o.status) for o in r.outcomes]) for r in rules]), F.col("seq")), F.col("\0n"))
+    cited = F.get(F.get(F.array(*[F.array(*[F.lit((r.reference or None) if o.status in ("pass", "fail") else None).cast("string") for o in r.outcomes]) for r in rules]), F.col("seq")), F.col("\0n"))
+    out = each.select(
+        *keys, "seq", of_rule([r.rule_id for r in rules]).alias("rule_id"), of_rule([r.rule_name for r in rules]).alias("rule_name"), status.alias("status"), of_rule([r.severity for r in rules]).alias("severity"),
+        F.get("\0message", "seq").alias("message"), F.get("\0evidence", "seq").alias("evidence"), cited.alias("reference"), *[F.get(f"\0{t}", "seq").alias(t) for t in [*TEXTS[2:], *NUMBERS]],
+    )
+    return out.where("false") if none else out
 
 
-def no_table(message: str = "審議資料表未能解析") -> tuple[Column, Column]:
+def no_table(message: str = "審議資料表未能解析") -> tuple[Column, Outcome]:
     return ~F.coalesce(F.col("has_table"), F.lit(False)), outcome("skip", F.lit(message))
 
 
@@ -67,7 +115,7 @@ def page_evidence(place: Column) -> Column:
 
 def present_rule(rule_id: str, doc: str, flag: str, found: str, missing: str, table_too: bool = False):
     """A front document is there; the message tells if only the table of contents lists it."""
-    def rule() -> Column:
+    def rule() -> Rule:
         place = F.element_at(F.col("front.at"), doc)
         listed = F.coalesce(place["from_toc"], F.lit(False))
         cases = [
@@ -86,23 +134,23 @@ affidavit_rule = present_rule("DOC-002", "切結書", "has_affidavit", "切結
 table_rule = present_rule("DOC-004", "審議資料表", "has_review_table", "臺北市都市更新審議資料表已找到", "未找到臺北市都市更新審議資料表", True)
 
 
-def poa_rule() -> Column:
+def poa_rule() -> Rule:
     n = F.col("front.poa_count")
     cases = [(F.col("front").isNull(), outcome("skip", F.lit("封面文件未能解析"))), (n >= 1, outcome("pass", said("找到 ", n, " 份委託書"), F.array_join("front.purposes", "、")))]
     return finding("DOC-003", cases, outcome("fail", F.lit("未找到任何委託書")), n)
 
 
-def type_rule() -> Column:
+def type_rule() -> Rule:
     t = F.col("submission_type")
     return finding("FORM-001", [no_table(), (t.isin(fixed.SUBMISSION_TYPES), outcome("pass", said("送審類別：", t)))], outcome("warn", F.lit("送審類別未能從審議資料表識別，請人工確認")))
 
 
-def fill_date_rule() -> Column:
+def fill_date_rule() -> Rule:
     d = F.col("fill_date")
     return finding("FORM-002", [no_table(), (F.coalesce(d, F.lit("")) != "", outcome("pass", said("填表日期：", d)))], outcome("warn", F.lit("填表日期未能識別，請人工確認")))
 
 
-def bonus_rule() -> Column:
+def bonus_rule() -> Rule:
     bonus, limit, own_base = F.col("bonus_floor_area"), F.col("bonus_limit"), F.col("base_floor_area")
     top = F.coalesce(limit, own_base * fixed.BONUS_SHARE)
     base = F.coalesce(F.nullif(own_base, F.lit(0.0)), top * 2)
@@ -120,7 +168,7 @@ def bonus_rule() -> Column:
     return finding("CALC-001", [no_table(), (bonus.isNull() | top.isNull(), unknown), (bonus > top + fixed.BONUS_SLACK, fail)], ok, F.when(top.isNotNull(), ratio), top)
 
 
-def accessible_rule() -> Column:
+def accessible_rule() -> Rule:
     legal, own = F.col("legal_parking"), F.col("accessible_parking")
     need = accessible_required(legal)
     applied = said("無障礙停車位 ", own, " 輛")
@@ -135,7 +183,7 @@ def accessible_rule() -> Column:
     return finding("CALC-002", cases, free, own, need)
 
 
-def parking_rule() -> Column:
+def parking_rule() -> Rule:
     legal, own = F.col("legal_parking"), F.col("actual_parking")
     applied, expected = said("實設汽車停車位 ", own, " 輛"), said("法定(含無障礙)汽車停車位 ", legal, " 輛（建築技術規則第59條）")
     fail = outcome("fail", said("實設汽車停車位 ", own, " 輛低於法定要求 ", legal, " 輛，差距 ", legal - own, " 輛"), TABLE_PAGE(), applied, expected, said("短少 ", legal - own, " 輛（", own, " ＜ ", legal, "）"))
@@ -144,7 +192,7 @@ def parking_rule() -> Column:
     return finding("CALC-003", cases, ok, own, legal)
 
 
-def limit_rule() -> Column:
+def limit_rule() -> Rule:
     limit, base = F.col("bonus_limit"), F.col("base_floor_area")
     want, a = base * fixed.BONUS_SHARE, fixed_point
     off = F.abs(limit - want)
@@ -161,14 +209,14 @@ def limit_rule() -> Column:
     return finding("CALC-004", [no_table(), (off.isNull(), outcome("warn", F.lit("基準樓地板面積或容積獎勵上限資料不足，建議人工確認"))), (off > fixed.LIMIT_TOLERANCE, fail)], ok, limit, want)
 
 
-def ev_rule() -> Column:
+def ev_rule() -> Rule:
     ev = F.col("ev_parking")
     page = F.when(F.coalesce(F.col("raw_page"), F.lit(0)) != 0, TABLE_PAGE())
     cases = [no_table(), (ev.isNotNull(), outcome("pass", said("充電車位欄位已填寫：", ev, " 輛"), TABLE_PAGE()))]
     return finding("FORM-003", cases, outcome("fail", F.lit("充電車位欄位未在審議資料表中找到，可能使用舊版格式"), page), ev)
 
 
-def pii_rule() -> Column:
+def pii_rule() -> Rule:
     """Any HIGH fails, any MEDIUM warns; the first five are the evidence."""
     all_ = F.coalesce("pii", F.array().cast(INPUT["pii"]))
     of = lambda s: F.filter(all_, lambda x: x["severity"] == s)
@@ -182,14 +230,14 @@ def pii_rule() -> Column:
     return finding("PII-001", cases, outcome("pass", F.lit("未偵測到高風險個資")), n("HIGH"))
 
 
-def term_rule() -> Column:
+def term_rule() -> Rule:
     all_ = F.coalesce("terms", F.array().cast(INPUT["terms"]))
     items = F.array_join(F.transform(all_, lambda x: F.concat(F.lit("P."), x["page"].cast("string"), F.lit("「"), x["wrong_term"], F.lit("」應為「"), x["correct_term"], F.lit("」"))), "; ")
     cases = [(F.size(all_) == 0, outcome("pass", F.lit("未偵測到法定用詞錯誤")))]
     return finding("TERM-001", cases, outcome("fail", said("發現 ", F.size(all_), " 處用詞錯誤，請核對後修正"), items), F.size(all_))
 
 
-def number_rule() -> Column:
+def number_rule() -> Rule:
     """Numbers in the text against the review table's: one that is off fails, none at all warns."""
     all_ = F.coalesce("numbers", F.array().cast(INPUT["numbers"]))
     pick = lambda x, of: F.coalesce(*[F.when(x["field"] == f, of(f)) for f in fixed.NUMBER_LABELS])
@@ -213,7 +261,7 @@ TABLE_RULES = [type_rule, fill_date_rule, bonus_rule, accessible_rule, ev_rule,
 COMPARE = {"<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "==": lambda a, b: a == b}
 
 
-def configured(spec: dict, columns: set[str] = frozenset(INPUT)) -> Column:
+def configured(spec: dict, columns: set[str] = frozenset(INPUT)) -> Rule:
     """A rule given as data: review_field_present, formula_check, threshold or attachment_present; drafts and others skip."""
     kind, rule, name = spec.get("type"), spec["rule_id"], spec.get("rule_name", "")
     skip = lambda *parts: outcome("skip", said(*parts))
@@ -266,9 +314,7 @@ def evaluate(rows: DataFrame, keys: list[str], playbook: list[dict] = (), rules:
     columns = {*rows.columns, *INPUT}
     rows = rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in INPUT.items() if c not in rows.columns])
     built = [r() for r in rules] + [configured(s, columns) for s in playbook if drafts or s.get("enabled", True)]
-    # within a lambda: as generated code, all rules together would be too long to compile
-    all_ = let(F.lit(0), lambda _: F.array(*built))
-    return rows.select(*keys, F.posexplode(all_).alias("seq", "f")).select(*shown(keys))
+    return compiled(rows, keys, built)
 
 
 def consent_rules(rows: DataFrame) -> DataFrame:
