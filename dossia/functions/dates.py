@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dossia.functions import fixed
-from dossia.functions.text import let
+from dossia.functions.text import let, located, pieces, stretch
 
 Y, M, D = r"((?:\d\s*){2,4})年\s*", r"((?:\d\s*){1,2})月\s*", r"((?:\d\s*){1,2})日"
 STRICT = r"(?U)中\s*華\s*民\s*國\s*" + Y + M + D
@@ -69,24 +69,28 @@ def coded_date(text: Column) -> Column:
     return F.when(text.rlike(CODED), found)
 
 
+#: Characters before a filing keyword in which its date may stand.
+NEAR = 30
+
+
 def near_keyword_date(text: Column) -> Column:
-    """The date near a filing keyword: keywords in order, then their places; in 30 characters before and the keyword's line, a compact date, else a dotted one."""
+    """The date near a filing keyword: keywords in order, then their places; in 30 characters before and the keyword's line, a compact date, else a dotted one.
+
+    Lines with the keyword are found in one pass, then its places in each; what follows the first date isn't looked at.
+    """
     def of_word(word: str) -> Column:
-        parts = F.split(text, word)
-        # where each place of the word begins: the lengths of what is before it
-        starts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.aggregate(F.slice(parts, 1, k), F.lit(0), lambda n, x: n + F.length(x)) + (k - 1) * len(word))
+        def in_line(cut, line):
+            def later(found, at):
+                before = stretch(cut, line["start"] + at["start"] - NEAR, line["start"] + at["end"])
+                snippet = F.concat(before, line["value"])
+                return F.when(found.isNull(), let(snippet, lambda s: F.coalesce(first_date(s, COMPACT), first_date(s, DOTTED)))).otherwise(found)
 
-        def snippet(at):
-            before = F.substr(text, F.greatest(F.lit(1), at - 29), F.least(at, F.lit(30)) + len(word))
-            head = F.element_at(F.split(F.substr(text, F.lit(1), at), "\n"), -1)
-            tail = F.get(F.split(F.substr(text, at + 1), "\n"), 0)
-            return F.concat(before, head, tail)
+            return F.aggregate(located(line["value"], word), F.lit(None).cast("string"), later)
 
-        def date(s):
-            return F.coalesce(first_date(s, COMPACT), first_date(s, DOTTED))
+        def of_lines(x):
+            return F.aggregate(x["lines"], F.lit(None).cast("string"), lambda found, line: F.when(found.isNull(), in_line(x["cut"], line)).otherwise(found))
 
-        found = F.transform(starts, lambda at: let(snippet(at), date))
-        return F.when(F.size(parts) > 1, F.get(F.array_compact(found), 0))
+        return let(F.struct(pieces(text).alias("cut"), located(text, rf"[^\n]*{word}[^\n]*").alias("lines")), of_lines)
 
     return F.coalesce(*[F.when(F.contains(text, F.lit(w)), of_word(w)) for w in fixed.FILED_KEYWORDS])
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from dossia.functions import fixed
 from dossia.functions.dates import filing_date
 from dossia.functions.scalars import any_word, first_of
-from dossia.functions.text import nfkc
+from dossia.functions.text import let, nfkc
 from dossia.operators.pages import PAGE, filled, page_range
 
 FIELDS = [*fixed.TEXT_FIELDS, *fixed.FLOAT_FIELDS, *fixed.INT_FIELDS, "raw_page", "report_filing_date", "actual_parking_detail"]
@@ -22,24 +22,35 @@ def n_words(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in words])
 
 
+def candidate(text: Column, read: Column, page_num: Column) -> Column:
+    """How a page ranks as the review table's, with its text: `struct<rank, page_num, text>`; null if it can't be.
+
+    First a page with the title and two markers in its own text, then an image page with title and one marker in what was read
+    of it, then the image page with most of the robust markers (four at least; the first on a tie).
+    """
+    own = F.coalesce(text, F.lit(""))
+
+    def ranked(read):
+        title = lambda c: any_word(c, fixed.TABLE_TITLES)
+        image = filled(own).isNull()
+        score = n_words(read, fixed.ROBUST_MARKERS)
+        rank = first_of([
+            (title(own) & (n_words(own, fixed.TABLE_MARKERS) >= 2), F.struct(F.lit(0).alias("k"), F.lit(0).alias("s"))),
+            (image & title(read) & (n_words(read, fixed.TABLE_MARKERS) >= 1), F.struct(F.lit(1).alias("k"), F.lit(0).alias("s"))),
+            (image & (score >= fixed.ROBUST_LEAST), F.struct(F.lit(2).alias("k"), (-score).alias("s"))),
+        ])
+        return F.when(rank.isNotNull(), F.struct(rank.alias("rank"), page_num.alias("page_num"), F.when(image, read).otherwise(own).alias("text")))
+
+    return F.when(page_num.between(1, fixed.TABLE_PAGES), let(nfkc(F.coalesce(read, F.lit(""))), ranked))
+
+
 def table_page(pages: DataFrame) -> DataFrame:
     """The page of each document's review table and its text: `doc_id, page_num, text`.
 
-    pages: doc_id, page_num, text, and read (what OCR or vision read of an image page, null elsewhere). First a page with
-    the title and two markers in its own text, then an image page with title and one marker, then the image page with most
-    of the robust markers (four at least; the first on a tie).
+    pages: doc_id, page_num, text, and read (what OCR or vision read of an image page, null elsewhere); see `candidate`.
     """
-    own, read = F.coalesce("text", F.lit("")), nfkc(F.coalesce("read", F.lit("")))
-    title = lambda c: any_word(c, fixed.TABLE_TITLES)
-    image = filled(own).isNull()
-    score = n_words(read, fixed.ROBUST_MARKERS)
-    rank = first_of([
-        (title(own) & (n_words(own, fixed.TABLE_MARKERS) >= 2), F.struct(F.lit(0).alias("k"), F.lit(0).alias("s"))),
-        (image & title(read) & (n_words(read, fixed.TABLE_MARKERS) >= 1), F.struct(F.lit(1).alias("k"), F.lit(0).alias("s"))),
-        (image & (score >= fixed.ROBUST_LEAST), F.struct(F.lit(2).alias("k"), (-score).alias("s"))),
-    ])
-    rows = page_range(pages, 1, fixed.TABLE_PAGES).select(*PAGE, F.when(image, read).otherwise(own).alias("text"), rank.alias("rank")).where("rank is not null")
-    best = rows.groupBy("doc_id").agg(F.min_by(F.struct("page_num", "text"), F.struct("rank", "page_num")).alias("x"))
+    rows = page_range(pages, 1, fixed.TABLE_PAGES).select("doc_id", candidate(F.col("text"), F.col("read"), F.col("page_num")).alias("x")).where("x is not null")
+    best = rows.groupBy("doc_id").agg(F.min("x").alias("x"))
     return best.select("doc_id", "x.page_num", "x.text")
 
 
@@ -66,14 +77,14 @@ def checked_type(text: Column) -> Column:
     return F.coalesce(*[near(c) for c in fixed.CHECKED_TYPES])
 
 
-def parsed(found: DataFrame) -> DataFrame:
-    """The fields of the review table in its page's text: one row a document, what isn't found is null."""
+def parsed(found: DataFrame, *more: str) -> DataFrame:
+    """The fields of the review table in its page's text (page_num, text): one row a document, what isn't found is null; with `more` columns."""
     t = F.col("text")
     name = group(t, r"(?U)(?:計畫名稱|案\s*名)[：:\s]*([^\n\r]{10,120})")
     number = r"[^\d\n]*(\d[\d,，.]+)"
     first = lambda *patterns: F.coalesce(*[digits(group(t, p)) for p in patterns])
     return found.select(
-        "doc_id", F.trim(F.regexp_replace(name, r"(?U)(?:\s*[（(]請勾選[）)]|\s*□).*$", "")).alias("case_name"),
+        "doc_id", *more, F.trim(F.regexp_replace(name, r"(?U)(?:\s*[（(]請勾選[）)]|\s*□).*$", "")).alias("case_name"),
         group(t, r"(?U)實施者[：:\s]*([^\n\r\t　]{4,40}(?:股份有限公司|有限公司|更新會|協會|開發))").alias("implementer"),
         group(t, r"(?U)統一編號[：:\s]*(\d{8})").alias("implementer_id"), checked_type(t).alias("submission_type"),
         group(t, r"(?U)填表日期[：:\s]*(?:中華民國\s*)?(\d+\s*年\s*\d+\s*月\s*\d+\s*日)").alias("fill_date"), F.lit(None).cast("double").alias("land_area"),
