@@ -177,26 +177,6 @@ def stitched(texts: Column) -> Column:
     return F.when(F.size(texts) > 0, F.aggregate(F.slice(texts, F.lit(2), F.greatest(F.size(texts) - 1, F.lit(0))), start, add)["value"])
 
 
-def right_texts(boxes: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
-    """The labels with `texts`: what is on the label's row to the right, nearest first.
-
-    A row is met by equal document, page and cell of the vertical centre; labels reach into the cells that their row's
-    tolerance can touch, so that no page is joined with itself whole.
-    """
-    cell = 64.0
-    here = labels.select(*by, F.col("seq").alias("l_seq"), F.col("x1").alias("l_x1"), F.col("yc").alias("l_yc"), F.col("h").alias("l_h"))
-    # the tolerance is 0.6 of the larger height: the tallest box of the page bounds it
-    tall = boxes.groupBy(*by).agg(F.max("h").alias("tall"))
-    reach = F.col("tall") * 0.6
-    here = here.join(tall, by).withColumn("cell", F.explode(F.sequence(F.floor((F.col("l_yc") - reach) / cell), F.floor((F.col("l_yc") + reach) / cell))))
-    there = boxes.select(*by, "seq", "text", "x0", "yc", "h", F.floor(F.col("yc") / cell).alias("cell"))
-    near = (F.abs(F.col("yc") - F.col("l_yc")) <= 0.6 * F.greatest("h", "l_h")) & (F.col("x0") - F.col("l_x1") >= -F.col("l_h")) & (F.col("seq") != F.col("l_seq"))
-    met = here.join(there, [*by, "cell"]).where(near)
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("x0", "seq", "text"))), lambda x: x["text"])
-    got = met.groupBy(*by, F.col("l_seq").alias("seq")).agg(texts.alias("texts"))
-    return labels.join(got, [*by, "seq"], "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
-
-
 def checked_code(text: Column) -> Column:
     """The first submission type with a filled mark within five characters before one of its words."""
     return F.coalesce(*[F.when(text.rlike("|".join(f"[{fixed.FILLED_MARKS}].{{0,4}}{w}" for w in words)), F.lit(code)) for code, words in fixed.TYPE_WORDS])
@@ -208,31 +188,62 @@ def named_code(text: Column) -> Column:
     return F.when(F.size(found) == 1, F.get(found, 0))
 
 
+#: Fields of labels whose value is a number, in the order of labels, and a bit for each.
+NUMERIC = [(words, field, excludes) for words, field, excludes in fixed.LABELS if field in (*fixed.FLOAT_FIELDS, *fixed.INT_FIELDS)]
+PARTS = {"平面": 1, "機械": 2}
+
+
+def label_bits(text: Column) -> Column:
+    """The numeric fields whose label a text has, as bits: a number is cheaper to work out and to move than names."""
+    return reduce(lambda a, b: a + b, [F.when(label_matches(text, w, x), 1 << i).otherwise(0) for i, (w, _, x) in enumerate(NUMERIC)])
+
+
 def from_detections(boxes: DataFrame, by: list[str] = PAGE) -> DataFrame:
     """Fields of recognised texts with places (by, seq, text, x0, x1, yc, h): the nearest number right of a label on its row.
 
     Texts without a place are left out. Only numbers that can be read claim a field; a label without neighbour takes the number
     at its own end. Actual parking is the sum of its four parts where both main ones are there.
+
+    What a text is a label of is told before the boxes are grouped by page, once; each label then looks along its row among the boxes
+    of its page, which are as many as a page has.
     """
-    placed = boxes.where("x0 is not null and x1 is not null and yc is not null").withColumn("h", F.coalesce("h", F.lit(0.0)))
     text = F.trim("text")
-    numeric = [*fixed.FLOAT_FIELDS, *fixed.INT_FIELDS]
-    fields = F.filter(labelled(text), lambda f: f.isin(*numeric))
-    part = F.when(F.contains(text, F.lit("平面")), 1).otherwise(0) + F.when(F.contains(text, F.lit("機械")), 2).otherwise(0)
-    labels = placed.withColumn("fields", fields).withColumn("part", part).withColumn("is_type", F.contains("text", F.lit("送審類別")))
-    labels = labels.where((F.size("fields") > 0) | (F.col("part") > 0) | F.col("is_type"))
-    met = right_texts(placed, labels, by)
-    met = met.withColumn("near", stitched(F.col("texts"))).withColumn("joined", F.array_join("texts", ""))
-    value = F.coalesce("near", F.nullif(F.regexp_extract("text", r"([0-9][0-9,.]*)\s*$", 1), F.lit("")))
-    places = leading_int(F.col("near"))
-    met = met.withColumn("value", value).withColumn("places", F.when(places.between(0, fixed.PARKING_MOST), places))
-    # all of a page in one pass: claims, the parts of parking and the type
-    claim = F.when((F.size("fields") > 0) & leading_number(F.col("value")).isNotNull(), F.struct("seq", "fields", "value"))
-    of_part = lambda k: F.min_by("places", F.when((F.col("part").bitwiseAND(k) > 0) & F.col("places").isNotNull(), F.col("seq")))
-    one_type = F.min_by("joined", F.when(F.col("is_type"), F.col("seq")))
-    grouped = met.groupBy(*by).agg(F.array_sort(F.collect_list(claim)).alias("listed"), of_part(1).alias("surface"), of_part(2).alias("mech"), one_type.alias("said"))
-    anchor = placed.groupBy(*by).agg(F.bool_or(F.contains("text", F.lit("實設"))).alias("anchor"))
-    rows = grouped.withColumn("fields", claimed(F.col("listed"))).join(anchor, by)
+    part = reduce(lambda a, b: a + b, [F.when(F.contains(text, F.lit(w)), bit).otherwise(0) for w, bit in PARTS.items()])
+    has = lambda w: F.contains("text", F.lit(w))
+    own = [F.col("seq"), F.col("yc"), F.col("x0"), F.col("x1"), F.coalesce("h", F.lit(0.0)).alias("h"), F.col("text"), label_bits(text).alias("bits"), part.alias("part"), has("送審類別").alias("is_type"), has("實設").alias("anchor")]
+    pages = boxes.where("x0 is not null and x1 is not null and yc is not null").select(*by, F.struct(*own).alias("b")).groupBy(*by).agg(F.collect_list("b").alias("boxes"))
+    is_label = lambda b: (b["bits"] > 0) | (b["part"] > 0) | b["is_type"]
+
+    def along(label):
+        """What is on the label's row to its right, nearest first."""
+        near = lambda b: (F.abs(b["yc"] - label["yc"]) <= 0.6 * F.greatest(b["h"], label["h"])) & (b["x0"] - label["x1"] >= -label["h"]) & (b["seq"] != label["seq"])
+        found = F.array_sort(F.transform(F.filter("boxes", near), lambda b: F.struct(b["x0"].alias("x0"), b["seq"].alias("seq"), b["text"].alias("text"))))
+        return F.transform(found, lambda b: b["text"])
+
+    def met(label):
+        def read(texts):
+            def valued(near):
+                value = F.coalesce(near, F.nullif(F.regexp_extract(label["text"], r"([0-9][0-9,.]*)\s*$", 1), F.lit("")))
+                places = leading_int(near)
+                return F.struct(
+                    label["seq"].alias("seq"), label["bits"].alias("bits"), label["part"].alias("part"), label["is_type"].alias("is_type"), value.alias("value"),
+                    F.when(places.between(0, fixed.PARKING_MOST), places).alias("places"), F.when(label["is_type"], F.array_join(texts, "")).alias("joined"),
+                )
+
+            return let(stitched(texts), valued)
+
+        return let(along(label), read)
+
+    rows = pages.where(F.exists("boxes", is_label)).withColumn("met", F.array_sort(F.transform(F.filter("boxes", is_label), met)))
+    names = F.array(*[F.struct(F.lit(1 << i).alias("bit"), F.lit(f).alias("field")) for i, (_, f, _) in enumerate(NUMERIC)])
+    fields = lambda bits: F.transform(F.filter(names, lambda n: n["bit"].bitwiseAND(bits) > 0), lambda n: n["field"])
+    claims = F.filter("met", lambda m: (m["bits"] > 0) & leading_number(m["value"]).isNotNull())
+    listed = F.transform(claims, lambda m: F.struct(fields(m["bits"]).alias("fields"), m["value"].alias("value")))
+    first = lambda name, test: F.get(F.filter("met", test), 0)[name].alias(name)
+    of_part = lambda k: first("places", lambda m: (m["part"].bitwiseAND(k) > 0) & m["places"].isNotNull())
+    rows = rows.select(
+        *by, claimed(listed).alias("fields"), of_part(1).alias("surface"), of_part(2).alias("mech"), first("joined", lambda m: m["is_type"]).alias("said"), F.exists("boxes", lambda b: b["anchor"]).alias("anchor"),
+    )
     out = typed(rows, by, "fields", ["surface", "mech", "said", "anchor"])
     both = F.col("anchor") & F.col("surface").isNotNull() & F.col("mech").isNotNull()
     acc = F.coalesce("accessible_parking", F.lit(0))
