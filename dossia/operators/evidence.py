@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dossia.functions import fixed
 from dossia.functions.text import fixed_point
+from dossia.operators import compare
 
 LLM = "array<struct<rule_id:string,error_type:string,severity:string,detected_text:string,suggested_text:string,reason:string,page_number:string>>"
 
@@ -26,15 +27,15 @@ def parsed_findings(answers: DataFrame, by: list[str], column: str = "answer") -
 
 
 def verified_findings(findings: DataFrame, verdicts: DataFrame | None, key: list[str]) -> DataFrame:
-    """Critical findings that a second model refuted go; those without a verdict, or where it failed, stay. By page, others first.
+    """Critical findings that a second model refuted go; those without a verdict, or where it failed, stay.
 
-    verdicts: key, confirmed (null: the call failed).
+    verdicts: key, confirmed (null: the call failed). Rows of a key stand together, by page, critical ones last; keys have no order.
     """
     if verdicts is not None:
         said = verdicts.select(*key, F.col("confirmed").alias("confirmed_"))
         refuted = (F.col("severity") == "critical") & ~F.coalesce("confirmed_", F.lit(True))
         findings = findings.join(said, key, "left").where(~refuted).drop("confirmed_")
-    return findings.orderBy("page_number", F.col("severity") == "critical", "seq")
+    return findings.repartition(*key).sortWithinPartitions(*key, "page_number", F.col("severity") == "critical", "seq")
 
 
 def grounded_evidence(findings: DataFrame, citations: DataFrame | None, key: list[str]) -> DataFrame:
@@ -52,6 +53,11 @@ def grounded_evidence(findings: DataFrame, citations: DataFrame | None, key: lis
     return out.drop("api_text")
 
 
+def evidence_of(findings: DataFrame, pages: DataFrame, citations: DataFrame | None, key: list[str], quote: str = "quote") -> DataFrame:
+    """Findings with their evidence: each quote is looked for in its own document's pages, and what isn't found may be cited (see grounded_evidence)."""
+    return grounded_evidence(compare.quote_places(findings, pages, key, quote).withColumnRenamed(quote, "quote"), citations, key)
+
+
 def extracted(answers: DataFrame, by: list[str], column: str = "answer") -> DataFrame:
     """Fields of a model's JSON answer: bonus items (those without name or rate go), shares, dates, name and area; what doesn't parse is null."""
     item = "array<struct<name:string,rate_pct:string,legal_basis:string>>"

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dossia.functions.text import let, running
+
 
 def timing(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Mean, median, nearest-rank 95th percentile, extremes and sample deviation (0 for one value).
@@ -64,37 +66,51 @@ def lines_with_previous(pages: DataFrame, key: str, text: str) -> DataFrame:
     return pages.select(key, F.posexplode(pair).alias("line_no", "x")).select(key, "line_no", "x.line", "x.previous")
 
 
+HEADING = r"^(#{1,3})\s+(.+)$"
+
+
 def chunks(pages: DataFrame, key: str, text: str) -> DataFrame:
     """Heading-led chunks: `key, chunk_no, section_title, parent_title, text, char_count`, without those that are blank.
 
     A line of one to three `#` begins one; what is before the first has the title ''. The parent is the nearest shallower heading
-    that still holds: the last one of each smaller level since a shallower one. One walk over a text's lines keeps the last title of
-    each level, so work is in proportion to the text.
+    that still holds: the last one of each smaller level since a shallower one. Chunks are spans of lines, cut out before they become
+    rows, so that no row carries more than its own; what holds at a heading is a running combination of the headings before it.
     """
-    line = "struct<title:string,parent:string,text:string>"
     lines = F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+"), 0)
-    empty = F.struct(F.lit(None).cast("string").alias("one"), F.lit(None).cast("string").alias("two"), F.array(F.struct(F.lit("").alias("title"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("text"))).cast(f"array<{line}>").alias("done"))
-
-    def walk(a, x):
-        bare = F.regexp_replace(x, r"\r?\n$", "")
-        level, title = F.length(F.regexp_extract(bare, r"^(#{1,3})\s+(.+)$", 1)), F.trim(F.regexp_extract(bare, r"^(#{1,3})\s+(.+)$", 2))
-        parent = F.when(level == 2, a["one"]).when(level == 3, F.coalesce(a["two"], a["one"]))
-        one = F.when(level == 1, title).otherwise(a["one"])
-        two = F.when(level == 1, F.lit(None).cast("string")).when(level == 2, title).otherwise(a["two"])
-        new = F.array(F.struct(title.alias("title"), parent.alias("parent"), x.alias("text"))).cast(f"array<{line}>")
-        return F.when(level > 0, F.struct(one.alias("one"), two.alias("two"), F.concat(a["done"], new).alias("done"))).otherwise(a)
-
-    # headings alone are walked; the text of a chunk is cut out between them
-    marked = F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("x")))
-    heads = F.filter(marked, lambda m: F.regexp_replace(m["x"], r"\r?\n$", "").rlike(r"^#{1,3}\s+.+$"))
-    rows = pages.select(key, lines.alias("lines"), heads.alias("heads"))
-    rows = rows.select(key, "lines", "heads", F.aggregate(F.transform("heads", lambda h: h["x"]), empty, walk)["done"].alias("done"))
-    starts = F.concat(F.array(F.lit(0)), F.transform("heads", lambda h: h["at"]))
-    parts = rows.select(key, "lines", starts.alias("starts"), F.posexplode("done").alias("chunk_no", "c"))
-    end = F.coalesce(F.get("starts", F.col("chunk_no") + 1), F.size("lines"))
-    body = F.array_join(F.slice("lines", F.get("starts", F.col("chunk_no")) + 1, end - F.get("starts", F.col("chunk_no"))), "")
-    body = F.regexp_replace(body, r"(?U)^\s+|\s+$", "")
-    return parts.select(key, "chunk_no", F.col("c.title").alias("section_title"), F.col("c.parent").alias("parent_title"), body.alias("text"), F.length(body).alias("char_count")).where("text <> ''")
+    none = F.lit(None).cast("string")
+
+    def head(x, i):
+        return let(F.regexp_replace(x, r"\r?\n$", ""), lambda bare: F.when(bare.rlike(HEADING), F.struct(i.alias("at"), F.length(F.regexp_extract(bare, HEADING, 1)).alias("level"), F.trim(F.regexp_extract(bare, HEADING, 2)).alias("title"))))
+
+    def state(h):
+        return F.struct(F.when(h["level"] == 1, h["title"]).alias("one"), F.when(h["level"] == 2, h["title"]).alias("two"))
+
+    def after(a, b):
+        # a heading of the first level ends what held of the second
+        return F.struct(F.coalesce(b["one"], a["one"]).alias("one"), F.when(b["one"].isNotNull(), b["two"]).otherwise(F.coalesce(b["two"], a["two"])).alias("two"))
+
+    def cut(x):
+        def chunk(title, parent, start, end):
+            body = F.regexp_replace(F.array_join(F.slice(x["lines"], start + 1, end - start), ""), r"(?U)^\s+|\s+$", "")
+            return F.struct(title.alias("section_title"), parent.alias("parent_title"), body.alias("text"))
+
+        def end(i):
+            return F.coalesce(F.get(x["heads"], i)["at"], F.size(x["lines"]))
+
+        def led(holding):
+            def of(h, i):
+                before = F.get(holding, i - 1)
+                parent = F.when(i > 0, F.when(h["level"] == 2, before["one"]).when(h["level"] == 3, F.coalesce(before["two"], before["one"])))
+                return chunk(h["title"], parent, h["at"], end(i + 1))
+
+            return F.transform(x["heads"], of)
+
+        return F.concat(F.array(chunk(F.lit(""), none, F.lit(0), end(F.lit(0)))), let(running(F.transform(x["heads"], state), after), led))
+
+    heads = lambda all_: F.filter(F.transform(all_, head), lambda h: h.isNotNull())
+    spans = let(lines, lambda all_: let(F.struct(all_.alias("lines"), heads(all_).alias("heads")), cut))
+    out = pages.select(key, F.posexplode(spans).alias("chunk_no", "c")).select(key, "chunk_no", "c.*")
+    return out.withColumn("char_count", F.length("text")).where("text <> ''")
 
 
 def label_counts(rows: DataFrame, predicted: str = "predicted", expected: str = "expected") -> DataFrame:

@@ -248,6 +248,22 @@ def evidence_grounding(spark, folder):
     return out.select("id", "evidence_source", "verified", "cited_text", F.array_join(listed, "|").alias("factors"))
 
 
+#: Quotes of documents: with blanks put in, from elsewhere, too short, and none.
+QUOTES = """select doc_id, cast(b.seq as int) as seq, case b.seq when 0 then concat(' ', substr(text, cast(1 + doc_id % 40 as int), 25), chr(10)) when 1 then concat('nowhere', cast(doc_id as string)) when 2 then substr(text, 1, 2) when 3 then replace(substr(text, 1, 60), ' ', '  ') end as quote,
+  case when b.seq % 2 = 0 then 'warning' else 'critical' end as severity from documents, (values (0), (1), (2), (3), (4)) as b(seq)"""
+
+
+@query(rf"""with q as ({QUOTES}), f as (select q.*, q.quote is not null and length(regexp_replace(q.quote, '^\s+|\s+$', '', 'g')) >= 3 as asked, regexp_replace(q.quote, '\s+', '', 'g') as n, regexp_replace(d.text, '\s+', '', 'g') as p from q join documents d using (doc_id)),
+  g as (select *, asked and contains(p, n) as hit from f), e as (select *, severity = 'critical' and not hit and doc_id % 3 = 0 as api from g)
+  select doc_id, seq, hit as found, case when hit then instr(p, n) - 1 end::int as start, case when hit then instr(p, n) - 1 + length(n) end::int as "end", case when api then 'citations_api' else 'offline' end as evidence_source, hit or api as verified, md5(case when api then 'cited' else quote end) as cited_text from e""")
+def document_evidence(spark, folder):
+    d = table(spark, folder, "documents")
+    quotes = spark.sql(QUOTES.replace("from documents", "from {documents}"), documents=d)
+    cited = quotes.where("doc_id % 3 = 0").select("doc_id", "seq", F.lit("cited").alias("cited_text"))
+    out = evidence.evidence_of(quotes, d.select("doc_id", F.lit(1).alias("page_num"), "text"), cited, ["doc_id", "seq"])
+    return out.select("doc_id", "seq", "found", "start", "end", "evidence_source", "verified", F.md5("cited_text").alias("cited_text"))
+
+
 MODEL = """select o_orderkey as id, concat('{"bonus_items": [{"name": "a", "rate_pct": ', cast(o_orderkey % 30 as string), '}, {"name": "b", "rate_pct": "x"}, {"rate_pct": 3}], "bonus_total_pct": ', case when o_orderkey % 2 = 0 then 'null' else cast(o_orderkey % 50 as string) end, ', "consent_ratio": {"owner_count_pct": ', cast(o_orderkey % 100 as string), '}, "dates": {"application_date": "', case when o_orderkey % 3 = 0 then ' ' else ' 112 ' end, '"}}') as answer from orders"""
 
 

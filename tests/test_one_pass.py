@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dossia.functions import dates
 from dossia.functions.text import located, pieces, running, stretch
-from dossia.operators import audit, rules, scans
+from dossia.operators import audit, compare, rules, scans, summaries
 from dossia.plans import documents, registry
 
 SF = "/root/testdata/sf0.001"
@@ -109,3 +109,43 @@ def test_running_and_stretch(spark):
     found = spark.createDataFrame([("aXbXX",)], "t string").select(located(F.col("t"), "X").alias("m")).first().m
     assert [(m.start, m.end) for m in found] == [(1, 2), (3, 4), (4, 5)]
     assert documents.pages(spark, SF).count() > 0
+
+
+def chunked_plainly(text):
+    out, one, two = [["", None, ""]], None, None
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+        m = re.match(r"^(#{1,3})\s+(.+)$", re.sub(r"\r?\n$", "", line))
+        if m:
+            level, title = len(m[1]), m[2].strip()
+            out.append([title, {1: None, 2: one, 3: two or one}[level], ""])
+            one, two = (title, None) if level == 1 else (one, title) if level == 2 else (one, two)
+        out[-1][2] += line
+    return [(k, t, p, s.strip(), len(s.strip())) for k, (t, p, s) in enumerate(out) if s.strip()]
+
+
+def test_chunks(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["# A\n", "## B\n", "### C\n", "#### no\n", "#no\n", "text\n", "\n", "  x", "## D\r\n", "# 漢 \n"]) for _ in range(rng.randint(0, 25))) for _ in range(150)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, t string")
+    got = {}
+    for r in summaries.chunks(rows, "id", "t").collect():
+        got.setdefault(r.id, []).append(tuple(r)[1:])
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, t in enumerate(texts) if (v := chunked_plainly(t))}
+
+
+def test_chunks_carry_only_their_own_lines(spark):
+    text = "".join(f"# H{k}\nbody {k}\n" for k in range(8000))
+    began = time.perf_counter()
+    out = summaries.chunks(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t").agg(F.count(F.lit(1)).alias("n"), F.sum("char_count").alias("c")).first()
+    assert out.n == 8000 and out.c == len(text) - 8000 and time.perf_counter() - began < 60
+
+
+def test_quote_places(spark):
+    pages = [(1, 1, "目錄 本案 計畫書"), (1, 2, "ＡＢＣ　def\n計畫書 第二"), (2, 1, "別的"), (3, 1, None), (2, 2, "計畫書")]
+    quotes = [(1, 0, "計 畫書"), (1, 1, "ABCdef計"), (1, 2, "沒有這句"), (1, 3, "AB"), (1, 4, None), (2, 0, "本案計"), (2, 1, "計畫書"), (3, 0, "計畫書"), (9, 0, "計畫書"), (None, 0, "計畫書"), (1, None, "第二 "), (1, 6, "C d")]
+    df = spark.createDataFrame(quotes, "doc_id int, seq int, quote string")
+    got = {(r.doc_id, r.seq): (r.found, r.page_num, r.start, r.end) for r in compare.quote_places(df, spark.createDataFrame(pages, "doc_id int, page_num int, text string"), ["doc_id", "seq"]).collect()}
+    no = (False, None, None, None)
+    assert got == {
+        (1, 0): (True, 1, 4, 7), (1, 1): (True, 2, 0, 7), (1, 2): no, (1, 3): no, (1, 4): no, (2, 0): no, (2, 1): (True, 2, 0, 3), (3, 0): no, (9, 0): no, (None, 0): no, (1, None): no, (1, 6): (True, 2, 2, 4),
+    }
