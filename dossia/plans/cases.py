@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dossia.operators import evidence, history, pages, report, review_table, summaries, templates
 from dossia.plans import book
 from dossia.plans.book import query, rows
+from dossia.sources import run_store as store
+from dossia.sources import shared
 from dossia.sources.tables import table
 
 #: Recognised texts of a review table with their places; the tenth has none.
@@ -330,3 +334,20 @@ MARKDOWN = """select o_orderkey as id, concat(case when o_orderkey % 2 = 0 then
   select id, section_title, parent_title, text, length(text)::int as char_count from c""")
 def chunks(spark, folder):
     return summaries.chunks(rows(spark, folder, MARKDOWN), "id", "text").drop("chunk_no")
+
+
+@query(f"""with r as ({book.RUNS}), k as (select *, count(*) over (partition by case_name) as n from r where not (case_name ilike '%e2e_test%' or case_name ilike '%api_test%')), c as (select * from k qualify row_number() over (partition by case_name order by id desc) = 1)
+  select case_name, (n + case when id % 2 = 0 then 1 else 0 end)::bigint as n_runs, (n + case when id % 2 = 0 then 1 else 0 end)::bigint as n_ids, case when id % 2 = 0 then 77 else critical_count end::int as critical_count, case when id % 2 = 0 then 'D' else submission_type end as submission_type, id % 2 = 0 as later from c""")
+def run_store(spark, folder):
+    """A history that is saved, added to, changed in place and read again."""
+    path = f"{shared.folder(spark)}/run-store-{uuid.uuid4().hex}"
+    runs = rows(spark, folder, book.RUNS)
+    store.save(runs, path)
+    store.clear_tests(spark, path)
+    again = store.read(spark, path)
+    newer = again.groupBy("case_name").agg(F.max("id").alias("last")).where("last % 2 = 0").select("case_name")
+    most = again.agg(F.max("id")).first()[0]
+    store.save(newer.withColumn("submission_type", F.lit("A-1")), path)
+    store.update(newer.select("case_name", F.lit("D").alias("submission_type"), F.lit(1.5).alias("bonus_pct"), *[F.lit(77).alias(c) for c in history.METRICS[2:]]), path)
+    out = store.read(spark, path).groupBy("case_name").agg(F.count(F.lit(1)).alias("n_runs"), F.countDistinct("id").alias("n_ids"), F.max_by("critical_count", "id").alias("critical_count"), F.max_by("submission_type", "id").alias("submission_type"), F.max("id").alias("id"))
+    return out.select("case_name", "n_runs", "n_ids", "critical_count", "submission_type", (F.col("id") > most).alias("later"))
