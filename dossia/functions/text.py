@@ -2,76 +2,18 @@
 
 from __future__ import annotations
 
-import unicodedata
-from functools import cache
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@cache
-def compatible() -> tuple[str, str, dict[str, str]]:
-    """Characters of the basic plane that NFKC turns into one other, those others, and what it turns into several."""
-    before, after, several = [], [], {}
-    for code in range(0x80, 0xFFFE):
-        c = chr(code)
-        if 0xD800 <= code < 0xE000 or (n := unicodedata.normalize("NFKC", c)) == c:
-            continue
-        if len(n) == 1:
-            before.append(c)
-            after.append(n)
-        else:
-            several[c] = n
-    return "".join(before), "".join(after), several
-
-
-@cache
-def pairs() -> dict[str, str]:
-    """Pairs of a character and a mark that NFKC composes."""
-    out = {}
-    for code in range(0x80, 0xFFFE):
-        c = chr(code)
-        if not 0xD800 <= code < 0xE000 and len(d := unicodedata.normalize("NFD", c)) == 2 and unicodedata.normalize("NFC", d) == c and not 0xAC00 <= code < 0xD7A4:
-            out[d] = c
-    return out
-
-
-@cache
-def class_of(characters: str, gap: int = 48) -> str:
-    """A class of few ranges that holds the characters, and some between them: a long list of ranges would be slow to match."""
-    codes = sorted(map(ord, set(characters)))
-    ranges = [[codes[0], codes[0]]]
-    for c in codes[1:]:
-        if c - ranges[-1][1] <= gap and not (ranges[-1][1] < 0x4E00 <= c):
-            ranges[-1][1] = c
-        else:
-            ranges.append([c, c])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
-
-
-def replaced(c: Column, pattern: str, table: dict[str, str]) -> Column:
-    """Each match of `pattern`, of which there are few kinds in a text, by its entry in `table` if it has one."""
-    # one literal text instead of a node of the plan for each entry
-    known = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in table.items())), F.lit("\x01"), F.lit("\x02"))
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), 0))
-    each = F.transform(found, lambda x: F.struct(x.alias("x"), F.element_at(known, x).alias("y")))
-    return F.aggregate(F.filter(each, lambda e: e["y"].isNotNull()), c, lambda done, e: F.replace(done, e["x"], e["y"]))
-
-
 def nfkc(c: Column) -> Column:
-    """Compatibility composition of the basic plane, in built-in functions.
+    """NFKC of a text, by the Unicode library that Spark itself brings for its collations; texts in ASCII pass as they are.
 
-    Texts in ASCII pass as they are. Marks are composed in pairs: a letter with several marks, and Hangul written in
-    single jamo, keep the marks that come after the first.
+    The call counts as nondeterministic, so Catalyst works it out once in a column of its own and never inside an aggregate: normalise in a
+    select before grouping.
     """
-    one, to, several = compatible()
-    marked = pairs()
-    marks = class_of("".join(p[1] for p in marked))
-    # each step only where a text has what it replaces
-    spread = lambda t: F.when(t.rlike(class_of("".join(several))), replaced(t, class_of("".join(several)), several)).otherwise(t)
-    joined = lambda t: F.when(t.rlike(marks), replaced(t, rf"[^\x00-\x1f]{marks}", marked)).otherwise(t)
-    done = let(F.translate(c, one, to), lambda t: let(spread(t), joined))
-    return F.when(c.rlike(r"[^\x00-\x7f]"), done).otherwise(c)
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(True))
+    return F.when(c.rlike(r"[^\x00-\x7f]"), composed).otherwise(c)
 
 
 def let(value: Column, use) -> Column:
@@ -81,7 +23,7 @@ def let(value: Column, use) -> Column:
 
 def running(numbers: Column, combine=lambda a, b: a + b, longest: int = 1 << 30) -> Column:
     """What an array adds up to at each of its places (or another associative `combine`), in as many passes as its length has binary digits."""
-    steps = F.array(*[F.lit(1 << k) for k in range(longest.bit_length() - 1)])
+    steps = F.expr(f"array({', '.join(str(1 << k) for k in range(longest.bit_length() - 1))})")
 
     def scanned(a):
         def doubled(sums, step):

@@ -43,11 +43,17 @@ def number_consistency(expected: DataFrame, found: DataFrame, on: list[str], tol
     return expected.join(seen, on, "left").withColumn("status", F.when(F.col("value").isNull(), "skip").when(F.col("low").isNull(), "warn").when(off > tolerance, "fail").otherwise("pass"))
 
 
-def confidence(findings: DataFrame, failing: DataFrame) -> DataFrame:
-    """Findings (source, rule_id, severity, verified) with corroboration by failing rules of the same topic, score and review flag."""
-    topics = failing.select(topic(F.col("rule_id")).alias("t")).where("t <> 'other'").distinct()
-    rows = findings.withColumn("topic", topic(F.col("rule_id"))).join(topics, F.col("topic") == F.col("t"), "left")
-    rows = rows.withColumn("corroborated", F.col("t").isNotNull()).drop("t")
+def confidence(findings: DataFrame, failing: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Findings (source, rule_id, severity, verified) with corroboration by failing rules of the same topic, score and review flag.
+
+    by: the columns of both that tell whose findings they are; without, all are of one audit.
+    """
+    topics = failing.select(*[F.col(k).alias(f"t_{k}") for k in by], topic(F.col("rule_id")).alias("t")).where("t <> 'other'").distinct()
+    same = F.col("topic") == F.col("t")
+    for k in by:
+        same = same & (F.col(k) == F.col(f"t_{k}"))
+    rows = findings.withColumn("topic", topic(F.col("rule_id"))).join(topics, same, "left")
+    rows = rows.withColumn("corroborated", F.col("t").isNotNull()).drop("t", *[f"t_{k}" for k in by])
     base = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in fixed.CONFIDENCE_BASE.items() for x in kv]), F.col("source")), F.lit(fixed.CONFIDENCE_OTHER))
     moved = base + F.when(F.col("verified"), fixed.EVIDENCE_BOOST).when(F.col("source") == "llm", fixed.UNVERIFIED_LLM).otherwise(0.0) + F.when(F.col("corroborated"), fixed.CORROBORATED).otherwise(0.0)
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), moved))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,6 +128,44 @@ def cross_document(plans: DataFrame, exchanges: DataFrame, by: str = "case_id")
     return both.select(by, F.posexplode(F.array_compact(F.array(*hits))).alias("seq", "x")).select(by, "seq", "x.*")
 
 
+def ai_findings(failing: DataFrame, llm: DataFrame | None = None, fields: DataFrame | None = None, cross: DataFrame | None = None, pages: DataFrame | None = None, citations: DataFrame | None = None) -> DataFrame:
+    """The findings of all three sources as one table, with evidence, confidence and what made it up.
+
+    llm: doc_id, seq and what parsed_findings gives; with pages (doc_id, page_num, text) their quotes are looked for there, without they
+    count as unverified. fields: doc_id, seq and what field_findings gives. cross: doc_id, seq and what cross_document gives. failing: doc_id and
+    rule_id of the rules that failed; a finding is corroborated by those of its own document.
+
+    `doc_id, source, seq, rule_id, severity, field_name, detected_text, reason, page_number, evidence_text, evidence_source, verified, topic,
+    corroborated, confidence, needs_review, factors`.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def shaped(rows, source, field_name, text, reason, page, evidence=None, kind=None, verified=None):
+        return rows.select(
+            "doc_id", F.lit(source).alias("source"), F.col("seq").cast("int").alias("seq"), "rule_id", "severity", field_name.alias("field_name"), text.alias("detected_text"), reason.alias("reason"), page.cast("int").alias("page_number"),
+            (none("string") if evidence is None else evidence).alias("evidence_text"), (none("string") if kind is None else kind).alias("evidence_source"), (F.lit(False) if verified is None else verified).alias("verified"),
+        )
+
+    parts = []
+    if llm is not None:
+        found = llm.select("*", F.col("detected_text").alias("quote"))
+        if pages is None:
+            found = found.withColumns({"cited_text": none("string"), "evidence_source": none("string"), "verified": F.lit(False)})
+        else:
+            found = evidence_of(found, pages.select("doc_id", F.col("page_num"), "text"), citations, ["doc_id", "seq"])
+        parts.append(shaped(found, "llm", F.col("error_type"), F.col("detected_text"), F.col("reason"), F.col("page_number"), F.col("cited_text"), F.col("evidence_source"), F.col("verified")))
+    if fields is not None:
+        page = F.col("page_number") if "page_number" in fields.columns else F.lit(0)
+        parts.append(shaped(fields, "field", F.col("field_name"), F.col("actual_value"), F.col("reason"), page))
+    if cross is not None:
+        both = F.concat(F.lit("事業計畫書："), "business_plan_value", F.lit("／權利變換計畫書："), "rights_exchange_value")
+        parts.append(shaped(cross, "cross", F.col("field_name"), both, F.col("reason") if "reason" in cross.columns else none("string"), F.lit(0)))
+    if not parts:
+        raise ValueError("give the findings of one source at least")
+    out = compare.confidence(reduce(DataFrame.unionByName, parts), failing, ["doc_id"])
+    return out.withColumn("factors", factors(F.col("source"), F.col("verified"), F.col("corroborated"), F.col("confidence"), F.col("severity") == "critical"))
+
+
 def factors(source: Column, verified: Column, corroborated: Column, value: Column, critical: Column) -> Column:
     """What made up a confidence, as text, in order."""
     base = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in fixed.CONFIDENCE_BASE.items() for x in kv]), source), F.lit(fixed.CONFIDENCE_OTHER))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossia.functions import fixed
+from dossia.functions.convert import converted
 from dossia.functions.text import nfkc
 
 PAGE = ["doc_id", "page_num"]
@@ -115,16 +116,17 @@ def boxed(polygon: Column) -> Column:
     return F.when(ok, F.struct(F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), middle.alias("yc"), (F.array_max(ys) - F.array_min(ys)).alias("h")))
 
 
-def detections(predicted: DataFrame, least: float = fixed.DETECTION_LEAST) -> DataFrame:
+def detections(predicted: DataFrame, least: float = fixed.DETECTION_LEAST, script: dict[str, str] | None = None) -> DataFrame:
     """One row a recognised text, of at least some confidence: `doc_id, page_num, seq, text, conf, x0, x1, yc, h`.
 
     predicted: doc_id, page_num, texts array<string>, scores array<double>, polygons array<array<array<double>>>. A text without a
-    score counts as sure, one without a polygon has no place.
+    score counts as sure, one without a polygon has no place. script: a table by which characters and phrases are converted (see convert).
     """
     rows = predicted.select(*PAGE, "scores", "polygons", F.posexplode("texts").alias("seq", "text"))
     box = boxed(F.get("polygons", F.col("seq")))
     out = rows.withColumn("conf", F.coalesce(F.get("scores", F.col("seq")).cast("double"), F.lit(1.0))).withColumn("box", box).where(F.col("conf") >= least)
-    return out.select(*PAGE, "seq", "text", "conf", "box.x0", "box.x1", "box.yc", "box.h")
+    text = F.col("text") if script is None else converted(F.col("text"), script)
+    return out.select(*PAGE, "seq", text.alias("text"), "conf", "box.x0", "box.x1", "box.yc", "box.h")
 
 
 def shown_detections(found: DataFrame, most: int = fixed.DETECTIONS_SHOWN) -> DataFrame:

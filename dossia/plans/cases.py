@@ -53,10 +53,14 @@ def cell_fields(spark, folder):
     return review_table.from_cells(cells, ["doc_id"]).select("doc_id", "land_area", "legal_parking", "ev_parking", "implementer")
 
 
-@query(r"""with h as (select page_id, unnest(x) as item, generate_subscripts(x, 1) - 1 as row from (select page_id, regexp_extract_all(html, '(?s)<tr>(.*?)</tr>', 1) as x from pages)), c as (select page_id, row::int as row, regexp_extract_all(item, '(?s)<t[dh][^>]*>(.*?)</t[dh]>', 1) as x from h)
+#: Pages whose list items stand in table rows of two or three cells.
+ITEMS = "replace(replace(html, '<li>', '<tr><th>名</th><td class=\"v\">'), '</li>', concat('</td>', case when page_id % 2 = 0 then '<td> <b>x</b></td>' else '' end, '</tr>'))"
+
+
+@query(rf"""with h as (select page_id, unnest(x) as item, generate_subscripts(x, 1) - 1 as row from (select page_id, regexp_extract_all({ITEMS}, '(?s)<tr>(.*?)</tr>', 1) as x from pages)), c as (select page_id, row::int as row, regexp_extract_all(item, '(?s)<t[dh][^>]*>(.*?)</t[dh]>', 1) as x from h)
   select page_id, row, (generate_subscripts(x, 1) - 1)::int as col, trim(regexp_replace(unnest(x), '<[^>]+>', '', 'g')) as text from c""")
 def page_cells(spark, folder):
-    return pages.html_cells(table(spark, folder, "pages"), ["page_id"], "html")
+    return pages.html_cells(table(spark, folder, "pages").select("page_id", F.expr(ITEMS).alias("html")), ["page_id"], "html")
 
 
 FIELDS = ["land_area", "base_floor_area", "bonus_floor_area", "bonus_limit", "legal_parking", "actual_parking"]

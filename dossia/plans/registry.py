@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from dossia.functions import fixed
 from dossia.functions.scalars import accessible_required, normalize_date, roc_text
 from dossia.operators import compare, rules, scans, summaries
-from dossia.plans import audits, cases, documents  # noqa: F401  their queries are registered too
+from dossia.plans import audits, cases, documents, more  # noqa: F401  their queries are registered too
 from dossia.plans.book import ORACLE, QUERIES, query
 from dossia.sources.tables import table
 

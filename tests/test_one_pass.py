@@ -3,14 +3,15 @@
 import random
 import re
 import time
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from dossia.functions import dates
-from dossia.functions.text import located, pieces, running, stretch
-from dossia.operators import audit, compare, rules, scans, summaries
-from dossia.plans import documents, registry
+from dossia.functions import convert, dates
+from dossia.functions.text import located, nfkc, pieces, running, stretch
+from dossia.operators import audit, compare, evidence, pages, rules, scans, summaries
+from dossia.plans import documents, more, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -141,11 +142,59 @@ def test_chunks_carry_only_their_own_lines(spark):
 
 
 def test_quote_places(spark):
-    pages = [(1, 1, "目錄 本案 計畫書"), (1, 2, "ＡＢＣ　def\n計畫書 第二"), (2, 1, "別的"), (3, 1, None), (2, 2, "計畫書")]
+    text = [(1, 1, "目錄 本案 計畫書"), (1, 2, "ＡＢＣ　def\n計畫書 第二"), (2, 1, "別的"), (3, 1, None), (2, 2, "計畫書")]
     quotes = [(1, 0, "計 畫書"), (1, 1, "ABCdef計"), (1, 2, "沒有這句"), (1, 3, "AB"), (1, 4, None), (2, 0, "本案計"), (2, 1, "計畫書"), (3, 0, "計畫書"), (9, 0, "計畫書"), (None, 0, "計畫書"), (1, None, "第二 "), (1, 6, "C d")]
     df = spark.createDataFrame(quotes, "doc_id int, seq int, quote string")
-    got = {(r.doc_id, r.seq): (r.found, r.page_num, r.start, r.end) for r in compare.quote_places(df, spark.createDataFrame(pages, "doc_id int, page_num int, text string"), ["doc_id", "seq"]).collect()}
+    got = {(r.doc_id, r.seq): (r.found, r.page_num, r.start, r.end) for r in compare.quote_places(df, spark.createDataFrame(text, "doc_id int, page_num int, text string"), ["doc_id", "seq"]).collect()}
     no = (False, None, None, None)
     assert got == {
         (1, 0): (True, 1, 4, 7), (1, 1): (True, 2, 0, 7), (1, 2): no, (1, 3): no, (1, 4): no, (2, 0): no, (2, 1): (True, 2, 0, 3), (3, 0): no, (9, 0): no, (None, 0): no, (1, None): no, (1, 6): (True, 2, 2, 4),
     }
+
+
+def test_converted(spark):
+    """The longest phrase from left to right, against a walk; what is converted stays so."""
+    rng = random.Random(6)
+    table = {"a": "A", "ab": "X", "abc": "", "b": "BB", "cd": "Y", "漢": "汉", ".": "。", "d*": "Z"}
+
+    def walked(text):
+        out, k = "", 0
+        while k < len(text):
+            best = max((p for p in table if text.startswith(p, k)), key=len, default=None)
+            out, k = (out + text[k], k + 1) if best is None else (out + table[best], k + len(best))
+        return out
+
+    texts = ["", "abcabab", *("".join(rng.choice("abcd漢.*x\n") for _ in range(rng.randint(0, 30))) for _ in range(300))]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", convert.converted(F.col("t"), table).alias("c"), convert.converted(F.col("t"), {"a": "A"}).alias("one")).collect()
+    assert {r.k: r.c for r in rows} == {k: walked(t) for k, t in enumerate(texts)} and all(r.one == texts[r.k].replace("a", "A") for r in rows)
+    twice = spark.createDataFrame([("头发国内",), (None,)], "t string").select(convert.converted(convert.converted(F.col("t"), more.SIMPLE), more.SIMPLE).alias("c")).collect()
+    assert [r.c for r in twice] == ["頭髮國內", None]
+    box = [[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]]]
+    seen = spark.createDataFrame([(1, 1, ["类别"], [0.9], box)], "doc_id int, page_num int, texts array<string>, scores array<double>, polygons array<array<array<double>>>")
+    assert pages.detections(seen, script=more.SIMPLE).first().text == "類別" and pages.detections(seen).first().text == "类别"
+
+
+def test_nfkc_of_the_basic_plane(spark):
+    """Every assigned character alone, with marks that must be ordered and composed, and jamo, as unicodedata has them."""
+    known = [chr(c) for c in range(0x80, 0xFFFE) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    texts = known + [c + "̣́x" for c in known] + ["각", "Ǻ", "́", None, "", "ascii"]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", nfkc(F.col("t")).alias("n")).collect()
+    assert {r.k: r.n for r in got} == {k: None if t is None else unicodedata.normalize("NFKC", t) for k, t in enumerate(texts)}
+    assert len(plan_of(registry.QUERIES["normalised_values"](spark, SF))) < 50_000
+
+
+def test_ai_findings(spark):
+    """Three sources in one table: quotes looked for in their own document, corroboration by its own rules."""
+    llm = spark.createDataFrame([(1, 0, "R-FAR", "critical", "typo", "甲乙丙", "why", 3), (2, 0, "R-FAR", "warning", "typo", "甲乙丙", "why", 4)], "doc_id int, seq int, rule_id string, severity string, error_type string, detected_text string, reason string, page_number int")
+    fields = spark.createDataFrame([(1, 0, "LAW-CON-001", "critical", "f", "v", "r")], "doc_id int, seq int, rule_id string, severity string, field_name string, actual_value string, reason string")
+    cross = spark.createDataFrame([(2, 0, "CONS-AREA-001", "warning", "g", "1", "2")], "doc_id int, seq int, rule_id string, severity string, field_name string, business_plan_value string, rights_exchange_value string")
+    failing = spark.createDataFrame([(1, "CALC-001"), (2, "CONS-VAL-001")], "doc_id int, rule_id string")
+    text = spark.createDataFrame([(1, 1, "甲 乙 丙 丁"), (2, 1, "別的")], "doc_id int, page_num int, text string")
+    got = {(r.doc_id, r.source): r for r in evidence.ai_findings(failing, llm, fields, cross, text).collect()}
+    assert {k: (r.verified, r.corroborated, r.confidence, r.needs_review) for k, r in got.items()} == {
+        (1, "llm"): (True, True, 0.8, False), (2, "llm"): (False, False, 0.35, True), (1, "field"): (False, False, 0.75, True), (2, "cross"): (False, True, 0.9, False),
+    }
+    assert got[2, "cross"].detected_text == "事業計畫書：1／權利變換計畫書：2" and len(got[1, "llm"].factors) == 3 and got[1, "llm"].page_number == 3
+    assert [r.verified for r in evidence.ai_findings(failing, llm).collect()] == [False, False]
+    with pytest.raises(ValueError):
+        evidence.ai_findings(failing)
