@@ -218,6 +218,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a side that is broadcast, at most.
+BROADCAST_ROWS = 100_000
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows marked for a broadcast if they are few, which a count up to the bound tells; else as they are, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder."""
     at = f"{shared(df.sparkSession)}/{what}-{uuid.uuid4().hex}"

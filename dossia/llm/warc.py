@@ -17,17 +17,20 @@ is written as `null` and is read back as null; a group of equal payloads prefers
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossia.llm.kernels import cut, shared, tidy
+from dossia.llm.kernels import cut, shared, sized, tidy
 
 LEAST = 1000
 TIME = "2024-01-01T00:00:00Z"
@@ -56,20 +59,21 @@ def archive_tables(pages: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
     payloads = payloads.join(lead.select("address", "sha1", "salts"), "address").select("address", "bytes", "sha1", "salts", "payload")
     dealt = lead.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("address", "salt", "lead")
     # what only small, common payloads share is joined by salt too: their number is known from one aggregate of slim rows
-    hot = F.broadcast(lead.where("salts > 1").select(F.col("address").alias("h_address"), F.col("salts").alias("h_salts")))
+    hot = sized(lead.where("salts > 1").select(F.col("address").alias("h_address"), F.col("salts").alias("h_salts")))
     slim = slim.join(hot, F.col("address") == F.col("h_address"), "left").withColumn("salt", F.pmod("n", F.coalesce("h_salts", F.lit(1)).cast("long")).cast("int"))
     headed = slim.join(dealt, ["address", "salt"])
     # the leader is one row: of repeated rows only the last one
     response = (F.col("bytes") < least) | ((F.col("n") == F.col("lead.n")) & F.col("page_id").eqNullSafe(F.col("lead.page_id")))
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
+    # repeated rows have one page_id, so a record's name has the row's number too
+    name = lambda c, n: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit("#"), n.cast("string"), F.lit(">"))
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit("\r\n"))
     kind = F.when(F.col("response"), "response").otherwise("revisit")
     profile = F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     header = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", kind), line("WARC-Record-ID", name(F.col("page_id"))),
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", kind), line("WARC-Record-ID", name(F.col("page_id"), F.col("n"))),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "%0A")), line("WARC-Date", F.lit(TIME)), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         line("WARC-Payload-Address", F.concat(F.lit("sha256:"), F.col("address"))),
-        F.when(F.col("response"), F.lit("")).otherwise(F.concat(line("WARC-Refers-To", name(F.col("lead.page_id"))), line("WARC-Profile", profile))),
+        F.when(F.col("response"), F.lit("")).otherwise(F.concat(line("WARC-Refers-To", name(F.col("lead.page_id"), F.col("lead.n"))), line("WARC-Profile", profile))),
         line("Content-Type", F.lit("text/html")), line("Content-Length", F.when(F.col("response"), F.col("bytes")).otherwise(0).cast("string")), F.lit("\r\n"),
     )
     headed = headed.withColumn("response", response)
@@ -83,7 +87,7 @@ def reconstructed(payloads: DataFrame, headers: DataFrame) -> DataFrame:
     """
     responses = headers.where("record_type = 'response'")
     one, several = payloads.where("salts = 1"), payloads.where("salts > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    common = F.broadcast(payloads.where("salts > 1").select("address"))
+    common = sized(payloads.where("salts > 1").select("address"))
     rare = responses.join(common, "address", "left_anti").join(one.select("address", "payload"), "address").select("header", "payload", "bytes")
     often = responses.join(several.select("address", "salt", "payload"), ["address", "salt"]).select("header", "payload", "bytes")
     return rare.unionByName(often).unionByName(headers.where("record_type = 'revisit'").select("header", F.lit(b"").alias("payload"), "bytes"))
@@ -105,34 +109,76 @@ def write_warc(records: DataFrame, path: str) -> None:
 FIELD = re.compile(rb"([^:\r\n]+): ?([^\r\n]*)\r\n")
 
 
-def records_of(data: bytes) -> Iterator[tuple[dict, bytes, bytes]]:
-    """(fields, header bytes, block) of each record of a WARC file."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at) + 4
-        head = data[at:end]
-        fields = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in FIELD.findall(head[head.index(b"\n") + 1 :])}
+OWN = re.compile(r"<urn:page:(-?\d+)(?:#\d+)?>")
+
+
+def records_of(data: bytes | BinaryIO) -> Iterator[tuple[dict, bytes, bytes]]:
+    """(fields, header bytes, block) of each record of a WARC file, one at a time."""
+    stream = io.BytesIO(data) if isinstance(data, bytes) else data
+    while line := stream.readline():
+        if not line.strip():  # more blank lines between records than there should be
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError("a record doesn't begin with its version")
+        head = [line]
+        while (line := stream.readline()) and line.strip():
+            head.append(line)
+        fields = {k.decode("utf-8", "replace").lower(): v.decode("utf-8", "replace") for k, v in FIELD.findall(b"".join(head[1:]))}
         n = int(fields["content-length"])
-        block = data[end : end + n]
-        if len(block) < n or data[end + n : end + n + 4] != b"\r\n\r\n":
-            raise ValueError(f"a record at byte {at} is cut short")
-        yield fields, head, block
-        at = end + n + 4
+        block = stream.read(n)
+        if len(block) < n or stream.read(2) != b"\r\n" or stream.read(2) != b"\r\n":
+            raise ValueError(f"the record {fields.get('warc-record-id')} is cut short")
+        yield fields, b"".join(head) + line, block
+
+
+def opened(data: bytes) -> BinaryIO:
+    """A file's bytes as a stream, unpacked as it is read if they are gzip members."""
+    stream = io.BytesIO(data)
+    return gzip.GzipFile(fileobj=stream) if data[:2] == b"\x1f\x8b" else stream
+
+
+def plain_digest(value: str | None) -> str | None:
+    """A SHA-1 digest as bare lower-case hex, from hex or base32; of another kind as it stands."""
+    kind, _, text = (value or "").rpartition(":")
+    if kind.lower() not in ("", "sha1"):
+        return value
+    if len(text) == 32:
+        return base64.b32decode(text.upper()).hex()
+    return text.lower() or None
+
+
+def checked_payload(fields: dict, block: bytes) -> bytes:
+    """The payload of a record: its block, or what follows the HTTP header in it. A digest that the bytes don't have is an error.
+
+    Payload digests of HTTP messages may be of the decoded body and aren't checked; block digests always are.
+    """
+    sha1 = hashlib.sha1(block).hexdigest()
+    http = fields.get("content-type", "").replace(" ", "").lower().startswith("application/http")
+    for name in ("warc-block-digest", *(() if http else ("warc-payload-digest",))):
+        digest = plain_digest(fields.get(name))
+        if digest and ":" not in digest and digest != sha1:
+            raise ValueError(f"the record {fields.get('warc-record-id')} doesn't have its digest")
+    return block.partition(b"\r\n\r\n")[2] if http else block
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files below `path`: page_id, url, record_type, refers_to, digest, address, header, payload (null in revisits)."""
+    """Records of all files below `path`, packed or not, ours or others': record_id, page_id, url, record_type, refers_to, digest, address, header, payload.
+
+    page_id and refers_to are null for names that archive_tables didn't give, url where a record has none (warcinfo), digest is
+    bare hex of SHA-1, the payload null in revisits. A file that isn't WARC is an error; a packed file is held whole, its
+    records are unpacked one by one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = lambda x: None if x in (None, "<urn:page:null>") else int(x.rpartition(":")[2].rstrip(">"))
+        own = lambda x: int(m[1]) if (m := OWN.fullmatch(x or "")) else None
         for batch in batches:
             for data in batch.column(0):
                 rows, size = [], 0
-                for f, head, block in records_of(gzip.decompress(data.as_py())):
-                    kind = f["warc-type"]
-                    if kind == "response" and hashlib.sha1(block).hexdigest() != f["warc-payload-digest"].removeprefix("sha1:"):
-                        raise ValueError(f"the payload of {f['warc-record-id']} doesn't have its digest")
-                    rows.append((name(f["warc-record-id"]), f["warc-target-uri"], kind, name(f.get("warc-refers-to")), f["warc-payload-digest"].removeprefix("sha1:"), f.get("warc-payload-address", f["warc-payload-digest"]).removeprefix("sha256:"), head, block if kind == "response" else None))
+                for f, head, block in records_of(opened(data.as_py())):
+                    kind = f.get("warc-type")
+                    payload = checked_payload(f, block) if kind != "revisit" else None
+                    digest = plain_digest(f.get("warc-payload-digest"))
+                    rows.append((f.get("warc-record-id"), own(f.get("warc-record-id")), f.get("warc-target-uri"), kind, own(f.get("warc-refers-to")), digest, f.get("warc-payload-address", digest or "").removeprefix("sha256:"), head, payload))
                     size += len(block)
                     if size > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
@@ -140,12 +186,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content")
-    return files.mapInArrow(tidy(run), "page_id long, url string, record_type string, refers_to long, digest string, address string, header binary, payload binary")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    return files.mapInArrow(tidy(run), "record_id string, page_id long, url string, record_type string, refers_to long, digest string, address string, header binary, payload binary")
 
 
-NAMES = ["page_id", "url", "record_type", "refers_to", "digest", "address", "header", "payload"]
-TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
+NAMES = ["record_id", "page_id", "url", "record_type", "refers_to", "digest", "address", "header", "payload"]
+TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:

@@ -1,19 +1,22 @@
-"""Filter interactions, periodic runs and personal data against plain versions, and their edge cases."""
+"""Filter interactions, periodic runs and personal data against plain versions, and their edge cases; archives of others; decoding."""
 
+import base64
+import gzip
 import hashlib
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from itertools import permutations
+from itertools import permutations, product
 from math import exp, log
 
+import numpy as np
 import pytest
 
 pytest.importorskip("dossia.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
-from dossia.llm import interactions, periods, pii  # noqa: E402
+from dossia.llm import interactions, periods, pii, quality, warc  # noqa: E402
 
 CLASH = ["row", "part", "mask", "digest", "id", "n", "salt", "edge", "first", "least", "found", "base", "spans", "runs", "collapsed", "ws", "h", "a", "p", "g", "x", "kind"]
 SCHEMA = "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in CLASH)
@@ -319,3 +322,55 @@ def test_training(spark):
     scored = found.select(F.explode("found").alias("x")).select("x", pii.score(got, F.col("x")).alias("s")).collect()
     for r in scored:
         assert r.s == pytest.approx(log(got.prior[r.x.kind] / (1 - got.prior[r.x.kind])) + sum(got.weights[r.x.kind, f] for f in r.x.features), abs=1e-6)
+
+
+# archives of others, and decoding
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Any name, packed or not, digests in base32 or hex, records without a target, and repeated rows by names of their own."""
+    body = b"<p>hello</p>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+
+    def record(kind, block, **fields):
+        lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}-{len(block)}>", *(f"{k.replace('_', '-')}: {v}" for k, v in fields.items()), f"Content-Length: {len(block)}"]
+        return "WARC/1.0\r\n".encode() + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    sha = hashlib.sha1(http).digest()
+    packed = gzip.compress(record("warcinfo", b"software: x\r\n")) + gzip.compress(record("response", http, WARC_Target_URI="http://a/", Content_Type="application/http; msgtype=response", WARC_Payload_Digest="sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode(), WARC_Block_Digest="sha1:" + base64.b32encode(sha).decode()))
+    (tmp_path / "a.warc.gz").write_bytes(packed)
+    (tmp_path / "b.warc").write_bytes(record("resource", body, WARC_Target_URI="http://b/", WARC_Payload_Digest="SHA1:" + hashlib.sha1(body).hexdigest().upper()) + record("revisit", b"", WARC_Refers_To="<urn:uuid:1>"))
+    got = {r.record_type: r for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert set(got) == {"warcinfo", "response", "resource", "revisit"} and got["response"].payload == body and got["resource"].payload == body and got["revisit"].payload is None
+    assert got["response"].digest == got["resource"].digest == hashlib.sha1(body).hexdigest() and got["warcinfo"].url is None and got["response"].page_id is None and got["response"].record_id == f"<urn:uuid:response-{len(http)}>"
+    (tmp_path / "c.warc").write_bytes(record("resource", b"other", WARC_Payload_Digest="sha1:" + hashlib.sha1(body).hexdigest()))
+    with pytest.raises(Exception, match="doesn't have its digest"):
+        warc.read_warc(spark, str(tmp_path / "c.warc")).count()
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "notes.txt").write_bytes(b"no archive\r\n")
+    with pytest.raises(Exception, match="version"):
+        warc.read_warc(spark, str(tmp_path / "d")).count()
+    payloads, headers = warc.archive_tables(spark.createDataFrame([(1, "u", "x" * 2000)] * 3, "page_id long, url string, html string"))
+    warc.write_warc(warc.reconstructed(payloads, headers), str(tmp_path / "own"))
+    own = warc.read_warc(spark, str(tmp_path / "own")).collect()
+    assert len({r.record_id for r in own}) == 3 and [r.page_id for r in own] == [1] * 3 and sorted(r.record_type for r in own) == ["response", "revisit", "revisit"]
+
+
+def test_viterbi_against_all_labellings():
+    """The decoded labels of short chains score best of all 2^n, ties go to content, and chains don't touch each other."""
+    rng = np.random.default_rng(4)
+    for trial in range(60):
+        counts = rng.integers(0, 9, rng.integers(1, 7))
+        n = int(counts.sum())
+        field = quality.Field(np.round(rng.normal(size=quality.N_FEATURES), 3), np.round(rng.normal(size=(2, 2)), 3) * (trial % 3 > 0))
+        chosen = rng.integers(0, quality.N_FEATURES, (n, 4))
+        labels, scores, at = field.decode(chosen, counts), field.scores(chosen), 0
+        for c in counts.tolist():
+            s = scores[at : at + c]
+            value = lambda y: sum(s[k, v] for k, v in enumerate(y)) + sum(field.moves[a, b] for a, b in zip(y, y[1:]))  # noqa: B023, E731
+            best = max((value(y) for y in product((0, 1), repeat=c)), default=0.0)
+            assert value(labels[at : at + c].tolist()) == pytest.approx(best)
+            at += c
+    tied = quality.Field()
+    assert tied.decode(np.zeros((5, 2), np.int64), np.array([2, 3])).tolist() == [1] * 5
+    assert quality.Field().decode(np.zeros((0, 2), np.int64), np.array([0, 0])).tolist() == []
