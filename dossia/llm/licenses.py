@@ -3,9 +3,10 @@
 Texts that hold a cue word are normalised (lower case, other characters than letters, digits, line
 ends and the points that end sentences become one space), and known sentences in them get their
 identifier. A sentence begins and ends where a line or sentence does; inside, it may be wrapped over
-lines, each with a comment prefix, but not over an empty line. The sequence of identifiers of a text is then rewritten by ordered licence rules:
-full licence texts before headers before references, each rule turning its sequence of
-identifiers into the licence's name. Identifiers that no rule takes are counted.
+lines, each with a comment prefix, but not over an empty line. What stands between two known sentences is UNKNOWN if it holds
+a sentence of its own, which two words side by side tell; markers of lists, lone words and comment signs are none. The sequence of
+identifiers and UNKNOWN marks is then rewritten by ordered licence rules: full licence texts before headers before references,
+each rule turning its unbroken sequence of identifiers into the licence's name. Identifiers that no rule takes are counted.
 
 Everything is row by row without a shuffle; the tables below are the only thing sent along. A null
 or empty text has no sentence and no licence; repeated rows are scanned each; where rules tie the
@@ -19,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossia.functions.text import let
+
 #: Identifiers of licence sentences in their normalised form, from the public licence texts.
 SENTENCES = {
     "released under the mit license": "MITref",
@@ -70,7 +73,29 @@ SENTENCES = {
     "licensed under cc by nc 4.0": "CCBYNC4ref",
     "this work is licensed under a creative commons attribution 4.0 international license": "CCBY4ref",
     "this source code form is subject to the terms of the mozilla public license v. 2.0": "MPL2ref",
+    "http www.apache.org licenses license 2.0": "ApacheURL",
+    "https www.apache.org licenses license 2.0": "ApacheURL",
+    "this software is provided as is without any express or implied warranty": "ZlibAsIs",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "ZlibLiability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZlibGrant",
+    "the origin of this software must not be misrepresented you must not claim that you wrote the original software": "ZlibOrigin",
+    "altered source versions must be plainly marked as such and must not be misrepresented as being the original software": "ZlibAltered",
+    "this notice may not be removed or altered from any source distribution": "ZlibNotice",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "BoostGrant",
+    "distributed under the boost software license version 1.0": "BoostRef",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "UnlicenseFree",
+    "this work is licensed under a creative commons attribution sharealike 4.0 international license": "CCBYSA4ref",
+    "this work is licensed under a creative commons attribution noncommercial 4.0 international license": "CCBYNC4ref",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at": "EPL2ref",
+    "licensed under the bsd 3 clause license": "BSD3spdx",
+    "licensed under the isc license": "ISCref",
+    "licensed under the mozilla public license version 2.0": "MPL2ref",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "GPL2only",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 of the license or at your option any later version": "LGPL2later",
 }
+#: Identifiers of licences that a short tag may name.
+TAGGED = ["0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Artistic-2.0", "BSD-2-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-3.0-only", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "Unlicense", "WTFPL", "Zlib"]
+SENTENCES |= {f"spdx license identifier {name.lower().replace('-', ' ')}": f"tag:{name}" for name in TAGGED}
 #: Licence rules in order; the first that matches at a place takes its identifiers.
 RULES = [
     ("MIT", ["MITgrant", "MITnotice", "MITwarranty", "MITliability"]),
@@ -78,6 +103,8 @@ RULES = [
     ("MIT", ["MITgrant", "MITnotice"]),
     ("ISC", ["ISCgrant", "ISCwarranty"]),
     ("ISC", ["ISCgrant"]),
+    ("Apache-2.0", ["ApacheRef", "ApacheUse", "ApacheCopy", "ApacheURL", "ApacheWarranty", "ApacheSee"]),
+    ("Apache-2.0", ["ApacheRef", "ApacheUse", "ApacheCopy", "ApacheURL"]),
     ("Apache-2.0", ["ApacheRef", "ApacheUse", "ApacheCopy", "ApacheWarranty", "ApacheSee"]),
     ("Apache-2.0", ["ApacheRef", "ApacheUse", "ApacheCopy"]),
     ("GPL-3.0-or-later", ["GPL3later", "GPLwarranty", "GPLsee", "GPLcopy"]),
@@ -95,6 +122,14 @@ RULES = [
     ("BSD-2-Clause", ["BSDpre", "BSDsource", "BSDbinary", "BSDasis", "BSDliability"]),
     ("BSD-2-Clause", ["BSDpre", "BSDsource", "BSDbinary", "BSDasis"]),
     ("MPL-2.0", ["MPL2ref", "MPL2copy"]),
+    ("Zlib", ["ZlibAsIs", "ZlibLiability", "ZlibGrant", "ZlibOrigin", "ZlibAltered", "ZlibNotice"]),
+    ("Zlib", ["ZlibAsIs", "ZlibLiability", "ZlibGrant"]),
+    ("BSL-1.0", ["BoostGrant"]),
+    ("Unlicense", ["Unlicense", "UnlicenseFree"]),
+    ("GPL-2.0-only", ["GPL2only", "GPLwarranty", "GPLsee", "GPLcopy"]),
+    ("GPL-2.0-only", ["GPL2only"]),
+    ("LGPL-2.0-or-later", ["LGPL2later", "LGPLwarranty", "LGPLsee", "LGPLcopy"]),
+    ("LGPL-2.0-or-later", ["LGPL2later"]),
     ("MIT", ["MITref"]),
     ("Apache-2.0", ["ApacheRef"]),
     ("GPL-3.0", ["GPL3ref"]),
@@ -106,10 +141,15 @@ RULES = [
     ("CC0-1.0", ["CC0waive"]),
     ("Unlicense", ["Unlicense"]),
     ("MPL-2.0", ["MPL2ref"]),
+    ("BSL-1.0", ["BoostRef"]),
+    ("CC-BY-SA-4.0", ["CCBYSA4ref"]),
+    ("EPL-2.0", ["EPL2ref"]),
+    ("ISC", ["ISCref"]),
     ("Proprietary", ["AllRights"]),
 ]
+RULES += [(name, [f"tag:{name}"]) for name in TAGGED]
 #: Every known sentence holds one of these.
-CUES = ["licen", "permission", "copyright", "warrant", "liable", "redistribut", "gnu general", "rights reserved", "public domain", "copy of the mpl"]
+CUES = ["licen", "permission", "copyright", "warrant", "liable", "redistribut", "gnu general", "rights reserved", "public domain", "copy of the mpl", "misrepresented", "this notice may", "free to copy"]
 assert all(any(c in s for c in CUES) for s in SENTENCES)
 
 #: In normalised text: what stands before a line's or sentence's first word, between two words, and after the last.
@@ -119,6 +159,12 @@ BETWEEN = rf"(?=[ !?:;\n])[ !?:;]*+(?:\n[ .!?:;]*+(?:{PREFIX})?)?"
 END = r"(?=[ .!?:;]*(?:\n|$|[.!?:;] ))"
 
 
+#: Two words side by side within a sentence and line: something is said there that isn't known. In normalised text, and as the SQL has it.
+SAID = r"[a-z]{2,}(?: |[!?:;](?! ))+[a-z]{2,}"
+SAID_SQL = "[a-z]{2,}[ !?:;]+[a-z]{2,}"
+UNKNOWN = "UNKNOWN"
+
+
 def cue_pattern() -> str:
     """Any cue word in any case, wrapped or not."""
     return "(?i)" + "|".join(c.replace(" ", r"[^a-z0-9]+(?:(?:rem|dnl|c)[^a-z0-9]+)?") for c in CUES)
@@ -142,19 +188,28 @@ def one_line(sentence: Column) -> Column:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """`doc_id, sentence_ids, licenses, n_sentences, n_unmatched` of each row.
 
-    sentence_ids and licenses are in the order of the text, the former joined by `;`, the latter by `,`.
+    sentence_ids (with UNKNOWN between two known sentences that others stand between) and licenses are in the order of the text,
+    the former joined by `;`, the latter by `,`; the counts are of known sentences.
     """
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     text = F.coalesce(F.col("text"), F.lit(""))
+
+    def sequence(x):
+        named = F.filter(F.transform(x["found"], lambda s, i: F.struct(F.try_element_at(known, one_line(s)).alias("id"), F.get(x["gaps"], i).alias("gap"))), lambda n: n["id"].isNotNull())
+        return F.flatten(F.transform(named, lambda n, i: F.when((i > 0) & n["gap"].rlike(SAID), F.array(F.lit(UNKNOWN), n["id"])).otherwise(F.array(n["id"]))))
+
+    def searched(t):
+        return let(F.struct(F.regexp_extract_all(t, F.lit(known_pattern()), F.lit(1)).alias("found"), F.split(t, known_pattern()).alias("gaps")), sequence)
+
     # texts without a cue word aren't searched at all
-    found = F.when(text.rlike(cue_pattern()), F.transform(F.regexp_extract_all(normalised(text), F.lit(known_pattern()), F.lit(1)), lambda s: F.try_element_at(known, one_line(s))))
+    found = F.when(text.rlike(cue_pattern()), let(normalised(text), searched))
     ids = docs.select(F.col("doc_id").cast("long"), F.coalesce(found, F.array().cast("array<string>")).alias("ids"))
     tokens = F.concat_ws("", F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))))
     named = reduce(lambda c, rule: F.replace(c, F.lit("".join(f"<{i}>" for i in rule[1])), F.lit(f"[{rule[0]}]")), RULES, tokens)
-    out = ids.select("doc_id", F.concat_ws(";", "ids").alias("sentence_ids"), named.alias("named"), F.size("ids").cast("long").alias("n_sentences"))
+    out = ids.select("doc_id", F.concat_ws(";", "ids").alias("sentence_ids"), named.alias("named"), F.size(F.array_remove("ids", UNKNOWN)).cast("long").alias("n_sentences"))
     return out.select(
         "doc_id", "sentence_ids", F.concat_ws(",", F.expr(r"regexp_extract_all(named, '\\[([^\\]]*)\\]', 1)")).alias("licenses"), "n_sentences",
-        F.size(F.expr(r"regexp_extract_all(named, '<([^>]*)>', 1)")).cast("long").alias("n_unmatched"),
+        F.size(F.array_remove(F.expr(r"regexp_extract_all(named, '<([^>]*)>', 1)"), UNKNOWN)).cast("long").alias("n_unmatched"),
     )
 
 
@@ -168,10 +223,13 @@ def oracle() -> str:
         with known(s, id) as (values {values}),
         cut as (select doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?:;])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)) as ss from documents),
         each as (select doc_id, unnest(ss) as s, generate_subscripts(ss, 1) as k from cut),
-        found as (select doc_id, k, id from (select doc_id, k, regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g') as s from each) join known using (s)),
-        seq as (select doc_id, string_agg(id, ';' order by k) as sentence_ids, string_agg('<' || id || '>', '' order by k) as tokens, count(*) as n from found group by doc_id),
+        said as (select doc_id, k, regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g') as s, regexp_matches(regexp_replace(lower(s), '[^a-z0-9.!?:;]+', ' ', 'g'), '{SAID_SQL}') as words from each),
+        told as (select doc_id, k, id, words from said left join known using (s)),
+        numbered as (select *, sum(case when id is null and words then 1 else 0 end) over (partition by doc_id order by k) as others from told),
+        found as (select doc_id, k, id, others > lag(others) over (partition by doc_id order by k) as apart from numbered where id is not null),
+        seq as (select doc_id, string_agg(case when apart then '{UNKNOWN};' else '' end || id, ';' order by k) as sentence_ids, string_agg(case when apart then '<{UNKNOWN}>' else '' end || '<' || id || '>', '' order by k) as tokens, count(*) as n from found group by doc_id),
         named as (select doc_id, sentence_ids, {named} as named, n from seq)
         select d.doc_id, coalesce(sentence_ids, '') as sentence_ids,
                coalesce(array_to_string(regexp_extract_all(named, '\\[([^\\]]*)\\]', 1), ','), '') as licenses,
-               coalesce(n, 0)::bigint as n_sentences, coalesce(len(regexp_extract_all(named, '<([^>]*)>', 1)), 0)::bigint as n_unmatched
+               coalesce(n, 0)::bigint as n_sentences, coalesce(len([x for x in regexp_extract_all(named, '<([^>]*)>', 1) if x <> '{UNKNOWN}']), 0)::bigint as n_unmatched
         from documents d left join named using (doc_id)"""

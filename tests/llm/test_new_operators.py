@@ -16,7 +16,7 @@ import pytest
 pytest.importorskip("dossia.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
-from dossia.llm import interactions, periods, pii, quality, warc  # noqa: E402
+from dossia.llm import interactions, licenses, periods, pii, quality, warc  # noqa: E402
 
 CLASH = ["row", "part", "mask", "digest", "id", "n", "salt", "edge", "first", "least", "found", "base", "spans", "runs", "collapsed", "ws", "h", "a", "p", "g", "x", "kind"]
 SCHEMA = "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in CLASH)
@@ -374,3 +374,32 @@ def test_viterbi_against_all_labellings():
     tied = quality.Field()
     assert tied.decode(np.zeros((5, 2), np.int64), np.array([2, 3])).tolist() == [1] * 5
     assert quality.Field().decode(np.zeros((0, 2), np.int64), np.array([0, 0])).tolist() == []
+
+
+# licences
+
+
+def licensed(spark, *texts):
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [(r.sentence_ids, r.licenses, r.n_sentences, r.n_unmatched) for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_unknown_sentences_break_a_licence(spark):
+    grant, notice = (next(s for s, i in licenses.SENTENCES.items() if i == x) for x in ("MITgrant", "MITnotice"))
+    apache = [next(s for s, i in licenses.SENTENCES.items() if i == x) for x in ("ApacheRef", "ApacheUse", "ApacheCopy")]
+    other = "An unrelated sentence stands here.\n"
+    got = licensed(
+        spark, f"{grant}:\n\n{notice}.", f"{grant}:\n{other * 50}{notice}.", f"{grant}:\n1.\n* and\n(a) {notice}.", f"{other}{grant}.\n{notice}.\n{other}", f"{apache[0]};\n{apache[1]}.\n{apache[2]}\n\n    http://www.apache.org/licenses/LICENSE-2.0\n",
+        "SPDX-License-Identifier: Zlib\n", "// SPDX-License-Identifier: LGPL-2.1-or-later", None, "",
+    )
+    assert got[0] == ("MITgrant;MITnotice", "MIT", 2, 0) == got[2] == got[3]
+    assert got[1] == ("MITgrant;UNKNOWN;MITnotice", "", 2, 2)
+    assert got[4][1:] == ("Apache-2.0", 4, 0) and got[5][1] == "Zlib" and got[6][1] == "LGPL-2.1-or-later" and got[7] == got[8] == ("", "", 0, 0)
+
+
+def test_every_licence_rule_fires(spark):
+    """Each rule on its own sentences, one on a line, gives its licence and leaves nothing."""
+    of = {i: s for s, i in licenses.SENTENCES.items()}
+    got = licensed(spark, *["\n".join(of[i].capitalize() + "." for i in ids) for _, ids in licenses.RULES])
+    for (name, ids), (sentence_ids, found, n, left) in zip(licenses.RULES, got):
+        assert (sentence_ids, found, n, left) == (";".join(ids), name, len(ids), 0)

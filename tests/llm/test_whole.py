@@ -114,7 +114,9 @@ def gnu(kind, version, whole, thing="program"):
     return text + (GPL_REST % ".").replace("GNU General", f"GNU {kind} General").replace("This program", f"This {thing}").replace("this program", f"this {thing}") if whole else text
 
 
-#: A public text for each rule, in the rules' order.
+#: Identifiers of sentences whose rules are told by the sentences alone, a paragraph each.
+ALONE = ("Zlib", "Boost", "UnlicenseFree", "CCBYSA4ref", "EPL2ref", "ISCref", "GPL2only", "LGPL2later", "tag:")
+#: A public text for each other rule, in the rules' order.
 PUBLIC = [
     MIT + LIABLE, MIT, MIT.split("\n\nTHE SOFTWARE")[0], ISC + ISC_REST, ISC, APACHE + APACHE_REST, APACHE, GPL % (":", 3) + GPL_REST % ".  If not, see <https://www.gnu.org/licenses/>.", GPL % (":", 3),
     GPL % (";", 2) + GPL_REST % "; if not, write to the Free Software Foundation, Inc.", GPL % (";", 2), gnu("Lesser", "3", True, "library"), gnu("Lesser", "3", False, "library"), gnu("Lesser", "2.1", True, "library"), gnu("Lesser", "2.1", False, "library"),
@@ -137,7 +139,10 @@ def wrapped(text, width, prefix, end="\n"):
 def test_licenses_wrapped(spark):
     """Every rule takes the whole public text, on one line a paragraph or wrapped, bare or in comments."""
     rows, want = [], {}
-    for (name, ids), text in zip(licenses.RULES, PUBLIC, strict=True):
+    of, texts = {i: s for s, i in licenses.SENTENCES.items()}, iter(PUBLIC)
+    each = [(name, ids, "\n\n".join(of[i].capitalize() + "." for i in ids) if any(i.startswith(ALONE) for i in ids) or ("ApacheCopy" in ids and "ApacheURL" not in ids) else next(texts)) for name, ids in licenses.RULES]
+    assert next(texts, None) is None
+    for name, ids, text in each:
         for width in (10**6, 79, 50, 12):
             for prefix, end in (("", "\n"), ("# ", "\n"), (" * ", "\r\n"), ("// ", "\n"), (";; ", "\n"), ("-- ", "\n"), ("REM ", "\r\n"), ("dnl ", "\n"), ("C     ", "\n"), ('.\\" ', "\n")):
                 for before in ("", "First some prose.\n\n"):
