@@ -12,7 +12,8 @@ a block, so what is broadcast stays bounded whatever their number. Documents are
 
 Null and empty texts match nothing, and so do items without words; an item's n-grams are
 shorter than `gram` where that many words in a row needn't survive; repeated rows are judged each; ties between places go to the
-first; an empty table on either side gives no matches; other columns are ignored, or kept by `clean`.
+first; an empty table on either side gives no matches; a text of any length is searched whole, aligned only
+around its seeds; other columns are ignored, or kept by `clean`.
 """
 
 from __future__ import annotations

@@ -21,8 +21,8 @@ counts are quadratic in the group and mustn't be written out.
 
 Null and word-less texts have an empty set and link with nothing; fewer than five words are one
 shingle; repeated rows and equal texts share a class; rows without doc_id count as members but
-don't name a component (it is null if no member has an id); an empty table gives no rows; other
-columns are ignored.
+don't name a component (it is null if no member has an id); an empty table gives no rows; a text of
+any length is hashed whole, by itself in a slice if it is long; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ and each row then adds its part's offset and cuts. Nothing is shuffled, a lost t
 part alone, and the result can be coalesced or used twice.
 
 Null and empty texts have one token (the end token); repeated rows are packed each; an empty table
-gives no pieces; other columns are ignored.
+gives no pieces; a text of any length is tokenised whole and cut over as many sequences as it needs;
+other columns are ignored.
 """
 
 from __future__ import annotations

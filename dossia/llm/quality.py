@@ -11,8 +11,8 @@ it takes for content, in good documents or bad, are the second's content. Everyt
 rows and whole texts.
 
 Null texts have no words and fail the base rule; repeated rows are judged each; without labels of
-both kinds every text that passes the base rules is kept; an empty table gives no rows; other
-columns are ignored. A tie in Viterbi decoding goes to content.
+both kinds every text that passes the base rules is kept; an empty table gives no rows; a text of any
+length is judged by all its lines; other columns are ignored. A tie in Viterbi decoding goes to content.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ No source is ranked in one task: places come from counts per (source, bucket of
 are summed first, and only the rows of one bucket are sorted together; the global order works
 the same way on buckets of the fractional rank. Ties are broken by the digest and then by the
 row's own number, so that repeated rows get places of their own. A null source is a source, a
-null text has 0 bytes, an empty table gives no rows, and other columns are ignored.
+null text has 0 bytes, a long text counts as one row whatever its size, an empty table gives no
+rows, and other columns are ignored.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ rather than carried as lengths.
 
 Equal texts are one text that occurs more than once: from `width` bytes on, all of it goes. Null texts
 are empty, texts shorter than `width` keep everything, repeated rows count as further places, an
-empty table gives no rows, and other columns are kept by `deduplicated` and ignored by `digest`.
+empty table gives no rows, a text of any length is read whole, its windows dealt to shards as others' are,
+and other columns are kept by `deduplicated` and ignored by `digest`.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ without a mergeable pair leave with the number of symbols that survive.
 
 Nulls and empty texts have no bytes and no tokens; repeated rows are counted each; ties in
 rank within a sequence are one pair, whose overlapping occurrences merge from the left. Other
-columns of the input play no part. Special strings inside a text are one token each, which is
+columns of the input play no part. A text of any length is counted whole, as a slice of its own; an
+empty table gives no rows. Special strings inside a text are one token each, which is
 the library's default.
 """
 
