@@ -18,7 +18,11 @@ PASSAGE_BYTES, PASSAGE_WORDS = 200, 50
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose lines are content for the greater part."""
+    """Documents that pass the base rules and whose lines are content for the greater part.
+
+    Null and empty texts go (they have no words); repeated rows are judged each; without labels of both kinds the base rules alone decide; a text of any
+    length is judged whole; an empty table stays empty; further columns stay as they are, whatever their names.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.judged(docs, quality.train(docs, labels), keep_columns=True)
 
@@ -59,12 +63,20 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item, whole or edited."""
+    """Documents that hold no test item, whole or edited.
+
+    Null and empty texts hold none and stay; repeated rows are judged each; without items all stay; long texts are searched whole; an empty table
+    stays empty; further columns stay as they are.
+    """
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of training sequences, with their ids."""
+    """The pieces of training sequences, with their ids.
+
+    Null and empty texts are their end token; repeated rows are packed each; long texts are cut over sequences; an empty table gives no pieces; further
+    columns play no part.
+    """
     return packing.pack(docs, tokenizer("word_bpe_49k.json"), extra_ids=True)
 
 
