@@ -13,10 +13,10 @@ def tail(sql: str) -> str:
     return sql[len(P) :]
 
 
-#: Numbers count from page 10 on.
-NUMBERS = """n as materialized (select doc_id, page_num as page, text from p where page_num >= 10), nf as (select doc_id, page, 'accessible_parking' as field, unnest(regexp_extract_all(text, '無障礙[停車位\\s（(]*(\\d+)\\s*輛', 1)) as v from n
-    union all select doc_id, page, 'legal_parking', unnest(regexp_extract_all(text, '法定[汽車]*停車位[^\\n]*\\n?(\\d+)\\s*輛', 1)) from n union all select doc_id, page, 'bonus_floor_area', unnest(regexp_extract_all(text, '合計獎勵樓地板面積[^\\d]*(\\d[\\d,，.]+)', 1)) from n
-    union all select doc_id, page, 'ev_parking', unnest(regexp_extract_all(text, '充電(\\d+)輛', 1)) from n), numbers as (select doc_id, page, field, try_cast(replace(v, ',', '') as double) as value from nf)"""
+#: Numbers count from page 10 on; fields by number: accessible, legal, bonus area, charging.
+NUMBERS = """n as (select doc_id, page_num as page, text from p where page_num >= 10), nf as (select doc_id, page, 0 as field, unnest(regexp_extract_all(text, '無障礙[停車位\\s（(]*(\\d+)\\s*輛', 1)) as v from n
+    union all select doc_id, page, 1, unnest(regexp_extract_all(text, '法定[汽車]*停車位[^\\n]*\\n?(\\d+)\\s*輛', 1)) from n union all select doc_id, page, 2, unnest(regexp_extract_all(text, '合計獎勵樓地板面積[^\\d]*(\\d[\\d,，.]+)', 1)) from n
+    union all select doc_id, page, 3, unnest(regexp_extract_all(text, '充電(\\d+)輛', 1)) from n), numbers as (select doc_id, page, field, try_cast(replace(v, ',', '') as double) as value from nf)"""
 AUDIT_SQL = f"""{P}{tail(FRONT_SQL)}{tail(FIELDS_SQL)}{tail(SCAN_SQL)}, {NUMBERS}, ids as (select distinct doc_id from p),
   loc as (select doc_id, doc_type, page, from_toc from docs qualify row_number() over (partition by doc_id, doc_type order by from_toc, seq) = 1),
   e as (select doc_id, doc_type, concat('第 ', page, ' 頁', case when from_toc then '（目錄列出，實際頁面待人工核對）' else '' end) as ev from loc),
@@ -36,13 +36,12 @@ AUDIT_SQL = f"""{P}{tail(FRONT_SQL)}{tail(FIELDS_SQL)}{tail(SCAN_SQL)}, {NUMBERS
     union all select doc_id, 10, 'FORM-003', 'high', case when not has_table then 'skip' when ev_parking is not null then 'pass' else 'fail' end, case when has_table then pg end from t),
   hi as (select doc_id, string_agg(concat('P.', page, ' ', risk_type, '：', value), '; ' order by page, seq) as ev from pii where severity = 'HIGH' group by 1), mid as (select doc_id, string_agg(concat('P.', page, ' ', risk_type, '：', value), '; ' order by page, seq) as ev from pii where severity = 'MEDIUM' group by 1),
   tm as (select doc_id, string_agg(concat('P.', page, '「', wrong_term, '」應為「', correct_term, '」'), '; ' order by page, seq) as ev from terms group by 1),
-  w as (select doc_id, n.page, n.field, n.value, case n.field when 'accessible_parking' then accessible_parking when 'legal_parking' then legal_parking when 'ev_parking' then ev_parking end as want_i, bonus_floor_area as want_f from numbers n join fields using (doc_id) where n.value is not null),
-  o as (select *, concat(case field when 'accessible_parking' then '無障礙停車位' when 'legal_parking' then '法定(含無障礙)汽車停車位' when 'ev_parking' then '充電車位' else '容積獎勵面積' end, '：審議資料表=', case when field = 'bonus_floor_area' then want_f::varchar else want_i::varchar end, '，P.', page, '=', value) as line
-    from w where abs(value - case when field = 'bonus_floor_area' then want_f else want_i end) > 0.1),
-  oo as (select doc_id, string_agg(line, '; ' order by page, case field when 'accessible_parking' then 0 when 'legal_parking' then 1 when 'bonus_floor_area' then 2 else 3 end) as ev from o group by 1), some_n as (select distinct doc_id from numbers where value is not null),
+  w as (select n.doc_id, n.page, n.field, n.value, case n.field when 0 then accessible_parking when 1 then legal_parking when 3 then ev_parking end as want_i, bonus_floor_area as want_f from numbers n left join fields using (doc_id) where n.value is not null),
+  o as (select *, coalesce(abs(value - case when field = 2 then want_f else want_i end) > 0.1, false) as off, concat(case field when 0 then '無障礙停車位' when 1 then '法定(含無障礙)汽車停車位' when 3 then '充電車位' else '容積獎勵面積' end, '：審議資料表=', case when field = 2 then want_f::varchar else want_i::varchar end, '，P.', page, '=', value) as line from w),
+  num as (select doc_id, string_agg(line, '; ' order by page, field) filter (off) as ev from o group by 1),
   scans as (select ids.doc_id, 11 as seq, 'PII-001' as rule_id, 'high' as severity, case when hi.ev is not null then 'fail' when mid.ev is not null then 'warn' else 'pass' end as status, coalesce(hi.ev, mid.ev) as evidence from ids left join hi using (doc_id) left join mid using (doc_id)
     union all select ids.doc_id, 12, 'TERM-001', 'medium', case when ev is not null then 'fail' else 'pass' end, ev from ids left join tm using (doc_id)
-    union all select ids.doc_id, 13, 'CONS-001', 'high', case when fields.doc_id is null then 'skip' when some_n.doc_id is null then 'warn' when oo.ev is not null then 'fail' else 'pass' end, oo.ev from ids left join fields using (doc_id) left join some_n using (doc_id) left join oo using (doc_id))"""
+    union all select ids.doc_id, 13, 'CONS-001', 'high', case when fields.doc_id is null then 'skip' when num.doc_id is null then 'warn' when num.ev is not null then 'fail' else 'pass' end, case when fields.doc_id is not null then num.ev end from ids left join fields using (doc_id) left join num using (doc_id))"""
 ALL_SQL = "select doc_id, seq, rule_id, severity, status, evidence from front union all select doc_id, seq, rule_id, severity, status, evidence from tables union all select doc_id, seq, rule_id, severity, status, evidence from scans"
 
 
