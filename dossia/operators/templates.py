@@ -40,7 +40,8 @@ def present_sections(docs: DataFrame, schema: DataFrame, text: str = "text") ->
 
     A template has a few dozen sections, so they meet a document as one array by type and version.
     """
-    keys = schema.groupBy("doc_type", "version").agg(F.collect_list(F.struct("marker", title_key(F.col("title")).alias("key"))).alias("keys"))
+    keyed = schema.select("doc_type", "version", "marker", title_key(F.col("title")).alias("key"))
+    keys = keyed.groupBy("doc_type", "version").agg(F.collect_list(F.struct("marker", "key")).alias("keys"))
     rows = docs.withColumn("flat", squeezed(F.coalesce(F.col(text), F.lit("")))).join(keys, ["doc_type", "version"])
     hits = F.transform(F.filter("keys", lambda k: (k["key"] != "") & F.contains(F.col("flat"), k["key"])), lambda k: k["marker"])
     return rows.select("doc_id", "doc_type", "version", F.array_distinct(hits).alias("present"))
