@@ -12,9 +12,7 @@ from pyspark.sql.types import MapType, VariantType
 from dossia.llm import decontaminate, jaccard, packing, quality, suffixes
 from dossia.llm.kernels import cut, written
 from dossia.llm.queries import tokenizer
-
-#: A passage is repeated if so many bytes of it are the same elsewhere, and so many words: 50 words have some 250 bytes or more in prose.
-PASSAGE_BYTES, PASSAGE_WORDS = 200, 50
+from dossia.llm.suffixes import PASSAGE_BYTES, PASSAGE_WORDS
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

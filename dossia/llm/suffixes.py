@@ -3,7 +3,7 @@
 Bytes covered by a string of `width` bytes that starts anywhere else too are found exactly, over
 all documents:
 
-1. Sharding. The smallest hash of a 200-byte gram in a window of `width` bytes depends on the window's
+1. Sharding. The smallest hash of a shorter gram in a window of `width` bytes depends on the window's
    content alone, so equal windows have equal keys. A first scan counts the gram positions that are
    some window's minimum (about one byte in a hundred); keys met twice become a bitmap of bounded size.
 2. A second scan sends runs of windows whose key was met twice to the key's shard, equal runs once
@@ -14,6 +14,10 @@ all documents:
    order whose common prefix reaches `width` are repeated strings.
 4. Repeated ranges are gathered and merged per document text, and cut out.
 
+`digest` also tells passages, that is maximal ranges of repeated strings of PASSAGE_BYTES bytes that have PASSAGE_WORDS words
+or more: steps 2 to 4 run once more at that width. The grams of both widths are the same, so a wider window's minimum
+is some narrower window's too, and one first scan serves both. Passages are counted, not cut out.
+
 The order of the recursion's reduced string has an alphabet as large as itself; where that exceeds
 SMALL_ALPHABET characters it is sorted by rank doubling (to a depth of `width` bytes, all that is needed)
 instead of by queues. Common prefixes are compared by 64-bit hashes of `width` bytes between neighbours
@@ -40,6 +44,10 @@ from pyspark.sql import functions as F
 from dossia.llm.kernels import U, as_bytes, cut, mix, n_parts, packed, parts, slices, tidy, unpacked
 
 WIDTH = 400
+#: A passage is repeated if so many bytes of it are the same elsewhere, and so many words: 50 words have some 250 bytes or more in prose.
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 50
+#: Bytes of a gram where windows of WIDTH and PASSAGE_BYTES bytes share them.
+GRAM = 64
 STEP = 1 << 19
 MAX_BITS = 1 << 28
 SHARD_BYTES = 1 << 19
@@ -87,8 +95,7 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 class Scan:
     """Windows of distinct texts: keys of windows, by runs of equal keys, and the positions that are minima."""
 
-    def __init__(self, texts: list[bytes], width: int):
-        gram = width // 2
+    def __init__(self, texts: list[bytes], width: int, gram: int):
         span = width - gram + 1
         pieces = [(i, a, t[a : a + STEP + width - 1]) for i, t in enumerate(texts) for a in range(0, len(t) - width + 1, STEP)]
         self.data = b"".join(p for _, _, p in pieces)
@@ -123,7 +130,7 @@ def distinct(texts: list[bytes], width: int) -> tuple[list[bytes], list[bytes]]:
     return own, [hashlib.md5(t).digest() for t in own]
 
 
-def repeated_keys(docs: DataFrame, width: int, n: int) -> DataFrame:
+def repeated_keys(docs: DataFrame, width: int, gram: int, n: int) -> DataFrame:
     """(part, keys, many): window keys whose gram is a minimum at two places or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +138,7 @@ def repeated_keys(docs: DataFrame, width: int, n: int) -> DataFrame:
             for part in slices(batch, limit=STEP):
                 texts, _ = distinct(as_bytes(part.column("text")), width)
                 if texts:
-                    keys, counts = np.unique(Scan(texts, width).minima, return_counts=True)
+                    keys, counts = np.unique(Scan(texts, width, gram).minima, return_counts=True)
                     keys = np.repeat(keys, np.minimum(counts, 2))
                     rows = list(packed(parts(keys, n), keys))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["part", "keys"])
@@ -164,7 +171,7 @@ def bitmap(found: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def runs(docs: DataFrame, sent, width: int, n: int) -> DataFrame:
+def runs(docs: DataFrame, sent, width: int, gram: int, n: int) -> DataFrame:
     """(part, runs...): runs of windows with a repeated key, distinct in their slice, with their holders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +182,7 @@ def runs(docs: DataFrame, sent, width: int, n: int) -> DataFrame:
                 texts, digests = distinct(as_bytes(part.column("text")), width)
                 if not texts:
                     continue
-                scan = Scan(texts, width)
+                scan = Scan(texts, width, gram)
                 bit = (scan.keys >> shift).astype(np.int64)
                 hit = np.flatnonzero(on[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
                 held: dict[tuple[int, bytes], list[tuple[bytes, int]]] = {}
@@ -398,23 +405,28 @@ def repeated_ranges(sent_runs: DataFrame, width: int, n: int) -> DataFrame:
             by_key.setdefault(key, []).append((data, holders))
         out_d, out_a, out_b = [], [], []
 
+        def tell(holders: dict, ranges: list) -> None:
+            for d, place in holders:
+                for a, b in ranges:
+                    out_d.append(d)
+                    out_a.append(place + a)
+                    out_b.append(place + b)
+
         def sort(batch: list) -> None:
             for (data, holders), again in zip(batch, repeated_windows([d for d, _ in batch], width)):
                 if len(holders) > 1:
-                    ranges = [(0, len(data))]
+                    tell(holders, [(0, len(data))])
                 else:
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], again.astype(np.int8), [0]))))
-                    ranges = [(a, b + width - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
-                for d, place in holders:
-                    for a, b in ranges:
-                        out_d.append(d)
-                        out_a.append(place + a)
-                        out_b.append(place + b)
+                    tell(holders, [(a, b + width - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())])
 
         batch, size = [], 0
         for rows in by_key.values():
             if len(rows) == 1 and len(rows[0][1]) == 1 and len(rows[0][0]) == width:
                 continue  # one window at one place: nothing repeats
+            if len(rows) == 1 and len(rows[0][1]) > 1:
+                tell(rows[0][1], [(0, len(rows[0][0]))])  # its key has no other run that could share a window, so its place in the order tells nothing more
+                continue
             batch += rows
             size += sum(len(d) for d, _ in rows)
             if size > SHARD_BYTES:
@@ -451,20 +463,28 @@ def merged_spans(ranges: DataFrame) -> DataFrame:
     return ranges.groupBy("part").applyInArrow(run, "digest binary, spans binary")
 
 
-def with_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """`row` (the columns of `docs`), `spans` (ranges to remove; null: none) and `copies`, whether the text occurs in other rows."""
+def with_spans(docs: DataFrame, width: int = WIDTH, least: int | None = None) -> DataFrame:
+    """`row` (the columns of `docs`), `spans` (ranges to remove; null: none) and `copies`, whether the text occurs in other rows.
+
+    least: a smaller width whose ranges are told too, as `passages`.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string"))
     n = 1 << (n_parts(spark) - 1).bit_length()
-    found = repeated_keys(texts, width, n)
+    low, gram = (least, GRAM) if least else (width, width // 2)
+    found = repeated_keys(texts, low, gram, n)
     sent = spark.sparkContext.broadcast(bitmap(found, n))
-    spans = cut(merged_spans(repeated_ranges(runs(texts, sent, width, n), width, n)))
+    ranges = lambda size: cut(merged_spans(repeated_ranges(runs(texts, sent, size, gram, n), size, n)))
+    spans = ranges(width)
+    if least:  # what a wider window repeats, narrower ones repeat
+        spans = ranges(least).withColumnRenamed("spans", "passages").join(spans, "digest", "left")
     digest = lambda c: F.unhex(F.md5(F.coalesce(c.cast("string"), F.lit("")).cast("binary")))
-    copied = texts.where(F.octet_length("text") >= width).groupBy(digest(F.col("text")).alias("digest")).count()
+    copied = texts.where(F.octet_length("text") >= low).groupBy(digest(F.col("text")).alias("digest")).count()
     copied = copied.where("count > 1").select("digest", F.lit(True).alias("copies"))
     about = spans.join(copied, "digest", "full")
     nested = docs.select(F.struct("*").alias("row"))
-    return nested.withColumn("own", digest(F.col("row.text"))).join(about.hint("shuffle_hash"), F.col("own") == F.col("digest"), "left").select("row", "spans", "copies")
+    joined = nested.withColumn("own", digest(F.col("row.text"))).join(about.hint("shuffle_hash"), F.col("own") == F.col("digest"), "left")
+    return joined.select("row", *(["passages"] if least else []), "spans", "copies")
 
 
 def unnested(batch: pa.RecordBatch, columns: list[str]) -> pa.RecordBatch:
@@ -487,26 +507,34 @@ def without(text: bytes, spans: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """`doc_id, n_bytes, n_removed, n_spans, kept_sha256, text` of each row.
+def worded(text: bytes, spans: np.ndarray, least_words: int) -> np.ndarray:
+    """The spans of `least_words` words or more."""
+    return spans[[len(text[a:b].split()) >= least_words for a, b in spans.tolist()]] if len(spans) else spans
+
+
+def digest(docs: DataFrame, width: int = WIDTH, passage: int = PASSAGE_BYTES, least_words: int = PASSAGE_WORDS) -> DataFrame:
+    """`doc_id, n_bytes, n_removed, n_spans, kept_sha256, text, n_passages, passage_bytes` of each row.
 
     text: the remaining bytes as text, without the rest of code points that were cut through.
+    n_passages, passage_bytes: maximal ranges of repeated strings of `passage` bytes (less than `width`) that have `least_words` words or more, whether removed or not.
     """
-    joined = with_spans(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), width)
+    joined = with_spans(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), width, passage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(unnested(batch, ["doc_id", "text"])):
                 rows = []
-                for t, s, c in zip(as_bytes(part.column("text")), part.column("\0spans").to_pylist(), part.column("\0copies").to_pylist()):
-                    spans = spans_of(t, s, c, width)
+                for t, p, s, c in zip(as_bytes(part.column("text")), *(part.column(f"\0{k}").to_pylist() for k in ("passages", "spans", "copies"))):
+                    spans, passages = spans_of(t, s, c, width), worded(t, spans_of(t, p, c, passage), least_words)
                     kept = without(t, spans)
-                    rows.append((len(t), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+                    rows.append((len(t), covered(spans), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), len(passages), covered(passages)))
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), *map(pa.array, cols[3:])], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types))], names=names)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
-    return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    covered = lambda spans: int((spans[:, 1] - spans[:, 0]).sum())
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "n_passages", "passage_bytes"]
+    types = [*[pa.int64()] * 3, *[pa.string()] * 2, *[pa.int64()] * 2]
+    return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, n_passages long, passage_bytes long")
 
 
 def whole_points(text: bytes, spans: np.ndarray) -> np.ndarray:
@@ -535,8 +563,8 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, least_words: int = 0) -> D
                 texts = []
                 for t, s, c in zip(as_bytes(part.column("text")), part.column("\0spans").to_pylist(), part.column("\0copies").to_pylist()):
                     spans = spans_of(t, s, c, width)
-                    if least_words and len(spans):
-                        spans = spans[[len(t[a:b].split()) >= least_words for a, b in spans.tolist()]]
+                    if least_words:
+                        spans = worded(t, spans, least_words)
                     texts.append(without(t, whole_points(t, spans)).decode())
                 kept = part.column("text").is_null().to_pylist()
                 own = pa.array([None if z else x for z, x in zip(kept, texts)], part.schema.field("text").type)
